@@ -162,7 +162,7 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, capacity: int
         rows, items = _pack(items, n, capacity, next_id)
         yield from _batches(rows, items)
 
-    def finish(key, pieces: pa.Table) -> pa.Table:
+    def finish(key, pieces):
         order = sorted(zip(*(pieces.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True))
         total = sum(len(x[3]) // 4 for x in order)
         rows, rest = _pack(order, -(-total // capacity), capacity, (1 << 62) + (key[0].as_py() << 32))
