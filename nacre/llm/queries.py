@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality
+from . import langid, lines, mixing, packing, quality, rules, shards, sql
 from .common import held_out, table
 
 
@@ -22,6 +22,25 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.apply_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shards.arrive_and_compact(table(spark, sf_dir, "documents"), shards.shared_root(spark, "shards"))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs.select("doc_id", "text"), docs.select("doc_id", "text", "lang").where(~held_out()))
@@ -31,7 +50,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op4_rules": op4_rules,
+    "op5_lines": op5_lines,
+    "op6_sharding": op6_sharding,
+    "op8_mixing": op8_mixing,
     "op9_language": op9_language,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_rules": sql.OP4, "op5_lines": sql.OP5, "op6_sharding": sql.OP6, "op8_mixing": sql.OP8}
