@@ -142,7 +142,7 @@ def classify(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> D
     spark = documents.sparkSession
     model = spark.sparkContext.broadcast(fit(documents, labels, most))
     kept = documents.drop("score", "predicted")
-    schema = kept.schema.add("score", "double").add("predicted", "int")
+    schema = kept.schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
