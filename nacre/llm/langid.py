@@ -177,7 +177,9 @@ def identify(documents: DataFrame, train: DataFrame, per_language: int = FIT_ROW
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = Labeller(model.value)
+        learned = model.value
+        label = learned.__dict__.setdefault("_labeller", None) or Labeller(learned)
+        learned._labeller = label  # a worker's tasks share what it remembers of words
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
