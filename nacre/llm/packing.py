@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,12 @@ class WordTokenizer:
                 yield b"".join(map(cache.__getitem__, ws)) + self.eos
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str, eos: int) -> WordTokenizer:
+    """One per worker process, so that its tasks share what it remembers of words."""
+    return WordTokenizer(path, eos)
+
+
 def cost(n: float) -> float:
     return n + n * n / QUADRATIC_AT
 
@@ -143,7 +150,7 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, capacity: int
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, task = WordTokenizer(path, eos), TaskContext.get().partitionId()
+        tok, task = word_tokenizer(path, eos), TaskContext.get().partitionId()
         items: list[tuple[int, int, int, bytes]] = []
         held, next_id = 0, task << 32
         for batch in batches:
