@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Documents to fit on for each language, at most, and characters of each that are counted.
 FIT_ROWS_PER_LANGUAGE, FIT_LANGUAGES, FIT_CHARS = 400, 200, 4000
 #: Cost in nats of changing language between two words; the largest score of a single word.
@@ -171,6 +173,7 @@ def identify(documents: DataFrame, train: DataFrame, per_language: int = FIT_ROW
 
     `train` (doc_id, text, lang) are the rows to learn from. Texts that are null or without a letter get `und`, score 0 and no spans;
     so do all texts if nothing was learned. Columns of those three names are replaced."""
+    ship(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(fit(train, per_language))
     kept = documents.drop("lang_pred", "score", "spans")
     schema = kept.limit(0).selectExpr("*", "'' AS lang_pred", "0D AS score", "CAST(NULL AS ARRAY<STRUCT<first: INT, words: INT, lang: STRING>>) AS spans").schema

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import durable
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -145,6 +146,7 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, capacity: int
     into the cheapest with room. What is left of a task (under one sequence) goes with the rests of up to `group` tasks into
     shared sequences, so padding doesn't grow with the number of tasks. Only those rests, at most 16 kB a task, are shuffled.
     Rows repeated under one doc_id are packed each; extra columns are ignored; an empty table gives no rows."""
+    ship(documents.sparkSession)
     path = tokenizer_path or default_tokenizer()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

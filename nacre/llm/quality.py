@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import RollingHash, mix64, word_spans
 
 #: Labelled documents to fit on, at most (the bound of the broadcast); taken by lowest hash of the id, half for each label.
@@ -140,6 +141,7 @@ def classify(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> D
     `labels` (doc_id, quality) are the rows to learn from. Without labels of both kinds every score is the labels' mean (0.5 without any).
     Null and empty texts score 0. Clashing columns named score or predicted are replaced."""
     spark = documents.sparkSession
+    ship(spark)
     model = spark.sparkContext.broadcast(fit(documents, labels, most))
     kept = documents.drop("score", "predicted")
     schema = kept.schema.add("score", "double").add("predicted", "integer")

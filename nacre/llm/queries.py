@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, packing, quality, rules, shards, sql
+from . import langid, lines, minhash, mixing, packing, quality, rules, shards, sql, vectors
 from .common import held_out, table
 
 
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.apply_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,6 +41,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,11 +58,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_vectors": op3_vectors,
     "op4_rules": op4_rules,
     "op5_lines": op5_lines,
     "op6_sharding": op6_sharding,
+    "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
 }
 
-SQL: dict[str, str] = {"op4_rules": sql.OP4, "op5_lines": sql.OP5, "op6_sharding": sql.OP6, "op8_mixing": sql.OP8}
+SQL: dict[str, str] = {"op3_vectors": sql.OP3, "op4_rules": sql.OP4, "op5_lines": sql.OP5, "op6_sharding": sql.OP6, "op7_minhash": sql.OP7, "op8_mixing": sql.OP8}

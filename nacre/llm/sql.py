@@ -70,3 +70,24 @@ FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 OP6 = "SELECT doc_id, lang, source, n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents"
+
+OP3 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT * FROM v WHERE x IS NOT NULL AND len(x) > 0 AND NOT list_contains(list_transform(x, lambda c: c IS NULL OR NOT isfinite(c)), true) AND list_contains(list_transform(x, lambda c: c <> 0), true)),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS of FROM v UNION SELECT e.b, r.of FROM r JOIN e ON e.a = r.id)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = v.vec_id)::BIGINT AS n_links, m.of AS component_id, m.of = vec_id AS kept
+FROM v JOIN (SELECT id, min(of) AS of FROM r GROUP BY id) m ON m.id = vec_id
+"""
+
+OP7 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS of FROM documents UNION SELECT e.b, r.of FROM r JOIN e ON e.a = r.id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.of AS component_id, m.of = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(of) AS of FROM r GROUP BY id) m ON m.id = d.doc_id
+"""
