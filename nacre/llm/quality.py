@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from .common import RollingHash, mix64, word_spans
@@ -144,7 +145,7 @@ def classify(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> D
     ship(spark)
     model = spark.sparkContext.broadcast(fit(documents, labels, most))
     kept = documents.drop("score", "predicted")
-    schema = kept.schema.add("score", "double").add("predicted", "integer")
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
