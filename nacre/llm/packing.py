@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ QUADRATIC_AT = 2048.0
 #: Tokens that one packing block holds; it bounds a task's memory whatever the size of its input split.
 BLOCK_TOKENS = 4_000_000
 #: Words that a worker remembers the ids of.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -31,40 +33,61 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: How the word tokenizer splits a normalised text; a token never crosses these pieces. (A fixed value of its vocabulary file.)
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAN = ["NFC(), Replace(", "Lowercase()", _PIECES, "ByteLevel(add_prefix_space=False"]
+#: Texts with these are encoded whole: special tokens, a capital whose lower case depends on its place, separators that
+#: Python and the tokenizer class differently.
+_WHOLE = regex.compile("<\\||\u03a3|[\x1c-\x1f]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letters for bytes: printable Latin-1 stands for itself, the rest is numbered from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokenizer:
-    """Ids of whole texts, word by word through a bounded cache.
+    """Ids of whole texts as little-endian bytes, piece by piece through a bounded cache.
 
-    Exact where the tokenizer's normaliser and splitter never look across white space. For texts with the separators
-    28 to 31, which Python's split() takes as white space and the tokenizer doesn't, the whole text is encoded."""
+    Pieces are what the tokenizer's own splitter cuts a normalised text into, so the ids are those of encoding it whole;
+    tokenizers with another plan are called on whole texts."""
 
     def __init__(self, path: str, eos: int):
         from tokenizers import Tokenizer
 
         self.tok, self.eos, self.cache = Tokenizer.from_file(path), np.array([eos], dtype="<u4").tobytes(), {}
+        plan = f"{self.tok.normalizer} {self.tok.pre_tokenizer}".replace('\\\\', '\\')
+        self.split = regex.compile(_PIECES).findall if all(x in plan for x in _PLAN) else None
+        self.model, self.letters = self.tok.model, _byte_letters()
 
-    def _ids(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1")
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt.translate(self.letters))])
+
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        split = [() if not t else None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        new = list({w for ws in split if ws for w in ws if w not in cache})
-        long = [w for w in new if len(w) > 200]
-        short = [w for w in new if len(w) <= 200]
-        for i in range(0, len(short), 20_000):
-            part = short[i : i + 20_000]
-            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        own = {w: self._ids(w) for w in long}
-        for t, ws in zip(texts, split, strict=True):
-            if ws is None:
-                yield self._ids(t) + self.eos
-            elif own:
-                yield b"".join([own[w] if len(w) > 200 else cache[w] for w in ws]) + self.eos
+        for t in texts:
+            if not t:
+                yield self.eos
+            elif self.split is None or _WHOLE.search(t):
+                yield self._whole(t) + self.eos
             else:
-                yield b"".join(map(cache.__getitem__, ws)) + self.eos
+                pieces = self.split(unicodedata.normalize("NFC", t).lower())
+                long = {}
+                for w in set(pieces):
+                    if w not in cache:
+                        (cache if len(w) <= 64 else long)[w] = self._piece(w)
+                if long:
+                    yield b"".join([long.get(w) or cache[w] for w in pieces]) + self.eos
+                else:
+                    yield b"".join(map(cache.__getitem__, pieces)) + self.eos
 
 
 @lru_cache(maxsize=2)
