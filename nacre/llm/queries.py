@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, minhash, mixing, packing, quality, rules, shards, sql, vectors
+from . import langid, lines, minhash, mixing, packing, quality, rules, shards, sql, substrings, vectors
 from .common import held_out, table
 
 
@@ -55,6 +55,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
+    "op10_substrings": op10_substrings,
 }
 
-SQL: dict[str, str] = {"op3_vectors": sql.OP3, "op4_rules": sql.OP4, "op5_lines": sql.OP5, "op6_sharding": sql.OP6, "op7_minhash": sql.OP7, "op8_mixing": sql.OP8}
+SQL: dict[str, str] = {"op3_vectors": sql.OP3, "op4_rules": sql.OP4, "op5_lines": sql.OP5, "op6_sharding": sql.OP6, "op7_minhash": sql.OP7, "op8_mixing": sql.OP8, "op10_substrings": sql.OP10}

@@ -91,3 +91,19 @@ r AS (SELECT doc_id AS id, doc_id AS of FROM documents UNION SELECT e.b, r.of FR
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.of AS component_id, m.of = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(of) AS of FROM r GROUP BY id) m ON m.id = d.doc_id
 """
+
+# Bytes as two hexadecimal digits each, so that windows of 50 bytes are substrings of 100 digits.
+OP10 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, h[2 * i - 1 : 2 * i + 98] AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM d WHERE length(h) >= 100)),
+r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS m FROM w) WHERE doc_id > m),
+g AS (SELECT doc_id, i, coalesce(i > 50 + lag(i) OVER (PARTITION BY doc_id ORDER BY i), true) AS new FROM r),
+k AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+s AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, k),
+c AS (SELECT doc_id, k, coalesce(lag(b) OVER o, 1) AS a, a AS b FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+      UNION ALL SELECT doc_id, max(k) + 1, max(b), NULL FROM s GROUP BY doc_id),
+p AS (SELECT doc_id, string_agg(CASE WHEN c.b IS NULL THEN h[2 * a - 1 :] WHEN c.b > a THEN h[2 * a - 1 : 2 * c.b - 2] ELSE '' END, '' ORDER BY k) AS kept FROM c JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM s GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN p USING (doc_id)
+"""
