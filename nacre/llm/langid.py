@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import mix64
 
 #: Documents to fit on for each language, at most, and characters of each that are counted.
 FIT_ROWS_PER_LANGUAGE, FIT_LANGUAGES, FIT_CHARS = 400, 200, 4000
@@ -39,57 +40,81 @@ def words(text: str | None) -> list[str]:
     return _LETTERS.findall(unicodedata.normalize("NFC", text).lower()) if text else []
 
 
-def _grams(word: str) -> list[str]:
-    w = f"\x02{word}\x03"
-    return [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1) if n > 1 or w[i] > "\x03"]
+_MOST_N, _WORD_LETTERS = 4, 40
+
+
+def _grams(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For n from 1 to _MOST_N: the hashes of all n-grams of the words with marks at both ends, and the word each is of.
+
+    A word's score is capped, so letters beyond _WORD_LETTERS would add nothing to it."""
+    code = np.frombuffer("".join([f"\x02{w[:_WORD_LETTERS]}\x03" for w in words]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    of = np.cumsum(code == 2) - 1
+    h = np.zeros(len(code), dtype=np.uint64)
+    for n in range(1, _MOST_N + 1):
+        m = len(code) - n + 1
+        if m <= 0:
+            return
+        h = mix64(h[:m] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :] + np.uint64(n))
+        inside = of[:m] == of[n - 1 :] if n > 1 else code > 3
+        yield n, h[inside], of[:m][inside]
 
 
 class Model:
     """Log shares of character n-grams (1 to 4) and of whole words by language, and the scripts each language is written in."""
 
     def __init__(self, examples: list[tuple[str, str]]):
-        grams: dict[str, Counter] = defaultdict(Counter)
         whole: dict[str, Counter] = defaultdict(Counter)
         scripts: dict[str, Counter] = defaultdict(Counter)
         for lang, text in examples:
             for w in words(text):
                 whole[lang][w] += 1
                 scripts[lang][script(w)] += 1
-        for lang, seen in whole.items():
-            for w, n in seen.items():
-                for g in _grams(w):
-                    grams[lang][g] += n
         self.languages = sorted(whole)
-        self.row: dict[str, int] = {}
-        terms = {g for c in grams.values() for g in c}
-        totals = {(lang, n): sum(v for g, v in grams[lang].items() if len(g) == n) + 1 for lang in self.languages for n in (1, 2, 3, 4)}
-        sizes = Counter(map(len, terms))
-        shares = [np.zeros(len(self.languages))]  # row 0: an unseen n-gram says nothing about which language it is
-        for g in sorted(terms):
-            n = len(g)
-            self.row[g] = len(shares)
-            s = np.array([np.log((grams[x][g] + 0.2) / (totals[x, n] + 0.2 * sizes[n])) for x in self.languages])
-            shares.append(s - s.mean())
-        self.shares = np.stack(shares)
+        k = len(self.languages)
+        seen: list[list[np.ndarray]] = [[] for _ in range(_MOST_N + 1)]
+        for x, lang in enumerate(self.languages):
+            ws = sorted(whole[lang])
+            times = np.array([whole[lang][w] for w in ws], dtype=np.float64)
+            for n, h, of in _grams(ws):
+                terms, at = np.unique(h, return_inverse=True)
+                seen[n].append((x, terms, np.bincount(at, weights=times[of])))
+        self.terms, self.shares = [np.empty(0, np.uint64)], [np.zeros((1, k))]
+        for n in range(1, _MOST_N + 1):
+            terms = np.unique(np.concatenate([t for _, t, _ in seen[n]])) if seen[n] else np.empty(0, np.uint64)
+            c = np.zeros((len(terms), k))
+            for x, t, v in seen[n]:
+                c[np.searchsorted(terms, t), x] = v
+            share = np.log((c + 0.2) / (c.sum(0) + 1 + 0.2 * len(terms)))
+            self.terms.append(terms)  # the last row: an unseen n-gram says nothing about which language it is
+            self.shares.append(np.vstack([share - share.mean(1, keepdims=True), np.zeros((1, k))]))
         count = {x: sum(whole[x].values()) + 1 for x in self.languages}
         self.common = {w: np.array([np.log((whole[x][w] + 0.05) / count[x]) for x in self.languages]) for c in whole.values() for w, k in c.items() if k >= 5}
         self.writes = {s: np.array([scripts[x][s] > 0.02 * sum(scripts[x].values()) for x in self.languages]) for s in {s for c in scripts.values() for s in c}}
 
-    def of_word(self, word: str) -> np.ndarray:
-        """Scores of a word by language, the mean at 0: means over its n-grams, weighed by its length, or its own share if it is common.
+    def of_words(self, ws: list[str]) -> np.ndarray:
+        """Scores of words by language, each row's mean at 0: sums over a word's n-grams, or its own share if it is common.
 
         Languages not written in its script fall back by WORD_CAP; a script that no language has leaves all at 0."""
-        may = self.writes.get(script(word))
-        if may is None or not may.any():
-            return np.zeros(len(self.languages))
-        w = word[:40]  # a word's score, not its text: later letters add nothing beyond the cap
-        s = self.common.get(w)
-        if s is None:
-            get = self.row.get
-            s = self.shares[[get(g, 0) for g in _grams(w)]].sum(0) / 3.0
-        s = s - s[may].max()
-        s = np.where(may, np.maximum(s, -WORD_CAP), -2 * WORD_CAP)
-        return s - s.mean()
+        s = np.zeros((len(ws), len(self.languages)))
+        for n, h, of in _grams(ws):
+            at = np.minimum(np.searchsorted(self.terms[n], h), max(len(self.terms[n]) - 1, 0))
+            row = np.where(self.terms[n][at] == h, at, len(self.terms[n])) if len(self.terms[n]) else np.zeros(len(h), np.int64)
+            for x in range(s.shape[1]):
+                s[:, x] += np.bincount(of, weights=self.shares[n][row, x], minlength=len(ws)) / 3.0
+        for i, w in enumerate(ws):
+            own = self.common.get(w)
+            if own is not None:
+                s[i] = own
+        kinds = [script(w) for w in ws]
+        for kind in set(kinds):
+            rows = np.array([k == kind for k in kinds])
+            may = self.writes.get(kind)
+            if may is None or not may.any():
+                s[rows] = 0
+            else:
+                t = s[rows] - s[rows][:, may].max(1, keepdims=True)
+                s[rows] = np.where(may, np.maximum(t, -WORD_CAP), -2 * WORD_CAP)
+        return s - s.mean(1, keepdims=True)
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -122,25 +147,30 @@ class Labeller:
     def __init__(self, model: Model):
         self.model, self.index, self.rows = model, {}, np.zeros((1024, len(model.languages)))
 
-    def _scores(self, ws: list[str]) -> np.ndarray:
+    def learn(self, texts: list[list[str]]) -> None:
+        """Score the words of a batch of texts that aren't known yet."""
         if len(self.index) > CACHE_WORDS:
             self.index.clear()
-        index = self.index
-        for w in {w for w in ws if w not in index}:
-            i = len(index)
-            if i >= len(self.rows):
-                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            index[w] = i
-            self.rows[i] = self.model.of_word(w)
-        return self.rows[np.fromiter(map(index.__getitem__, ws), dtype=np.int64, count=len(ws))]
-
-    def __call__(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
+        new = list({w for ws in texts for w in ws if w not in self.index})
+        n = len(self.index)
+        while len(self.rows) < n + len(new):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            self.rows[n + at : n + at + len(part)] = self.model.of_words(part)
+        self.index.update(zip(new, range(n, n + len(new)), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        split = [words(t) for t in texts]
+        self.learn(split)
+        return [self.label(ws) for ws in split]
+
+    def label(self, ws: list[str]) -> tuple[str, float, list[tuple[int, int, str]]]:
         """(language, score, spans): the language that opens the text if it holds FRAME of the letters, else that of most letters;
         its share of the letters (or belief in it, if alone); and runs (first word, words, language)."""
-        ws = words(text)
         if not ws or not self.model.languages:
             return "und", 0.0, []
-        s = self._scores(ws)
+        s = self.rows[np.fromiter(map(self.index.__getitem__, ws), dtype=np.int64, count=len(ws))]
         path = viterbi(s)
         size = np.fromiter(map(len, ws), dtype=np.float64, count=len(ws))
         held = np.bincount(path, weights=size, minlength=s.shape[1])
@@ -184,9 +214,9 @@ def identify(documents: DataFrame, train: DataFrame, per_language: int = FIT_ROW
         label = learned.__dict__.setdefault("_labeller", None) or Labeller(learned)
         learned._labeller = label  # a worker's tasks share what it remembers of words
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                got = [label(t) for t in part.column("text").to_pylist()]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                got = label(part.column("text").to_pylist())
                 spans = pa.array([[dict(zip(("first", "words", "lang"), x, strict=True)) for x in g[2]] for g in got], kind)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], [*part.schema.names, "lang_pred", "score", "spans"])
 
