@@ -97,6 +97,63 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+class Filter:
+    """Bloom filters in segments, each for the keys (uint64) that are its number modulo the segments'. Its size is bounded: a
+    segment has at most `most` / segments bytes, however many keys it holds; a fuller one passes more keys that aren't there."""
+
+    def __init__(self, bitmaps: dict[int, bytes], segments: int):
+        maps = [np.frombuffer(bitmaps.get(s, b"\0" * 8), dtype=np.uint8) for s in range(segments)]
+        self.segments, self.data = segments, np.concatenate(maps)
+        self.base = np.cumsum([0] + [len(m) for m in maps])[:-1].astype(np.int64)
+        self.mask = np.array([len(m) * 8 - 1 for m in maps], dtype=np.uint64)
+
+    @staticmethod
+    def _bits(keys: np.ndarray, mask) -> tuple[np.ndarray, np.ndarray]:
+        return mix64(keys) & mask, mix64(keys ^ np.uint64(0xA0761D6478BD642F)) & mask
+
+    @staticmethod
+    def build(keys: np.ndarray, segments: int, most: int = 64 << 20) -> bytes:
+        size = 8
+        while size * 8 < 12 * len(keys) and size < most // segments:
+            size *= 2
+        out = np.zeros(size, dtype=np.uint8)
+        for b in Filter._bits(keys, np.uint64(size * 8 - 1)):
+            np.bitwise_or.at(out, (b >> np.uint64(3)).astype(np.int64), np.uint8(1) << (b & np.uint64(7)).astype(np.uint8))
+        return out.tobytes()
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        s = (keys % np.uint64(self.segments)).astype(np.int64)
+        yes = np.ones(len(keys), dtype=bool)
+        for b in self._bits(keys, self.mask[s]):
+            yes &= (self.data[self.base[s] + (b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return yes
+
+
+def id_filter(ids: DataFrame, segments: int = 64) -> Filter:
+    """A Filter of a column of longs, built in parallel; only its bitmaps come to the driver."""
+    import pyarrow as pa
+
+    name = ids.columns[0]
+
+    def build(key, part):
+        keys = part.column(name).to_numpy().view(np.uint64)
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([Filter.build(keys, segments)], pa.binary())})
+
+    # pmod of the signed value would differ from the unsigned remainder, so segments are by low bits.
+    assert segments & (segments - 1) == 0
+    keyed = ids.where(F.col(name).isNotNull()).select(F.col(name).cast("long"), F.col(name).cast("long").bitwiseAND(F.lit(segments - 1)).cast("int").alias("segment"))
+    rows = keyed.groupBy("segment").applyInArrow(build, "segment int, bitmap binary").collect()
+    return Filter({r["segment"]: bytes(r["bitmap"]) for r in rows}, segments)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have Spark's cleaner drop the shuffle files of what is no longer referenced: it follows the driver JVM's collections."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 50) -> DataFrame:
     """(id, component) for every id in the edges; component is the smallest id reachable.
 
