@@ -56,7 +56,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(table(spark, sf_dir, "documents"))
+    return substrings.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import RollingHash, durable, mix64
+from .common import Filter, RollingHash, durable, let_go, mix64
 
 #: Bytes of a string that counts as repeated, and of the grams whose least hash keys each such string; the second
 #: length is for strings whose key very many documents hold.
@@ -22,9 +21,10 @@ SPAN, GRAM, LONG_GRAM = 50, 25, 44
 HOT_DOCS = 1000
 #: Most bytes of the filter of repeated keys; it is all that is broadcast. A fuller filter passes more, and stays right.
 FILTER_BYTES = 64 << 20
-#: Text bytes of a suffix array; bytes of input for each shard; text bytes a mapper holds before it lets its parts go.
-BLOCK_BYTES, SHARD_INPUT, HELD_BYTES = 8 << 20, 16 << 20, 48 << 20
-_SEGMENTS = 256
+#: Text bytes of a suffix array; text bytes a mapper holds before it lets its parts go.
+BLOCK_BYTES, HELD_BYTES = 8 << 20, 48 << 20
+#: Segments of the keys: one for each SEGMENT_INPUT bytes of the input's files, within these bounds.
+LEAST_SEGMENTS, MOST_SEGMENTS, SEGMENT_INPUT = 64, 16_384, 8 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -128,76 +128,48 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.r_[start, len(keys)])
 
 
-class Filter:
-    """Which keys more than one document holds, and which are hot: Bloom filters in segments, each for a part of the keys."""
-
-    def __init__(self, segments: dict[int, tuple[bytes, bytes]]):
-        self.parts = []
-        for k in (0, 1):
-            maps = [np.frombuffer(segments.get(s, (b"\0" * 8, b"\0" * 8))[k], dtype=np.uint8) for s in range(_SEGMENTS)]
-            self.parts.append((np.concatenate(maps), np.cumsum([0] + [len(m) for m in maps])[:-1].astype(np.int64), np.array([len(m) * 8 - 1 for m in maps], dtype=np.uint64)))
-
-    @staticmethod
-    def bits(keys: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return mix64(keys) & mask, mix64(keys ^ np.uint64(0xA0761D6478BD642F)) & mask
-
-    @staticmethod
-    def build(keys: np.ndarray) -> bytes:
-        size = 8
-        while size * 8 < 12 * len(keys) and size < FILTER_BYTES // _SEGMENTS:
-            size *= 2
-        out = np.zeros(size, dtype=np.uint8)
-        for b in Filter.bits(keys, np.uint64(size * 8 - 1)):
-            np.bitwise_or.at(out, (b >> np.uint64(3)).astype(np.int64), np.uint8(1) << (b & np.uint64(7)).astype(np.uint8))
-        return out.tobytes()
-
-    def has(self, keys: np.ndarray, hot: bool = False) -> np.ndarray:
-        data, base, mask = self.parts[int(hot)]
-        s = (keys % np.uint64(_SEGMENTS)).astype(np.int64)
-        yes = np.ones(len(keys), dtype=bool)
-        for b in self.bits(keys, mask[s]):
-            yes &= (data[base[s] + (b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return yes
-
-
 def _short(keys: np.ndarray) -> np.ndarray:
     """48 bits of a key, as they are counted and filtered."""
     return keys >> np.uint64(16)
 
 
-def repeated_keys(documents: DataFrame) -> tuple[Filter, int]:
-    """The filter of keys that two or more rows hold, and the bytes of all texts.
+def _by_segment(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts keys by segment, and where each segment begins in it."""
+    seg = (keys % np.uint64(segments)).astype(np.int64)
+    order = np.argsort(seg, kind="stable")
+    return order, np.searchsorted(seg[order], np.arange(segments + 1))
+
+
+def repeated_keys(documents: DataFrame, segments: int) -> tuple[Filter, Filter]:
+    """Filters of the keys that two or more rows hold, and of the hot ones.
 
     A task sends each segment its distinct keys with their numbers of documents, packed; a segment adds them up and
     answers with two bitmaps. Only the bitmaps, FILTER_BYTES each at most in all, come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, n = [], 0, 0
+        held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             keys, times = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-            seg = (keys % np.uint64(_SEGMENTS)).astype(np.int64)
-            order = np.argsort(seg, kind="stable")
-            keys, times, cut = keys[order], times[order], np.searchsorted(seg[order], np.arange(_SEGMENTS + 1))
+            order, cut = _by_segment(keys, segments)
+            keys, times = keys[order], times[order]
             ones, more = [], []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 k, t = keys[a:b], times[a:b]
                 ones.append(k[t == 1].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-                more.append(k[t > 1].tobytes() + np.minimum(t[t > 1], 1 << 30).astype(np.int64).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array(ones, pa.binary()), pa.array(more, pa.binary()), pa.array([total] + [0] * (_SEGMENTS - 1), pa.int64())], ["segment", "ones", "more", "bytes"])
+                more.append(k[t > 1].tobytes() + t[t > 1].astype(np.int64).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(range(segments), pa.int32()), pa.array(ones, pa.binary()), pa.array(more, pa.binary())], ["segment", "ones", "more"])
 
         for batch in batches:
             for text in batch.column(0):
                 data = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), dtype=np.uint8)
-                total += len(data)
                 if len(data) >= SPAN:
                     keys = window_keys(RollingHash(data), GRAM)
-                    own = np.unique(_short(keys[runs(keys)[0]]))
-                    held.append(own)
-                    n += len(own)
+                    held.append(np.unique(_short(keys[runs(keys)[0]])))
+                    n += len(held[-1])
                 if n > 4_000_000:
                     yield flush()
-                    held, total, n = [], 0, 0
+                    held, n = [], 0
         yield flush()
 
     def add(part):
@@ -216,16 +188,15 @@ def repeated_keys(documents: DataFrame) -> tuple[Filter, int]:
         head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
         sums = np.add.reduceat(times, head) if len(head) else np.empty(0, np.int64)
         keys = keys[head]
-        return pa.table({"segment": part.column("segment")[:1], "repeated": pa.array([Filter.build(keys[sums > 1])], pa.binary()), "hot": pa.array([Filter.build(keys[sums > HOT_DOCS])], pa.binary()), "bytes": pa.array([sum(part.column("bytes").to_pylist())], pa.int64())})
-
-    counted = documents.select("text").mapInArrow(count, "segment int, ones binary, more binary, bytes long")
-    rows = counted.groupBy("segment").applyInArrow(add, "segment int, repeated binary, hot binary, bytes long").collect()
-    return Filter({r["segment"]: (bytes(r["repeated"]), bytes(r["hot"])) for r in rows}), sum(r["bytes"] for r in rows)
+        maps = [pa.array([Filter.build(keys[sums > n], segments, FILTER_BYTES)], pa.binary()) for n in (1, HOT_DOCS)]
+        return pa.table([part.column("segment").combine_chunks()[:1], *maps], names=["segment", "repeated", "hot"])
 
+    counted = documents.select("text").mapInArrow(count, "segment int, ones binary, more binary")
+    rows = counted.groupBy("segment").applyInArrow(add, "segment int, repeated binary, hot binary").collect()
+    return tuple(Filter({r["segment"]: bytes(r[k]) for r in rows}, segments) for k in ("repeated", "hot"))
 
-# --- the two passes ------------------------------------------------------------------------------------------------
 
-_PARTS = "shard int, doc long, mark long, n_bytes long, sha string, body binary, chunks binary"
+# --- matching, and the passes ------------------------------------------------------------------------------------------------
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -251,23 +222,23 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[head], end[np.r_[np.flatnonzero(head)[1:] - 1, len(end) - 1]]
 
 
-def _candidates(data: np.ndarray, known: Filter) -> tuple[np.ndarray, ...]:
+def _candidates(data: np.ndarray, known: tuple[Filter, Filter]) -> tuple[np.ndarray, ...]:
     """(key, start, strings, content) of the runs of strings that may occur in another document; content hashes a run's bytes."""
     h = RollingHash(data)
     keys = window_keys(h, GRAM)
     start, n = runs(keys)
     short = _short(keys[start])
-    may = known.has(short)
-    start, n, key = start[may], n[may], keys[start[may]]
-    hot = known.has(short[may], hot=True)
+    may = known[0].has(short)
+    start, n, key = start[may], n[may], short[may]
+    hot = known[1].has(key)
     if hot.any():  # their strings are keyed anew by longer grams, which keep more of what differs apart
-        longer = window_keys(h, LONG_GRAM)
-        inside = np.repeat(hot, n)
-        places = (np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()))[inside]
-        k2 = mix64(longer[places] ^ np.uint64(0x2545F4914F6CDD1D))
+        longer = _short(mix64(window_keys(h, LONG_GRAM) ^ np.uint64(0x2545F4914F6CDD1D)))
+        places = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        places = places[np.repeat(hot, n)]
+        k2 = longer[places]
         head = np.flatnonzero(np.r_[True, (places[1:] != places[:-1] + 1) | (k2[1:] != k2[:-1])])
         start, n, key = np.r_[start[~hot], places[head]], np.r_[n[~hot], np.diff(np.r_[head, len(places)])], np.r_[key[~hot], k2[head]]
-    return key, start, n, h(start, start + n + SPAN - 1) ^ mix64(key)
+    return key, start, n, h(start, start + n + SPAN - 1) ^ mix64(key + n.astype(np.uint64))
 
 
 def _settle(text: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -343,94 +314,187 @@ def _span_rows(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.nda
     return out
 
 
+def _segments_of(documents: DataFrame) -> int:
+    """How many segments the keys are dealt into, by the size that the files' own statistics give."""
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(max(LEAST_SEGMENTS, size // SEGMENT_INPUT), MOST_SEGMENTS))
+
+
+def _spans_table(rows: list[tuple[int, int, bytes]], segment: int | None = None, bitmap: bytes | None = None) -> pa.Table:
+    """Span rows, and a row for a segment's bitmap."""
+    extra = [] if bitmap is None else [(None, None, None)]
+    cols = [pa.array([r[j] for r in rows + extra], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+    return pa.table([*cols, pa.array([None] * len(rows) + [segment] * len(extra), pa.int32()), pa.array([None] * len(rows) + [bitmap] * len(extra), pa.binary())], names=["doc", "mark", "spans", "segment", "bitmap"])
+
+
+_SPANS = "doc long, mark long, spans binary, segment int, bitmap binary"
+
+
+class _Held:
+    """Candidate runs of some documents, with the documents' bytes one after another."""
+
+    def __init__(self):
+        self.rows, self.data, self.size, self.n = [], [], 0, 0
+
+    def add(self, doc: int, mark: int, data: np.ndarray, got: tuple[np.ndarray, ...], bytes_too: bool) -> None:
+        k = len(got[0])
+        if k:
+            self.rows.append((np.full(k, doc), np.full(k, mark), np.full(k, self.size), *got))
+            self.n += k
+            if bytes_too:
+                self.data.append(data)
+                self.size += len(data)
+
+    def columns(self) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*self.rows, strict=True)]
+
+
+def _first_of_equal(doc: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the least document of each content, places whose content a smaller document has too)."""
+    order = np.lexsort((doc, content))
+    same = np.r_[False, content[order][1:] == content[order][:-1]]
+    least = np.repeat(doc[order][~same], np.diff(np.r_[np.flatnonzero(~same), len(order)]))
+    return order[~same], order[doc[order] > least]
+
+
+def equal_runs(docs: DataFrame, known, segments: int) -> DataFrame:
+    """Spans of runs that a smaller document has whole, and a bitmap for each segment of the keys that more than one content has.
+
+    Runs are compared by the hash of all their bytes, first within a task, then, the least document's alone, by segment.
+    Where all of a key's runs are equal nothing is left to compare."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+
+        def flush() -> pa.RecordBatch:
+            local, parts = [], [b""] * segments
+            if held.rows:
+                doc, mark, _, key, start, n, content = held.columns()
+                first, gone = _first_of_equal(doc, content)
+                local = _span_rows(doc[gone], mark[gone], start[gone], start[gone] + n[gone] + SPAN - 1)
+                order, cut = _by_segment(key[first], segments)
+                first = first[order]
+                for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                    c = first[a:b]
+                    if len(c):
+                        parts[k] = _pack(key[c], content[c], doc[c], mark[c], start[c].astype(np.uint32) if start.max() < 2**32 else start[c].astype(np.int64), n[c])
+                wide = start.max() >= 2**32
+            else:
+                wide = False
+            rows = [(k, wide, p, None) for k, p in enumerate(parts) if p] + [(i % segments, wide, None, r) for i, r in enumerate(local)]
+            cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())]
+            cols += [pa.array([r[3] and r[3][j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(cols, ["segment", "wide", "runs", "doc", "mark", "spans"])
+
+        for batch in batches:
+            for doc, mark, text in zip(*batch.columns, strict=True):
+                data = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), dtype=np.uint8)
+                if len(data) >= SPAN:
+                    held.add(doc.as_py(), mark.as_py(), data, _candidates(data, known.value), bytes_too=False)
+                if held.n > 2_000_000:
+                    yield flush()
+                    held = _Held()
+        yield flush()
+
+    def match(key, part):
+        passed = [r for r in zip(*(part.column(c).to_pylist() for c in ("doc", "mark", "spans")), strict=True) if r[2] is not None]
+        got = [_unpack(r, np.uint64, np.uint64, np.int64, np.int64, np.int64 if w else np.uint32, np.int64) for r, w in zip(part.column("runs").to_pylist(), part.column("wide").to_pylist(), strict=True) if r is not None]
+        if not got:
+            return _spans_table(passed)
+        keys, content, doc, mark, start, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        start = start.astype(np.int64)
+        first, gone = _first_of_equal(doc, content)
+        rows = _span_rows(doc[gone], mark[gone], start[gone], start[gone] + n[gone] + SPAN - 1)
+        k, times = np.unique(keys[first], return_counts=True)
+        return _spans_table(passed + rows, key[0].as_py(), Filter.build(k[times > 1], segments, FILTER_BYTES))
+
+    sent = docs.mapInArrow(send, "segment int, wide boolean, runs binary, doc long, mark long, spans binary")
+    return sent.groupBy("segment").applyInArrow(match, _SPANS)
+
+
+def unequal_runs(docs: DataFrame, known, mixed, shards: int) -> DataFrame:
+    """Spans of strings that lie in unequal runs of one key: their bytes go to the key's shard, which sorts them."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+
+        def flush() -> pa.RecordBatch:
+            out = []
+            if held.rows:
+                doc, mark, base, key, start, n, content = held.columns()
+                data = np.concatenate(held.data)
+                first, _ = _first_of_equal(doc, content)
+                order, cut = _by_segment(mix64(key[first]), shards)
+                for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                    c = first[order[a:b]]
+                    if len(c):
+                        size = n[c] + SPAN - 1
+                        index = np.repeat(base[c] + start[c] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+                        out.append((k, _pack(doc[c], mark[c], start[c], n[c], data[index])))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["shard", "chunks"])
+
+        for batch in batches:
+            for doc, mark, text in zip(*batch.columns, strict=True):
+                data = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), dtype=np.uint8)
+                if len(data) >= SPAN:
+                    got = _candidates(data, known.value)
+                    some = mixed.value.has(got[0])
+                    held.add(doc.as_py(), mark.as_py(), data, tuple(x[some] for x in got), bytes_too=True)
+                if held.size > HELD_BYTES:
+                    yield flush()
+                    held = _Held()
+        yield flush()
+
+    return docs.mapInArrow(send, "shard int, chunks binary").groupBy("shard").applyInArrow(_shard_spans, "doc long, mark long, spans binary")
+
+
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for each row of documents (doc_id, text).
 
     A byte goes if some string of SPAN bytes that covers it also starts in a document with a smaller id; matches never cross
     documents and are judged on the whole input. 1. Each string has a key, the least hash of its grams; keys that several
-    rows hold are found by counting and put in a filter of bounded size. 2. A second pass keeps only strings whose key
-    passes: all others occur once. Texts without any are done. Runs of strings under one key are sent, as chunks, to the
-    shard of their key; of equal chunks a task sends only its smallest id's, the others being removed at once. 3. A shard sorts its
-    chunks in suffix arrays of BLOCK_BYTES, finds equal strings by common prefixes, merges blocks by binary search, and sends back
-    spans. Equal strings always share a shard, so shards need no merging among themselves.
+    rows hold are found by counting and put in a filter of bounded size: strings of other keys occur once. 2. Runs of strings under
+    one key are compared by the hash of their bytes; those that a smaller document has whole are settled. 3. Keys of unequal
+    runs (where matches begin and end) send one run of each content and task, as bytes, to the key's shard. A shard sorts them
+    in suffix arrays of BLOCK_BYTES, finds equal strings by common prefixes, and merges its blocks' sorted strings by binary search.
+    Equal strings always share a shard, so shards need no merging among themselves. 4. Spans are joined to their texts and cut.
     Null texts are empty; texts under SPAN bytes lose nothing; rows of one id never remove from each other; rows without an id
-    come after all others and never from each other; an empty table gives no rows; extra columns are ignored."""
+    come after all others and never remove from each other; an empty table gives no rows; extra columns are ignored."""
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
-    filter_, size = repeated_keys(docs)
-    known = spark.sparkContext.broadcast(filter_)
-    shards = max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / SHARD_INPUT))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held: list[tuple] = []
-        n = 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            nonlocal out, held, n
-            if held:
-                doc, mark, base, key, start, num, content = (np.concatenate(x) for x in zip(*(h[:7] for h in held), strict=True))
-                data = np.concatenate([h[7] for h in held])
-                # Equal chunks: only the smallest document's goes on; in all larger documents every string of it is repeated.
-                order = np.lexsort((doc, content))
-                same = np.r_[False, content[order][1:] == content[order][:-1]]
-                least = np.repeat(doc[order][~same], np.diff(np.r_[np.flatnonzero(~same), len(order)]))
-                gone, send = order[doc[order] > least], order[~same]
-                for d, m, spans in _span_rows(doc[gone], mark[gone], start[gone], start[gone] + num[gone] + SPAN - 1):
-                    out.append((None, d, m, None, None, spans, None))
-                shard = (mix64(key[send]) % np.uint64(shards)).astype(np.int64)
-                by = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[by], np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(cut)):
-                    c = send[by[cut[s] : cut[s + 1]]]
-                    size = num[c] + SPAN - 1
-                    index = np.repeat(base[c] + start[c] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-                    out.append((int(s), None, None, None, None, None, _pack(doc[c], mark[c], start[c], num[c], data[index])))
-            held, n = [], 0
-            cols = [pa.array([r[j] for r in out], k) for j, k in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()))]
-            out = []
-            yield pa.RecordBatch.from_arrays(cols, ["shard", "doc", "mark", "n_bytes", "sha", "body", "chunks"])
-
+    segments = _segments_of(docs)
+    known = spark.sparkContext.broadcast(repeated_keys(docs, segments))
+    let_go(spark)
+    equal = durable(equal_runs(docs, known, segments))
+    bitmaps = equal.where("segment IS NOT NULL").select("segment", "bitmap").collect()
+    mixed = spark.sparkContext.broadcast(Filter({r["segment"]: bytes(r["bitmap"]) for r in bitmaps}, segments))
+    let_go(spark)
+    shards = max(2 * spark.sparkContext.defaultParallelism, segments)
+    rest = unequal_runs(docs, known, mixed, shards)
+    spans = equal.where("segment IS NULL").select("doc", "mark", "spans").union(rest).groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, mark, text in zip(*(batch.column(j) for j in range(3)), strict=True):
-                doc, mark, raw = doc.as_py(), mark.as_py(), (text.as_py() or "").encode("utf-8", "replace")
-                data = np.frombuffer(raw, dtype=np.uint8)
-                got = _candidates(data, known.value) if len(data) >= SPAN else ((),)
-                if len(got[0]):
-                    k = len(got[0])
-                    held.append((np.full(k, doc), np.full(k, mark), np.full(k, n), *got, data))
-                    n += len(data)
-                    out.append((None, doc, mark, len(raw), None, zstandard.ZstdCompressor(level=1).compress(raw), None))
-                else:
-                    out.append((None, doc, mark, len(raw), hashlib.sha256(raw).hexdigest(), zstandard.ZstdCompressor(level=1).compress(raw) if bodies else None, None))
-                if n > HELD_BYTES or len(out) > 20_000:
-                    yield from rows()
-        yield from rows()
-
-    bodies = False
-    parts = durable(docs.mapInArrow(split, _PARTS))
-    chunks = parts.where("chunks IS NOT NULL").select("shard", "chunks")
-    spans = chunks.groupBy("shard").applyInArrow(_shard_spans, "doc long, mark long, spans binary")
-    local = parts.where("n_bytes IS NULL AND chunks IS NULL").select("doc", "mark", F.col("body").alias("spans"))
-    spans = spans.union(local).groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
-    open_ = parts.where("n_bytes IS NOT NULL AND sha IS NULL").select("doc", "mark", "body").join(spans, ["doc", "mark"], "left").select("doc", "body", "spans")
+            z = zstandard.ZstdCompressor(level=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column(2)], pa.binary())], ["doc", "mark", "body"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, body, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = zstandard.ZstdDecompressor().decompress(body) if body else b""
+                raw = zstandard.ZstdDecompressor().decompress(body)
                 s, e = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in spans or []] + [np.empty((2, 0), np.int64)], axis=1)
                 s, e = _merged(s, e)
                 kept, at = [], 0
                 for a, b in zip(s.tolist(), e.tolist(), strict=True):
                     kept.append(raw[at:a])
                     at = b
-                kept.append(raw[at:])
-                rows.append((doc, len(raw), int((e - s).sum()), len(s), hashlib.sha256(b"".join(kept)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if j < 4 else pa.string()) for j in range(5)], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    done = parts.where("sha IS NOT NULL").select("doc", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    out = done.union(open_.mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
-    return out.select(F.nullif("doc", F.lit(_LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+                kept = b"".join([*kept, raw[at:]])
+                rows.append((doc, len(raw), int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    bodies = docs.mapInArrow(squeeze, "doc long, mark long, body binary")
+    out = bodies.join(spans, ["doc", "mark"], "left").select("doc", "body", "spans").mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.select(F.nullif("doc", F.lit(_LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
