@@ -23,8 +23,8 @@ CARRY = f"{PIECE}, ids binary"
 QUADRATIC_AT = 2048.0
 #: Tokens that one packing block holds; it bounds a task's memory whatever the size of its input split.
 BLOCK_TOKENS = 4_000_000
-#: Words that a worker remembers the ids of.
-CACHE_WORDS = 600_000
+#: Words, and pieces of words, that a worker remembers the ids of.
+CACHE_WORDS = 800_000
 
 
 def default_tokenizer() -> str:
@@ -48,46 +48,60 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Ids(dict):
+    """Ids by text, made when first asked for. At most CACHE_WORDS are kept, none of them long; they are dropped once three
+    times as many came too late to be kept, so that a new kind of text does not find it full of the last."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.late = make, 0
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(text) > 64:
+            return ids
+        if len(self) < CACHE_WORDS:
+            self[text] = ids
+            return ids
+        self.late += 1
+        if self.late > 3 * CACHE_WORDS:
+            self.clear()
+            self.late = 0
+        return ids
+
+
 class WordTokenizer:
-    """Ids of whole texts as little-endian bytes, piece by piece through a bounded cache.
+    """Ids of whole texts as little-endian bytes, word by word through bounded caches.
 
-    Pieces are what the tokenizer's own splitter cuts a normalised text into, so the ids are those of encoding it whole;
-    tokenizers with another plan are called on whole texts."""
+    Words are cut into what the tokenizer's own splitter cuts a normalised text into, none of which crosses white space, so the ids
+    are those of encoding the whole; tokenizers with another plan are called on whole texts."""
 
     def __init__(self, path: str, eos: int):
         from tokenizers import Tokenizer
 
-        self.tok, self.eos, self.cache = Tokenizer.from_file(path), np.array([eos], dtype="<u4").tobytes(), {}
-        plan = f"{self.tok.normalizer} {self.tok.pre_tokenizer}".replace('\\\\', '\\')
-        self.split = regex.compile(_PIECES).findall if all(x in plan for x in _PLAN) else None
-        self.model, self.letters = self.tok.model, _byte_letters()
+        self.tok, self.eos = Tokenizer.from_file(path), np.array([eos], dtype="<u4").tobytes()
+        plan = f"{self.tok.normalizer} {self.tok.pre_tokenizer}".replace("\\\\", "\\")
+        split, model, letters = regex.compile(_PIECES).findall, self.tok.model, _byte_letters()
+        self.known = all(x in plan for x in _PLAN)
+
+        def piece(p: str) -> bytes:
+            spelt = p if p.isascii() else p.encode().decode("latin-1")
+            return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(spelt.translate(letters))])
+
+        self.pieces = _Ids(piece)
+        self.words = _Ids(lambda w: b"".join(map(self.pieces.__getitem__, split(unicodedata.normalize("NFC", w).lower()))))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        spelt = piece if piece.isascii() else piece.encode().decode("latin-1")
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt.translate(self.letters))])
-
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
         for t in texts:
             if not t:
                 yield self.eos
-            elif self.split is None or _WHOLE.search(t):
+            elif not self.known or _WHOLE.search(t):
                 yield self._whole(t) + self.eos
             else:
-                pieces = self.split(unicodedata.normalize("NFC", t).lower())
-                long = {}
-                for w in set(pieces):
-                    if w not in cache:
-                        (cache if len(w) <= 64 else long)[w] = self._piece(w)
-                if long:
-                    yield b"".join([long.get(w) or cache[w] for w in pieces]) + self.eos
-                else:
-                    yield b"".join(map(cache.__getitem__, pieces)) + self.eos
+                yield b"".join(map(self.words.__getitem__, t.split())) + self.eos
 
 
 @lru_cache(maxsize=2)
