@@ -28,7 +28,7 @@ def range_join(left: DataFrame, right: DataFrame, cutoff: float, keys: list[str]
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     for i, (p, q) in enumerate(zip(ax, bx, strict=True)):
         a = a.withColumn(f"_c{i}", _cell(p, cutoff))
-        b = b.withColumn(f"_d{i}", F.explode(F.transform(near, lambda o, q=q: o + _cell(q, cutoff))))
+        b = b.withColumn("_o", F.explode(near)).withColumn(f"_d{i}", _cell(q, cutoff) + F.col("_o")).drop("_o")
     d2 = reduce(lambda s, t: s + t, [(F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(ax, bx, strict=True)])
     d = F.sqrt(d2)
     on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(f"_c{i}") == F.col(f"_d{i}") for i in range(3)] + [d < cutoff if strict else d <= cutoff]

@@ -88,7 +88,7 @@ def parse_atoms(lines: DataFrame, strict: bool = True) -> DataFrame:
     )
     if strict:
         problem = F.when(problem.isNotNull(), F.raise_error(F.concat(F.col("structure_id"), F.lit(": "), problem)).cast("string"))
-    d = d.drop("line").withColumn("problem", problem)
+    d = d.withColumn("problem", problem).drop("line")
     if strict:  # a use of the column, so that the check is not pruned
         d = d.where(F.col("problem").isNull())
     return d.select(
