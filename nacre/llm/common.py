@@ -80,9 +80,15 @@ class RollingHash:
         return mix64((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64))
 
     def windows(self, k: int) -> np.ndarray:
-        """Hashes of all windows of k bytes, in order."""
+        """Hashes of all windows of k bytes, in order, mixed as far as their upper bits and their order need."""
         n = len(self.sums) - k
-        return mix64((self.sums[k:] - self.sums[:-k]) * self.up[:n]) if n > 0 else np.empty(0, np.uint64)
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        x = self.sums[k:] - self.sums[:-k]
+        x *= self.up[:n]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x
 
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -122,11 +128,15 @@ class Filter:
         return out.tobytes()
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        s = (keys % np.uint64(self.segments)).astype(np.int64)
-        yes = np.ones(len(keys), dtype=bool)
-        for b in self._bits(keys, self.mask[s]):
-            yes &= (self.data[self.base[s] + (b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return yes
+        yes = np.arange(len(keys))
+        for salt in (np.uint64(0), np.uint64(0xA0761D6478BD642F)):  # the second bit is looked up only where the first is set
+            k = keys[yes]
+            s = (k % np.uint64(self.segments)).astype(np.int64)
+            b = mix64(k ^ salt) & self.mask[s]
+            yes = yes[(self.data[self.base[s] + (b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        out = np.zeros(len(keys), dtype=bool)
+        out[yes] = True
+        return out
 
 
 def id_filter(ids: DataFrame, segments: int = 64) -> Filter:

@@ -97,7 +97,8 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
         same = x == 0
         part = live[~same]
         if len(part):
-            length[part] += (63 - np.floor(np.log2(np.maximum(x[~same], 1).astype(np.longdouble))).astype(np.int64)) // 8
+            y = x[~same]
+            length[part] += sum((y < np.uint64(1 << b)).astype(np.int64) for b in range(8, 64, 8))  # leading bytes that agree
         live = live[same]
         length[live] += 8
     found[at] = np.minimum(length, n - np.maximum(at, before[at]))
@@ -120,12 +121,43 @@ def window_keys(hashes: RollingHash, gram: int) -> np.ndarray:
     return m
 
 
-def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of equal keys."""
-    if not len(keys):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return start, np.diff(np.r_[start, len(keys)])
+class Batch:
+    """Some documents' bytes one after another; strings that would cross from one into the next are left out."""
+
+    def __init__(self, doc: list[int], mark: list[int], data: list[np.ndarray]):
+        self.doc, self.mark, self.data = np.array(doc, np.int64), np.array(mark, np.int64), np.concatenate(data)
+        self.begin = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum([len(x) for x in data], out=self.begin[1:])
+        self.hash = RollingHash(self.data)
+
+    def runs(self, gram: int, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, start, strings, key) of the runs of strings under one key; starts count from the batch's first byte."""
+        keys = window_keys(self.hash, gram) if keys is None else keys
+        n = np.maximum(np.diff(self.begin) - SPAN + 1, 0)
+        of = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(of)) + (self.begin[:-1] - np.cumsum(n) + n)[of]
+        k = keys[place]
+        head = np.flatnonzero((k[1:] != k[:-1]) | (of[1:] != of[:-1])) + 1
+        head = np.concatenate([np.zeros(min(1, len(of)), np.int64), head])
+        return of[head], place[head], np.diff(np.append(head, len(of))), k[head]
+
+
+def batched(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[Batch]:
+    """Documents (doc, mark, text) in batches of about `most` bytes; those too short for any string are left out."""
+    doc, mark, data, size = [], [], [], 0
+    for batch in batches:
+        for d, m, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            raw = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), dtype=np.uint8)
+            if len(raw) >= SPAN:
+                doc.append(d)
+                mark.append(m)
+                data.append(raw)
+                size += len(raw)
+            if size > most or len(doc) >= 60_000:
+                yield Batch(doc, mark, data)
+                doc, mark, data, size = [], [], [], 0
+    if doc:
+        yield Batch(doc, mark, data)
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
@@ -160,16 +192,14 @@ def repeated_keys(documents: DataFrame, segments: int) -> tuple[Filter, Filter]:
                 more.append(k[t > 1].tobytes() + t[t > 1].astype(np.int64).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(range(segments), pa.int32()), pa.array(ones, pa.binary()), pa.array(more, pa.binary())], ["segment", "ones", "more"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                data = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), dtype=np.uint8)
-                if len(data) >= SPAN:
-                    keys = window_keys(RollingHash(data), GRAM)
-                    held.append(np.unique(_short(keys[runs(keys)[0]])))
-                    n += len(held[-1])
-                if n > 4_000_000:
-                    yield flush()
-                    held, n = [], 0
+        for b in batched(batches):
+            of, _, _, keys = b.runs(GRAM)
+            # One key counts once for a document: 48 bits of key and 16 of the document's place in the batch.
+            held.append(np.unique((_short(keys) << np.uint64(16)) | of.astype(np.uint64)) >> np.uint64(16))
+            n += len(held[-1])
+            if n > 4_000_000:
+                yield flush()
+                held, n = [], 0
         yield flush()
 
     def add(part):
@@ -191,7 +221,7 @@ def repeated_keys(documents: DataFrame, segments: int) -> tuple[Filter, Filter]:
         maps = [pa.array([Filter.build(keys[sums > n], segments, FILTER_BYTES)], pa.binary()) for n in (1, HOT_DOCS)]
         return pa.table([part.column("segment").combine_chunks()[:1], *maps], names=["segment", "repeated", "hot"])
 
-    counted = documents.select("text").mapInArrow(count, "segment int, ones binary, more binary")
+    counted = documents.mapInArrow(count, "segment int, ones binary, more binary")
     rows = counted.groupBy("segment").applyInArrow(add, "segment int, repeated binary, hot binary").collect()
     return tuple(Filter({r["segment"]: bytes(r[k]) for r in rows}, segments) for k in ("repeated", "hot"))
 
@@ -222,23 +252,23 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[head], end[np.r_[np.flatnonzero(head)[1:] - 1, len(end) - 1]]
 
 
-def _candidates(data: np.ndarray, known: tuple[Filter, Filter]) -> tuple[np.ndarray, ...]:
-    """(key, start, strings, content) of the runs of strings that may occur in another document; content hashes a run's bytes."""
-    h = RollingHash(data)
-    keys = window_keys(h, GRAM)
-    start, n = runs(keys)
-    short = _short(keys[start])
-    may = known[0].has(short)
-    start, n, key = start[may], n[may], short[may]
+def _candidates(b: Batch, known: tuple[Filter, Filter]) -> tuple[np.ndarray, ...]:
+    """(document, key, start, strings, content) of the runs of strings that may occur in another document; content hashes a run's bytes."""
+    of, start, n, key = b.runs(GRAM)
+    key = _short(key)
+    may = known[0].has(key)
+    of, start, n, key = of[may], start[may], n[may], key[may]
     hot = known[1].has(key)
     if hot.any():  # their strings are keyed anew by longer grams, which keep more of what differs apart
-        longer = _short(mix64(window_keys(h, LONG_GRAM) ^ np.uint64(0x2545F4914F6CDD1D)))
-        places = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        places = places[np.repeat(hot, n)]
-        k2 = longer[places]
-        head = np.flatnonzero(np.r_[True, (places[1:] != places[:-1] + 1) | (k2[1:] != k2[:-1])])
-        start, n, key = np.r_[start[~hot], places[head]], np.r_[n[~hot], np.diff(np.r_[head, len(places)])], np.r_[key[~hot], k2[head]]
-    return key, start, n, h(start, start + n + SPAN - 1) ^ mix64(key + n.astype(np.uint64))
+        longer = _short(mix64(window_keys(b.hash, LONG_GRAM) ^ np.uint64(0x2545F4914F6CDD1D)))
+        wanted = np.repeat(hot, n)
+        place = (np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()))[wanted]
+        owner, k2 = np.repeat(of, n)[wanted], longer[place]
+        head = np.append(0, np.flatnonzero((place[1:] != place[:-1] + 1) | (k2[1:] != k2[:-1])) + 1)
+        cold = ~hot
+        of, start = np.append(of[cold], owner[head]), np.append(start[cold], place[head])
+        n, key = np.append(n[cold], np.diff(np.append(head, len(place)))), np.append(key[cold], k2[head])
+    return of, key, start, n, b.hash(start, start + n + SPAN - 1) ^ mix64(key + n.astype(np.uint64))
 
 
 def _settle(text: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -331,19 +361,19 @@ _SPANS = "doc long, mark long, spans binary, segment int, bitmap binary"
 
 
 class _Held:
-    """Candidate runs of some documents, with the documents' bytes one after another."""
+    """Candidate runs of some batches: doc, mark, place in the held bytes, key, start in the document, strings, content."""
 
     def __init__(self):
         self.rows, self.data, self.size, self.n = [], [], 0, 0
 
-    def add(self, doc: int, mark: int, data: np.ndarray, got: tuple[np.ndarray, ...], bytes_too: bool) -> None:
-        k = len(got[0])
-        if k:
-            self.rows.append((np.full(k, doc), np.full(k, mark), np.full(k, self.size), *got))
-            self.n += k
+    def add(self, b: Batch, got: tuple[np.ndarray, ...], bytes_too: bool) -> None:
+        of, key, start, n, content = got
+        if len(of):
+            self.rows.append((b.doc[of], b.mark[of], start + self.size, key, start - b.begin[of], n, content))
+            self.n += len(of)
             if bytes_too:
-                self.data.append(data)
-                self.size += len(data)
+                self.data.append(b.data)
+                self.size += len(b.data)
 
     def columns(self) -> list[np.ndarray]:
         return [np.concatenate(x) for x in zip(*self.rows, strict=True)]
@@ -386,14 +416,11 @@ def equal_runs(docs: DataFrame, known, segments: int) -> DataFrame:
             cols += [pa.array([r[3] and r[3][j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))]
             return pa.RecordBatch.from_arrays(cols, ["segment", "wide", "runs", "doc", "mark", "spans"])
 
-        for batch in batches:
-            for doc, mark, text in zip(*batch.columns, strict=True):
-                data = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), dtype=np.uint8)
-                if len(data) >= SPAN:
-                    held.add(doc.as_py(), mark.as_py(), data, _candidates(data, known.value), bytes_too=False)
-                if held.n > 2_000_000:
-                    yield flush()
-                    held = _Held()
+        for b in batched(batches):
+            held.add(b, _candidates(b, known.value), bytes_too=False)
+            if held.n > 2_000_000:
+                yield flush()
+                held = _Held()
         yield flush()
 
     def match(key, part):
@@ -429,20 +456,17 @@ def unequal_runs(docs: DataFrame, known, mixed, shards: int) -> DataFrame:
                     c = first[order[a:b]]
                     if len(c):
                         size = n[c] + SPAN - 1
-                        index = np.repeat(base[c] + start[c] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+                        index = np.repeat(base[c] - np.cumsum(size) + size, size) + np.arange(size.sum())
                         out.append((k, _pack(doc[c], mark[c], start[c], n[c], data[index])))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["shard", "chunks"])
 
-        for batch in batches:
-            for doc, mark, text in zip(*batch.columns, strict=True):
-                data = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), dtype=np.uint8)
-                if len(data) >= SPAN:
-                    got = _candidates(data, known.value)
-                    some = mixed.value.has(got[0])
-                    held.add(doc.as_py(), mark.as_py(), data, tuple(x[some] for x in got), bytes_too=True)
-                if held.size > HELD_BYTES:
-                    yield flush()
-                    held = _Held()
+        for b in batched(batches):
+            got = _candidates(b, known.value)
+            some = mixed.value.has(got[1])
+            held.add(b, tuple(x[some] for x in got), bytes_too=True)
+            if held.size > HELD_BYTES:
+                yield flush()
+                held = _Held()
         yield flush()
 
     return docs.mapInArrow(send, "shard int, chunks binary").groupBy("shard").applyInArrow(_shard_spans, "doc long, mark long, spans binary")
