@@ -14,7 +14,7 @@ from ..session import ship
 from .common import RollingHash, mix64, word_spans
 
 #: Labelled documents to fit on, at most (the bound of the broadcast); taken by lowest hash of the id, half for each label.
-FIT_ROWS = 4000
+FIT_ROWS = 2000
 #: Latent dimensions, neighbours that vote, and the power on their similarities.
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 15, 24
 HASHED = 2048
@@ -92,10 +92,10 @@ class Model:
         if len(labels) == 0 or labels.min() == labels.max():
             self.vectors = None
             return
-        x = np.stack([features(t) for t in texts])
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.3
+        x = np.stack([features(t).astype(np.float32) for t in texts])  # single precision halves what the driver holds
+        self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.3).astype(np.float32)
         y = _weigh(x, self.idf)
-        values, basis = np.linalg.eigh(y.T @ y)
+        basis = np.linalg.eigh((y.T @ y).astype(np.float64))[1]
         self.basis = basis[:, ::-1][:, :DIMENSIONS].astype(np.float32)
         self.vectors = self.project(y)
 
