@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tables as T
@@ -27,21 +27,7 @@ def key(res, atom) -> Column:
 
 
 def lookup(k: Column, of: dict, kind: str = "double") -> Column:
-    """The value of `k` in a fixed mapping, null if it has none.
-
-    Keys of one value share an IN list, which is tested by hashing; a map literal would be searched from the front for every row."""
-    by: dict = {}
-    for name, value in of.items():
-        by.setdefault(value, []).append(name)
-    out = None
-    for value, names in by.items():
-        test = k.isin(names)
-        out = F.when(test, F.lit(value).cast(kind)) if out is None else out.when(test, F.lit(value).cast(kind))
-    return out
-
-
-def map_lookup(k: Column, of: dict, kind: str = "double") -> Column:
-    """As lookup(), for mappings of many different values: one map literal, searched by key."""
+    """The value of `k` in a fixed mapping, null if it has none. One folded map literal, so `k` stands in the expression once."""
     m = F.create_map(*chain.from_iterable((F.lit(a), F.lit(b).cast(kind)) for a, b in of.items()))
     return F.try_element_at(m, k)
 
@@ -123,14 +109,20 @@ def solvation_class(fine) -> Column:
     return F.when(f == "H", "H").when(f.startswith("het:"), F.split_part(f, F.lit(":"), F.lit(2))).when(res.isin(T.TYPED_NUCLEOTIDES), nucleotide).otherwise(protein)
 
 
-def sigma(element, atom, res) -> Column:
-    """Solvation energy per area of an atom: its class's value and its own deviation; 0 for hydrogens.
+def sigma(fine, cls) -> Column:
+    """Solvation energy per area of an atom from its types: its class's value and its own deviation; 0 for hydrogens."""
+    f, c = col(fine), col(cls)
+    return F.when(f == "H", F.lit(0.0)).otherwise(F.coalesce(lookup(c, T.values(T.SOLVATION)), F.lit(0.0)) + F.coalesce(lookup(f, T.solvation_by_atom()), F.lit(0.0)))
 
-    A blank element is read off the atom name's first letter."""
-    el = norm(element)
-    el = F.when(el == "", F.coalesce(F.nullif(F.substring(norm(atom), 1, 1), F.lit("")), F.lit("C"))).otherwise(el)
-    fine = fine_type(el, atom, res)
-    return F.when(el.isin("H", "D"), F.lit(0.0)).otherwise(F.coalesce(lookup(solvation_class(fine), T.values(T.SOLVATION)), F.lit(0.0)) + F.coalesce(map_lookup(fine, T.solvation_by_atom()), F.lit(0.0)))
+
+def with_types(atoms: DataFrame) -> DataFrame:
+    """`atoms` with fine_type, solvation_class and sigma. A blank element is read off the atom name's first letter.
+
+    Each column builds on the one before it as a column, which keeps the expressions from multiplying."""
+    el = norm("element")
+    el = F.when(el == "", F.coalesce(F.nullif(F.substring(norm("atom_name"), 1, 1), F.lit("")), F.lit("C"))).otherwise(el)
+    d = atoms.withColumn("_el", el).withColumn("fine_type", fine_type("_el", "atom_name", "res_name")).drop("_el")
+    return d.withColumn("solvation_class", solvation_class("fine_type")).withColumn("sigma", sigma("fine_type", "solvation_class"))
 
 
 def is_apolar_class(cls) -> Column:
@@ -212,7 +204,7 @@ def residue_kind(res) -> Column:
 
 def mass(element, strict: bool = False) -> Column:
     """Atomic mass; unknown elements count as carbon, or are an error if `strict`."""
-    known = map_lookup(norm(element), T.values(T.MASSES))
+    known = lookup(norm(element), T.values(T.MASSES))
     return F.coalesce(known, F.raise_error(F.concat(F.lit("unknown element: "), col(element))).cast("double") if strict else F.lit(T.OTHER_MASS))
 
 

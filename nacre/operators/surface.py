@@ -116,8 +116,9 @@ def buried_surface(surface: DataFrame) -> DataFrame:
 
 
 def totals(surface: DataFrame) -> DataFrame:
-    """assembly_asa (all heavy atoms, water included) and assembly_bsa of each structure."""
-    return buried_surface(surface).groupBy("structure_id").agg(F.sum("asa_combined").alias("assembly_asa"), F.sum("bsa").alias("assembly_bsa"))
+    """assembly_asa (all heavy atoms, water included), and assembly_bsa: the molecules' areas alone less that, 0 at least."""
+    g = surface.groupBy("structure_id").agg(F.sum("asa_combined").alias("assembly_asa"), F.sum(F.when(F.col("molecule_id").isNotNull(), F.col("asa_alone")).otherwise(0.0)).alias("total_asa_alone"))
+    return g.withColumn("assembly_bsa", F.greatest(F.col("total_asa_alone") - F.col("assembly_asa"), F.lit(0.0)))
 
 
 def pair_burial(surface: DataFrame, least: float = 1e-6) -> DataFrame:
@@ -132,7 +133,7 @@ def residue_surface(atoms: DataFrame, surface: DataFrame, burial: DataFrame, fac
     faces (structure_id, molecule_1, molecule_2, atom_id): the interface's atoms; burial's if not given. Each atom's numbers are
     rounded (2, 2 and 4 places) before they are added, and the sums again."""
     res = ["structure_id", "molecule_1", "molecule_2", "molecule_id", "auth_asym_id", "res_seq", "icode"]
-    where = atoms.where("molecule_id IS NOT NULL").select("structure_id", "atom_id", "molecule_id", "auth_asym_id", "res_seq", "icode", "res_name", "label_comp_id", chem.sigma("element", "atom_name", "res_name").alias("sigma"))
+    where = chem.with_types(atoms.where("molecule_id IS NOT NULL")).select("structure_id", "atom_id", "molecule_id", "auth_asym_id", "res_seq", "icode", "label_comp_id", "sigma")
     face = burial if faces is None else faces
     touched = face.select("structure_id", "molecule_1", "molecule_2", "atom_id").join(where, ["structure_id", "atom_id"]).select(*res).distinct()
     d = touched.join(where, ["structure_id", "molecule_id", "auth_asym_id", "res_seq", "icode"]).join(surface.select("structure_id", "atom_id", "asa_alone"), ["structure_id", "atom_id"])
