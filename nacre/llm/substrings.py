@@ -130,19 +130,24 @@ class Batch:
         np.cumsum([len(x) for x in data], out=self.begin[1:])
         self.hash = RollingHash(self.data)
 
-    def runs(self, gram: int, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, start, strings, key) of the runs of strings under one key; starts count from the batch's first byte."""
-        keys = window_keys(self.hash, gram) if keys is None else keys
-        n = np.maximum(np.diff(self.begin) - SPAN + 1, 0)
-        of = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(of)) + (self.begin[:-1] - np.cumsum(n) + n)[of]
-        k = keys[place]
-        head = np.flatnonzero((k[1:] != k[:-1]) | (of[1:] != of[:-1])) + 1
-        head = np.concatenate([np.zeros(min(1, len(of)), np.int64), head])
-        return of[head], place[head], np.diff(np.append(head, len(of))), k[head]
-
-
-def batched(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[Batch]:
+        keys = window_keys(self.hash, gram)
+        if not len(keys):
+            return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        edge = np.ones(len(keys) + 1, dtype=bool)
+        np.not_equal(keys[1:], keys[:-1], out=edge[1:-1])
+        edge[self.begin[:-1][self.begin[:-1] < len(keys)]] = True
+        last = self.begin[1:] - SPAN + 1  # the first string of each document that would cross into the next
+        edge[last[(last >= 0) & (last < len(keys))]] = True
+        head = np.flatnonzero(edge)
+        start, n = head[:-1], np.diff(head)
+        of = np.searchsorted(self.begin, start, side="right") - 1
+        whole = start + SPAN <= self.begin[of + 1]
+        return of[whole], start[whole], n[whole], keys[start[whole]]
+
+
+def batched(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[Batch]:
     """Documents (doc, mark, text) in batches of about `most` bytes; those too short for any string are left out."""
     doc, mark, data, size = [], [], [], 0
     for batch in batches:
