@@ -270,13 +270,11 @@ def assemblies(interfaces: DataFrame, molecules: DataFrame, masses: DataFrame) -
 
     interfaces: collapsed ones, with asu_1/2, rotation_1/2, translation_1/2; molecules: placements with asu and class; masses: molecules
     with mass, of the asymmetric unit."""
-    from .crystal import relative
-
     ship(interfaces.sparkSession)
-    e = relative(interfaces, "rotation_1", "translation_1", "rotation_2", "translation_2", "p")
+    e = interfaces
     none = lambda t: F.lit(None).cast(t)
     m = molecules.where("is_asu").join(masses.select("structure_id", "molecule_id", "mass"), ["structure_id", "molecule_id"])
-    rows = e.select("structure_id", F.col("asu_1").alias("a"), F.col("asu_2").alias("b"), "p.r", "p.t", F.col("stabilization_energy").alias("v"), F.col("interface_area").alias("area"), F.col("interface_id").cast("int").alias("interface_id"), none("boolean").alias("ligand"))
+    rows = e.select("structure_id", F.col("asu_1").alias("a"), F.col("asu_2").alias("b"), F.col("rel_rotation").alias("r"), F.col("rel_translation").alias("t"), F.col("stabilization_energy").alias("v"), F.col("interface_area").alias("area"), F.col("interface_id").cast("int").alias("interface_id"), none("boolean").alias("ligand"))
     rows = rows.union(m.select("structure_id", "asu", none("string"), none("array<int>"), none("array<int>"), "mass", none("double"), none("int"), F.col("molecule_class") == "Ligand"))
 
     def settle(key, part):

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import math
 import re
+from collections.abc import Iterator
 from fractions import Fraction
-
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import chem
+from ..session import ship
 from .spatial import range_join
 
 UNIT = 24
@@ -154,62 +160,57 @@ def canonical_symbol(symbol) -> Column:
     return F.coalesce(chem.lookup(name, ALIASES, "string"), name)
 
 
-def cell_matrix(cell: str = "cell") -> list[Column]:
-    """Nine numbers that take fractions to angstroms."""
-    a, b, c = (F.col(f"{cell}.{x}") for x in "abc")
-    al, be, ga = (F.radians(F.col(f"{cell}.{x}")) for x in ("alpha", "beta", "gamma"))
-    cx = c * F.cos(be)
-    cy = c * (F.cos(al) - F.cos(be) * F.cos(ga)) / F.sin(ga)
-    cz = F.sqrt(F.greatest(c * c - cx * cx - cy * cy, F.lit(0.0)))
-    zero = F.lit(0.0)
-    return [a, b * F.cos(ga), cx, zero, b * F.sin(ga), cy, zero, zero, cz]
+def cell_matrix(a: float, b: float, c: float, alpha: float, beta: float, gamma: float) -> np.ndarray:
+    """The matrix that takes fractions to angstroms."""
+    ca, cb, cg = (math.cos(math.radians(x)) for x in (alpha, beta, gamma))
+    sg = math.sin(math.radians(gamma))
+    x, y = c * cb, c * (ca - cb * cg) / sg
+    return np.array([[a, b * cg, x], [0.0, b * sg, y], [0.0, 0.0, math.sqrt(max(c * c - x * x - y * y, 0.0))]])
+
+
+def window(m: np.ndarray, ops: list[Operator], centre: np.ndarray, extent: np.ndarray, cutoff: float) -> list[tuple[int, tuple[int, int, int], Operator]]:
+    """(operator number, cell, placement) of the copies whose enclosing spheres come within the cutoff of the unit's."""
+    inv = np.linalg.inv(m)
+    diagonal = float(np.linalg.norm(extent))
+    half = np.clip(np.ceil((diagonal + cutoff) * np.linalg.norm(inv, axis=1)), 1, 4).astype(int)
+    f = inv @ centre
+    out = []
+    for no, (r, t) in enumerate(ops, start=1):
+        rot, shift = np.array(r).reshape(3, 3), np.array(t)
+        middle = np.rint(f - (rot @ f + shift / UNIT)).astype(int)
+        for cell in product(*[range(int(k - h), int(k + h) + 1) for k, h in zip(middle, half, strict=True)]):
+            at = shift + UNIT * np.array(cell)
+            if no == 1 and not any(cell):
+                continue
+            if np.linalg.norm(m @ (rot @ f + at / UNIT) - centre) <= diagonal + cutoff:
+                out.append((no, cell, (r, tuple(int(v) for v in at))))
+    return out
 
 
 def placements(atoms: DataFrame, structures: DataFrame, cutoff: float) -> DataFrame:
-    """Copies that may come within the cutoff of the asymmetric unit: structure_id, symop_no, cell (i, j, k), exact rotation and
+    """Copies that may come within the cutoff of the asymmetric unit: structure_id, symop_no, triplet, cell (i, j, k), exact rotation and
     translation (1/24), and m (nine) and t (three) that place an atom in angstroms.
 
-    For each operator a window of cells around the one nearest to the unit is laid out; copies whose enclosing spheres do not meet are
-    dropped at once. The identity itself is left out. Structures without cell or group have none; unknown groups are errors."""
-    spark = atoms.sparkSession
-    s = structures.where("space_group IS NOT NULL AND cell.a IS NOT NULL").withColumn("space_group", canonical_symbol("space_group"))
-    ops = F.broadcast(operator_table(spark))
-    unknown = F.raise_error(F.concat(F.lit("unknown space group: "), F.col("space_group"))).cast("int")
-    s = s.select("structure_id", "space_group", "cell").join(ops, "space_group", "left").withColumn("symop_no", F.coalesce("symop_no", unknown))
-    m = cell_matrix()
-    s = s.withColumn("m", F.array(*m)).drop("cell")
+    One small kernel row per structure; atoms are not touched but for their means and extents. The identity itself is left
+    out. Structures without cell or group have no copies; unknown groups are errors."""
+    ship(atoms.sparkSession)
     ext = atoms.groupBy("structure_id").agg(*[F.avg(x).alias(f"c{x}") for x in "xyz"], *[(F.max(x) - F.min(x)).alias(f"w{x}") for x in "xyz"])
-    s = s.join(ext, "structure_id")
-    g = [F.get("m", F.lit(k)) for k in range(9)]
-    # The matrix is upper triangular: fractions come by back substitution, widths between cell faces from its inverse's rows.
-    fz = F.col("cz") / g[8]
-    fy = (F.col("cy") - g[5] * fz) / g[4]
-    fx = (F.col("cx") - g[1] * fy - g[2] * fz) / g[0]
-    diagonal = F.sqrt(sum((F.col(f"w{x}") * F.col(f"w{x}") for x in "yz"), F.col("wx") * F.col("wx")))
-    s = s.withColumn("f", F.array(fx, fy, fz)).withColumn("diagonal", diagonal)
-    i12, i23 = -g[1] / (g[0] * g[4]), -g[5] / (g[4] * g[8])
-    i13 = (g[1] * g[5] - g[2] * g[4]) / (g[0] * g[4] * g[8])
-    widths = [1 / F.sqrt(1 / (g[0] * g[0]) + i12 * i12 + i13 * i13), 1 / F.sqrt(1 / (g[4] * g[4]) + i23 * i23), g[8]]
-    for k, w in enumerate(widths):
-        half = F.least(F.greatest(F.ceil((F.col("diagonal") + cutoff) / w), F.lit(1)), F.lit(4))
-        moved = sum((F.get("rotation", F.lit(3 * k + j)) * F.get("f", F.lit(j)) for j in range(3)), F.get("translation", F.lit(k)) / F.lit(float(UNIT)))
-        centre = F.rint(F.get("f", F.lit(k)) - moved).cast("int")
-        s = s.withColumn(f"n{k}", F.explode(F.sequence(centre - half.cast("int"), centre + half.cast("int"))))
-    s = s.withColumn("translation", F.array(*[F.get("translation", F.lit(k)) + UNIT * F.col(f"n{k}") for k in range(3)]))
-    identity = (F.col("rotation") == F.array(*[F.lit(v) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)])) & (F.col("translation") == F.array(F.lit(0), F.lit(0), F.lit(0)))
-    s = s.where(~identity)
-    # M R M^-1 and M t, with M's inverse in closed form.
-    inv = [1 / g[0], i12, i13, F.lit(0.0), 1 / g[4], i23, F.lit(0.0), F.lit(0.0), 1 / g[8]]
-    s = s.withColumn("inv", F.array(*inv))
-    mr = F.array(*[sum((g[3 * i + k] * F.get("rotation", F.lit(3 * k + j)) for k in range(1, 3)), g[3 * i] * F.get("rotation", F.lit(j))) for i in range(3) for j in range(3)])
-    s = s.withColumn("mr", mr)
-    full = F.array(*[sum((F.get("mr", F.lit(3 * i + k)) * F.get("inv", F.lit(3 * k + j)) for k in range(1, 3)), F.get("mr", F.lit(3 * i)) * F.get("inv", F.lit(j))) for i in range(3) for j in range(3)])
-    t = F.array(*[sum((g[3 * i + k] * F.get("translation", F.lit(k)) for k in range(1, 3)), g[3 * i] * F.get("translation", F.lit(0))) / F.lit(float(UNIT)) for i in range(3)])
-    s = s.withColumn("place", full).withColumn("t", t)
-    centre = [F.get("t", F.lit(i)) + sum((F.get("place", F.lit(3 * i + j)) * F.col(f"c{x}") for j, x in enumerate("xyz")), F.lit(0.0)) - F.col(f"c{'xyz'[i]}") for i in range(3)]
-    apart = F.sqrt(sum((c * c for c in centre[1:]), centre[0] * centre[0]))
-    s = s.where(apart <= F.col("diagonal") + cutoff)
-    return s.select("structure_id", "symop_no", "triplet", F.col("n0").alias("i"), F.col("n1").alias("j"), F.col("n2").alias("k"), "rotation", "translation", F.col("place").alias("m"), "t")
+    s = structures.where("space_group IS NOT NULL AND cell.a IS NOT NULL").select("structure_id", "space_group", *[F.col(f"cell.{c}").alias(c) for c in ("a", "b", "c", "alpha", "beta", "gamma")]).join(ext, "structure_id")
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                m = cell_matrix(*(r[c] for c in ("a", "b", "c", "alpha", "beta", "gamma")))
+                inv = np.linalg.inv(m)
+                ops = operators_of(r["space_group"])
+                for no, cell, (rot, at) in window(m, ops, np.array([r[f"c{x}"] for x in "xyz"]), np.array([r[f"w{x}"] for x in "xyz"]), cutoff):
+                    place = m @ np.array(rot).reshape(3, 3) @ inv
+                    rows.append((r["structure_id"], no, triplet(ops[no - 1]), *cell, list(rot), list(at), place.ravel().tolist(), (m @ (np.array(at) / UNIT)).tolist()))
+            kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 3, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["structure_id", "symop_no", "triplet", "i", "j", "k", "rotation", "translation", "m", "t"])
+
+    return s.mapInArrow(lay_out, "structure_id string, symop_no int, triplet string, i int, j int, k int, rotation array<int>, translation array<int>, m array<double>, t array<double>")
 
 
 def expand(atoms: DataFrame, structures: DataFrame, cutoff: float | None = None, exclude_water: bool = True) -> DataFrame:
@@ -252,43 +253,41 @@ def _by_structure(*order: str):
     return W.partitionBy("structure_id").orderBy(*order)
 
 
-# --- exact algebra on columns: r is an array of nine integers, t of three in 1/24 ---------------------------------------
-
+# --- exact algebra of placements: nine integers, three in 1/24 ----------------------------------------------------------
 
-def _at(a: Column, k: int) -> Column:
-    return F.get(a, F.lit(k))
 
+def inverse_rotation(r: np.ndarray) -> np.ndarray:
+    """The inverse of an integer matrix of determinant 1 or -1, in integers."""
+    cofactors = np.array([np.cross(r[1], r[2]), np.cross(r[2], r[0]), np.cross(r[0], r[1])])
+    return cofactors.T * int(r[0] @ cofactors[0])
 
-def compose(r1, t1, r2, t2) -> tuple[Column, Column]:
-    """The placement that applies (r2, t2) first."""
-    r1, t1, r2, t2 = map(chem.col, (r1, t1, r2, t2))
-    r = F.array(*[_at(r1, 3 * i) * _at(r2, j) + _at(r1, 3 * i + 1) * _at(r2, 3 + j) + _at(r1, 3 * i + 2) * _at(r2, 6 + j) for i, j in product(range(3), range(3))])
-    t = F.array(*[_at(t1, i) + _at(r1, 3 * i) * _at(t2, 0) + _at(r1, 3 * i + 1) * _at(t2, 1) + _at(r1, 3 * i + 2) * _at(t2, 2) for i in range(3)])
-    return r, t
 
+def seen_from(first: tuple, second: tuple) -> tuple[list[int], list[int]]:
+    """The second placement as the first sees it."""
+    r1, r2 = np.array(first[0]).reshape(3, 3), np.array(second[0]).reshape(3, 3)
+    inv = inverse_rotation(r1)
+    return (inv @ r2).ravel().tolist(), (inv @ (np.array(second[1]) - np.array(first[1]))).tolist()
 
-def inverse_rotation(r) -> Column:
-    """The inverse of an integer matrix of determinant 1 or -1: its adjugate times the determinant."""
-    m = [_at(chem.col(r), k) for k in range(9)]
-    adj = [m[4] * m[8] - m[5] * m[7], m[2] * m[7] - m[1] * m[8], m[1] * m[5] - m[2] * m[4], m[5] * m[6] - m[3] * m[8], m[0] * m[8] - m[2] * m[6], m[2] * m[3] - m[0] * m[5], m[3] * m[7] - m[4] * m[6], m[1] * m[6] - m[0] * m[7], m[0] * m[4] - m[1] * m[3]]
-    det = m[0] * adj[0] + m[1] * adj[3] + m[2] * adj[6]
-    return F.array(*[a * det for a in adj])
 
+def with_relative(pairs: DataFrame) -> DataFrame:
+    """`pairs` (asu_k, rotation_k, translation_k) with rel_rotation, rel_translation (2 seen from 1) and eq_key.
 
-def relative(d: DataFrame, r1: str, t1: str, r2: str, t2: str, name: str) -> DataFrame:
-    """`d` with struct `name` (r, t): the second placement as seen from the first."""
-    d = d.withColumn("_ri", inverse_rotation(r1)).withColumn("_dt", F.array(*[_at(F.col(t2), i) - _at(F.col(t1), i) for i in range(3)]))
-    zero = F.array(F.lit(0), F.lit(0), F.lit(0))
-    r, t = compose("_ri", zero, r2, "_dt")
-    return d.withColumn(name, F.struct(r.alias("r"), t.alias("t"))).drop("_ri", "_dt")
+    The key is one for all symmetry copies of a pair: the lesser of (first, second, relative) and the same the other way round."""
+    ship(pairs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("asu_1", "asu_2", "rotation_1", "translation_1", "rotation_2", "translation_2")]
+            rel, keys = [], []
+            for a1, a2, r1, t1, r2, t2 in zip(*cols, strict=True):
+                there, back = seen_from((r1, t1), (r2, t2)), seen_from((r2, t2), (r1, t1))
+                rel.append(there)
+                keys.append(json.dumps(min((a1, a2, *there), (a2, a1, *back))))
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in rel], ints), pa.array([t for _, t in rel], ints), pa.array(keys, pa.string())], [*b.schema.names, "rel_rotation", "rel_translation", "eq_key"])
 
-def with_equivalence_key(pairs: DataFrame) -> DataFrame:
-    """`pairs` (asu_1, rotation_1, translation_1 and the same of 2) with eq_key, one for all copies of an interface: the lesser of
-    (first, second, second seen from first) and the same the other way round."""
-    d = relative(relative(pairs, "rotation_1", "translation_1", "rotation_2", "translation_2", "_p"), "rotation_2", "translation_2", "rotation_1", "translation_1", "_q")
-    key = lambda a, b, p: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"{p}.r").alias("r"), F.col(f"{p}.t").alias("t"))
-    return d.withColumn("eq_key", F.least(key("asu_1", "asu_2", "_p"), key("asu_2", "asu_1", "_q"))).drop("_p", "_q")
+    fields = [T.StructField("rel_rotation", T.ArrayType(T.IntegerType())), T.StructField("rel_translation", T.ArrayType(T.IntegerType())), T.StructField("eq_key", T.StringType())]
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, *fields]))
 
 
 def molecule_placements(atoms: DataFrame) -> DataFrame:
@@ -303,7 +302,7 @@ def collapse_equivalent(interfaces: DataFrame, molecules: DataFrame) -> DataFram
     for k in (1, 2):
         m = molecules.select("structure_id", F.col("molecule_id").alias(f"molecule_{k}"), F.col("asu").alias(f"asu_{k}"), F.col("rotation").alias(f"rotation_{k}"), F.col("translation").alias(f"translation_{k}"))
         d = d.join(m, ["structure_id", f"molecule_{k}"])
-    d = with_equivalence_key(d).withColumn("eq_key", F.to_json("eq_key"))
+    d = with_relative(d)
     cols = [c for c in d.columns if c not in ("structure_id", "eq_key", "n_occurrences")]
     g = d.groupBy("structure_id", "eq_key").agg(F.min_by(F.struct(*cols), F.struct("molecule_1", "molecule_2")).alias("_f"), F.count(F.lit(1)).alias("n_occurrences"))
     return g.select("structure_id", "_f.*", "n_occurrences")
