@@ -108,10 +108,10 @@ def estimate(a, b):
 
 
 def margin(threshold: float) -> float:
-    """Six standard deviations of the estimate at the threshold."""
+    """Four and a half standard deviations of the estimate at the threshold: three links in a million fall outside."""
     chance = 1.0 / (1 << BITS)
     p = chance + (1 - chance) * threshold
-    return 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
+    return 4.5 * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -127,7 +127,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
 
     1. One pass signs every whole text. Documents of one and the same set form a class; its smallest id speaks for it, so
        copies, however many, cost a partial aggregate. 2. The classes' band hashes make buckets; each member is paired with
-       its bucket's smallest id (an aggregate, not a list), pairs are estimated by bit counts, and those within six
+       its bucket's best met member (an aggregate, not a list), pairs are estimated by bit counts, and those within six
        deviations of the threshold are confirmed on full sets. 3. Buckets whose members are not yet all connected are joined
        with themselves, for members of different components only, under the same estimate, and confirmed: no link between
        parts that are not connected already is lost. Full sets are made for documents in some pair alone.
@@ -140,9 +140,12 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     classes = durable(content.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("rep")))
     reps = durable(content.join(classes, ["n", "d0", "d1"]).where("doc_id = rep").dropDuplicates(["doc_id", "d0", "d1"]).select(F.col("doc_id").alias("id"), "n", "bands", "sig"))
     members = reps.select("id", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("lo")).where("m > 1")
-    mates = durable(members.join(buckets, "bucket").select("bucket", "id", "lo"))
-    stars = mates.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    mates = durable(members.join(buckets, "bucket").select("bucket", "id", "m"))
+    # The member that meets most others is the least changed of its group: most of the rest link with it at once.
+    meets = mates.groupBy("id").agg(F.sum("m").alias("meets"))
+    heads = mates.join(meets, "id").groupBy("bucket").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("head"))
+    stars = mates.join(heads, "bucket").where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
 
     sig = reps.select("id", "sig", "n")
     left, right = sig.withColumnsRenamed({"id": "a", "sig": "x", "n": "na"}), sig.withColumnsRenamed({"id": "b", "sig": "y", "n": "nb"})
