@@ -52,23 +52,25 @@ def dedup(documents: DataFrame) -> DataFrame:
     A run repeats if all its windows of WINDOW lines, or its long lines, also occur at an earlier (doc_id, place); the whole
     input is judged, not what is left. Lines without a word are never removed and break no run. Repeated rows (same id and
     text) are one document and share its cuts; null texts stay null, with no lines; n_chars, if there, is made new."""
-    cuts = repeated_runs(documents).withColumnsRenamed({"doc_id": "doc_id_", "text_hash": "text_hash_"})
     cols = documents.columns
     names = [c for c in cols if c not in ("n_lines", "n_removed", "n_runs")]
-    d = documents.select(*names, F.xxhash64("text").alias("text_hash_of"))
-    d = d.join(cuts, d["doc_id"].eqNullSafe(cuts["doc_id_"]) & (F.col("text_hash_of") == F.col("text_hash_")), "left").drop("doc_id_", "text_hash_", "text_hash_of")
+    own = ["_".join(["", *cols, n]) for n in ("doc_id", "hash", "of", "cut")]  # names that none of the columns can have
+    cuts = repeated_runs(documents).toDF(own[0], own[1], own[3])
+    d = documents.select(*names, F.xxhash64("text").alias(own[2]))
+    d = d.join(cuts, F.col("doc_id").eqNullSafe(F.col(own[0])) & (F.col(own[2]) == F.col(own[1])), "left").drop(*own[:3])
+    cut = F.col(own[3])
     inked = lambda x: F.translate(x, _BLANKS, "") != ""
     # Each line gets its place among the lines with words, then the cut ones go.
     numbered = F.aggregate(
         F.split("text", "\n"),
         F.struct(F.lit(-1).alias("k"), F.array().cast("array<string>").alias("kept")),
-        lambda a, x: F.struct((a["k"] + inked(x).cast("int")).alias("k"), F.when(inked(x) & F.array_contains("cut", a["k"] + 1), a["kept"]).otherwise(F.array_append(a["kept"], x)).alias("kept")),
+        lambda a, x: F.struct((a["k"] + inked(x).cast("int")).alias("k"), F.when(inked(x) & F.array_contains(cut, a["k"] + 1), a["kept"]).otherwise(F.array_append(a["kept"], x)).alias("kept")),
     )["kept"]
     d = d.withColumn("n_lines", F.coalesce(F.size(F.filter(F.split("text", "\n"), inked)), F.lit(0)).cast("long"))
     d = d.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")))
-    d = d.withColumn("n_removed", F.when(F.col("cut").isNull(), F.lit(0)).otherwise(F.size("cut")).cast("long"))
-    d = d.withColumn("n_runs", F.when(F.col("cut").isNull(), F.lit(0)).otherwise(F.size(F.filter("cut", lambda i: ~F.array_contains("cut", i - 1)))).cast("long"))
-    d = d.withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(numbered, "\n"))).drop("cut")
+    d = d.withColumn("n_removed", F.when(cut.isNull(), F.lit(0)).otherwise(F.size(cut)).cast("long"))
+    d = d.withColumn("n_runs", F.when(cut.isNull(), F.lit(0)).otherwise(F.size(F.filter(cut, lambda i: ~F.array_contains(cut, i - 1)))).cast("long"))
+    d = d.withColumn("text", F.when(cut.isNull(), F.col("text")).otherwise(F.array_join(numbered, "\n"))).drop(own[3])
     if "n_chars" in names:
         d = d.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return d

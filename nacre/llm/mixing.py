@@ -76,13 +76,16 @@ def materialise(documents: DataFrame, **options) -> DataFrame:
     All columns of documents come back; n_chars, if there, is the text's new length."""
     m = mix(documents, **options).select(F.col("doc_id").alias("of"), "size", "whole", "part").where("whole > 0 OR part > 0").dropDuplicates(["of", "size"])
     cols = documents.columns
-    j = documents.withColumn("size_", n_words()).join(m, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("size_") == F.col("size")))
+    # The row travels in a struct, so that its columns' names cannot meet those made here.
+    d = documents.select(F.struct(*cols).alias("row"), n_words().alias("n"))
+    j = d.join(m, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.col("n") == F.col("size")))
     copies = F.when(F.col("whole") > 0, F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int"))).otherwise(F.array().cast("array<long>"))
-    cut = F.when(F.col("part") > 0, F.array(F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(F.lit(-1).cast("long")))).otherwise(F.array().cast("array<long>"))
-    j = j.withColumn("take", F.explode(F.concat(copies, cut)))
-    # The text up to the end of its part-th word: words are split once, and only for cut copies.
-    pieces = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    j = j.withColumn("text", F.when(F.col("take") < 0, F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("take").cast("int")), "")))
+    last = F.when(F.col("part") > 0, F.array(F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(F.lit(-1).cast("long")))).otherwise(F.array().cast("array<long>"))
+    j = j.select("row", F.explode(F.concat(copies, last)).alias("take"))
+    # The text up to the end of its take-th word: words are split only for cut copies.
+    pieces = F.regexp_extract_all("row.text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    j = j.withColumn("cut", F.when(F.col("take") < 0, F.col("row.text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("take").cast("int")), "")))
+    new = {"text": F.col("cut")}
     if "n_chars" in cols:
-        j = j.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return j.select(*cols)
+        new["n_chars"] = F.length("cut").cast(documents.schema["n_chars"].dataType)
+    return j.select(*[new.get(c, F.col("row")[c]).alias(c) for c in cols])
