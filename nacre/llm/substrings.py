@@ -384,12 +384,16 @@ class _Held:
         return [np.concatenate(x) for x in zip(*self.rows, strict=True)]
 
 
-def _first_of_equal(doc: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the least document of each content, places whose content a smaller document has too)."""
+def _by_content(doc: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of one run of each content; of all runs of the least document with their content (it may hold several); and of the
+    others, whose content a smaller document has too."""
     order = np.lexsort((doc, content))
-    same = np.r_[False, content[order][1:] == content[order][:-1]]
-    least = np.repeat(doc[order][~same], np.diff(np.r_[np.flatnonzero(~same), len(order)]))
-    return order[~same], order[doc[order] > least]
+    c = content[order]
+    head = np.append(True, c[1:] != c[:-1])[: len(order)]
+    starts = np.flatnonzero(head)
+    least = np.repeat(doc[order][starts], np.diff(np.append(starts, len(order))))
+    later = doc[order] > least
+    return order[starts], order[~later], order[later]
 
 
 def equal_runs(docs: DataFrame, known, segments: int) -> DataFrame:
@@ -405,7 +409,7 @@ def equal_runs(docs: DataFrame, known, segments: int) -> DataFrame:
             local, parts = [], [b""] * segments
             if held.rows:
                 doc, mark, _, key, start, n, content = held.columns()
-                first, gone = _first_of_equal(doc, content)
+                _, first, gone = _by_content(doc, content)
                 local = _span_rows(doc[gone], mark[gone], start[gone], start[gone] + n[gone] + SPAN - 1)
                 order, cut = _by_segment(key[first], segments)
                 first = first[order]
@@ -435,9 +439,9 @@ def equal_runs(docs: DataFrame, known, segments: int) -> DataFrame:
             return _spans_table(passed)
         keys, content, doc, mark, start, n = (np.concatenate(x) for x in zip(*got, strict=True))
         start = start.astype(np.int64)
-        first, gone = _first_of_equal(doc, content)
+        one, _, gone = _by_content(doc, content)
         rows = _span_rows(doc[gone], mark[gone], start[gone], start[gone] + n[gone] + SPAN - 1)
-        k, times = np.unique(keys[first], return_counts=True)
+        k, times = np.unique(keys[one], return_counts=True)
         return _spans_table(passed + rows, key[0].as_py(), Filter.build(k[times > 1], segments, FILTER_BYTES))
 
     sent = docs.mapInArrow(send, "segment int, wide boolean, runs binary, doc long, mark long, spans binary")
@@ -455,7 +459,7 @@ def unequal_runs(docs: DataFrame, known, mixed, shards: int) -> DataFrame:
             if held.rows:
                 doc, mark, base, key, start, n, content = held.columns()
                 data = np.concatenate(held.data)
-                first, _ = _first_of_equal(doc, content)
+                _, first, _ = _by_content(doc, content)
                 order, cut = _by_segment(mix64(key[first]), shards)
                 for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                     c = first[order[a:b]]
@@ -484,7 +488,7 @@ def dedup(documents: DataFrame) -> DataFrame:
     documents and are judged on the whole input. 1. Each string has a key, the least hash of its grams; keys that several
     rows hold are found by counting and put in a filter of bounded size: strings of other keys occur once. 2. Runs of strings under
     one key are compared by the hash of their bytes; those that a smaller document has whole are settled. 3. Keys of unequal
-    runs (where matches begin and end) send one run of each content and task, as bytes, to the key's shard. A shard sorts them
+    runs (where matches begin and end) send the least document's runs of each content and task, as bytes, to the key's shard. A shard sorts them
     in suffix arrays of BLOCK_BYTES, finds equal strings by common prefixes, and merges its blocks' sorted strings by binary search.
     Equal strings always share a shard, so shards need no merging among themselves. 4. Spans are joined to their texts and cut.
     Null texts are empty; texts under SPAN bytes lose nothing; rows of one id never remove from each other; rows without an id
