@@ -114,12 +114,13 @@ def margin(threshold: float) -> float:
     return 4.5 * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as num / den."""
+def _compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) with linked (full sets as similar as num / den) and apart (their Jaccard distance)."""
     left, right = sets.withColumnsRenamed({"id": "a", "s": "sa"}), sets.withColumnsRenamed({"id": "b", "s": "sb"})
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     j = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("all"))
-    return j.where(den * F.col("both") >= num * (F.col("all") - F.col("both"))).select("a", "b")
+    either = F.col("all") - F.col("both")
+    return j.select("a", "b", (den * F.col("both") >= num * either).alias("linked"), (1 - F.col("both") / either).alias("apart"))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -144,7 +145,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     mates = durable(members.join(buckets, "bucket").select("bucket", "id", "m"))
     # The member that meets most others is the least changed of its group: most of the rest link with it at once.
     meets = mates.groupBy("id").agg(F.sum("m").alias("meets"))
-    heads = mates.join(meets, "id").groupBy("bucket").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("head"))
+    heads = durable(mates.join(meets, "id").groupBy("bucket").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("head")))
     stars = mates.join(heads, "bucket").where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
 
     sig = reps.select("id", "sig", "n")
@@ -157,19 +158,28 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
         ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
         return durable(full_sets(documents, k, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
-    links = durable(_confirm(pairs, sets_of(pairs), num, den))
+    scored = durable(_compare(pairs, sets_of(pairs), num, den))
+    links = scored.where("linked").select("a", "b")
     parts = durable(components(links))
     # Whoever is in no link yet is a part of its own.
     placed = durable(mates.select("bucket", "id").join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part")))
     open_ = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
-    rest = durable(placed.join(open_, "bucket", "left_semi").join(sig, "id"))
-    r1 = rest.select("bucket", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("sig").alias("x"), F.col("n").alias("na"))
-    r2 = rest.select("bucket", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("sig").alias("y"), F.col("n").alias("nb"))
-    # The estimate is a condition of the join itself, so pairs that are no candidates never become rows.
-    late = r1.join(r2, (r1["bucket"] == r2["bucket"]) & (F.col("pa") != F.col("pb")) & (F.col("a") < F.col("b")) & sizes & close).select("a", "b").distinct()
+    rest = placed.join(open_, "bucket", "left_semi").join(heads, "bucket").withColumn("a", F.least("id", "head")).withColumn("b", F.greatest("id", "head"))
+    far = F.when(F.col("id") == F.col("head"), F.lit(0.0)).otherwise(F.col("apart"))
+    rest = rest.join(scored.select("a", "b", "apart"), ["a", "b"], "left").select("bucket", "id", "part", far.alias("far"))
+    rest = durable(rest.join(reps.select("id", "sig", "n", "bands"), "id"))
+    r1, r2 = (rest.select(F.col("bucket").alias(f"bucket_{s}"), F.col("id").alias(s), F.col("part").alias(f"p{s}"), F.col("far").alias(f"f{s}"), F.col("sig").alias(x), F.col("n").alias(f"n{s}"), F.col("bands").alias(f"v{s}")) for s, x in (("a", "x"), ("b", "y")))
+    # All that rules a pair out is a condition of the join itself, so that pairs that are no candidates never become rows: they are
+    # of one part, too far from each other by their distances to the bucket's head (Jaccard distance is a metric), estimated as
+    # too far apart, or met in an earlier bucket.
+    reach = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= 1 - num / den + 1e-9, F.lit(True))
+    here = F.get(F.array_intersect("va", "vb"), F.lit(0)) == F.col("bucket_a")
+    met = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("pa") != F.col("pb")) & (F.col("a") < F.col("b"))
+    late = r1.join(r2, met & sizes & reach & close & here).select("a", "b").distinct()
     late = durable(late.join(pairs, ["a", "b"], "left_anti"))
     if not late.isEmpty():
-        parts = components(links.union(_confirm(late, sets_of(late), num, den)))
+        more = _compare(late, sets_of(late), num, den).where("linked").select("a", "b")
+        parts = components(links.union(more))
     of_class = classes.join(parts, classes["rep"] == parts["id"], "left").select("n", "d0", "d1", F.coalesce("component", "rep").alias("of"))
     out = signed.select("doc_id", "n", "d0", "d1").join(of_class, ["n", "d0", "d1"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).otherwise(F.col("doc_id"))
