@@ -40,8 +40,8 @@ class Analysis:
     _held: list[DataFrame] = field(default_factory=list)
 
     def __post_init__(self):
-        if self.mode not in ("pisa", "cocomaps", "combined"):
-            raise ValueError(f"mode must be pisa, cocomaps or combined, not {self.mode!r}")
+        if self.mode not in ("energy", "contacts", "combined"):
+            raise ValueError(f"mode must be energy, contacts or combined, not {self.mode!r}")
         if self.ligand_mode not in ("separate", "merge"):
             raise ValueError(f"ligand_mode must be separate or merge, not {self.ligand_mode!r}")
         if self.symmetry not in ("none", "crystal"):

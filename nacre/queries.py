@@ -470,3 +470,140 @@ def _c1(s, d):
 
     a = atoms(s, d).withColumn("molecule_class", F.lit("Protein")).withColumn("molecule_label", F.col("auth_asym_id")).withColumn("chain_type", F.lit("polymer")).withColumn("ccd_id", F.lit(None).cast("string")).withColumn("label_comp_id", F.col("res_name"))
     return Analysis(a.drop("label")).interfaces
+
+
+# --- confidence, comparison, crystal and graph operators -----------------------------------------------------------------
+@query("J14_reference_match", f"WITH {PAIRS}, o AS (SELECT m1, m2, count(*) AS n FROM pairs WHERE d < 3.0 GROUP BY ALL), t AS (SELECT m2 AS p, m1 AS q, count(*) AS n FROM pairs WHERE a_id % 3 = 0 GROUP BY ALL) SELECT coalesce(m1, q) AS m1, coalesce(m2, p) AS m2, o.n AS ours, t.n AS theirs, CASE WHEN t.n IS NULL THEN 'ours only' WHEN o.n IS NULL THEN 'theirs only' ELSE 'both' END AS status FROM o FULL JOIN t ON m1 = q AND m2 = p")
+def _j14(s, d):
+    from .operators import validate
+
+    p = contact_pairs(s, d)
+    label = lambda c: F.col(c).cast("string")
+    ours = p.where("distance < 3.0").groupBy("structure_id", label("molecule_1").alias("chain_1"), label("molecule_2").alias("chain_2")).agg(F.count(F.lit(1)).alias("interface_area"), F.lit(0.0).alias("solvation_energy"))
+    theirs = p.where("a_atom_id % 3 = 0").groupBy("structure_id", label("molecule_2").alias("chain_1"), label("molecule_1").alias("chain_2")).agg(F.count(F.lit(1)).alias("interface_area"), F.lit(0.0).alias("solvation_energy"))
+    c = validate.compare(ours, theirs)
+    return c.select(F.get("pair", F.lit(0)).cast("int").alias("m1"), F.get("pair", F.lit(1)).cast("int").alias("m2"), F.col("our_interface_area").alias("ours"), F.col("their_interface_area").alias("theirs"), "status")
+
+
+_INDEX = "ix AS (SELECT auth_asym_id, res_seq, row_number() OVER (ORDER BY min(atom_id)) - 1 AS i FROM heavy GROUP BY ALL)"
+
+
+@query("J24_aligned_error", f"WITH {PAIRS}, {_INDEX}, e AS (SELECT DISTINCT m1, m2, x.i, y.i AS j FROM pairs JOIN ix x ON x.auth_asym_id = ac AND x.res_seq = asq JOIN ix y ON y.auth_asym_id = bc AND y.res_seq = bsq) SELECT m1, m2, round(avg((i * 7 + j * 3) % 31), 6) AS pae FROM e GROUP BY ALL")
+def _j24(s, d):
+    from .operators import report
+
+    h, p = heavy(s, d), contact_pairs(s, d)
+    ix = report.residue_index(h).select("structure_id", "index")
+    matrix = ix.withColumnRenamed("index", "i").join(ix.withColumnRenamed("index", "j"), "structure_id").withColumn("pae", ((F.col("i") * 7 + F.col("j") * 3) % 31).cast("double"))
+    g = report.pae_scores(p, h, matrix)
+    return g.select(F.col("molecule_1").alias("m1"), F.col("molecule_2").alias("m2"), F.round("pae", 6).alias("pae"))
+
+
+@query("O10_residue_index", f"WITH {ATOMS}, {_INDEX} SELECT auth_asym_id, res_seq, i::INT AS residue_index FROM ix")
+def _o10(s, d):
+    from .operators import report
+
+    return report.residue_index(heavy(s, d)).select("auth_asym_id", "res_seq", F.col("index").alias("residue_index"))
+
+
+@query("P17_significance_filter", f"WITH {PAIRS}, g AS (SELECT m1, m2, round(1 / (1 + exp(-(-6.9088::DOUBLE + 0.8485::DOUBLE * ln(1 + count(*) * 40)))), 3) AS css FROM pairs GROUP BY ALL) SELECT m1, m2, css, row_number() OVER (ORDER BY m1, m2)::INT AS interface_id FROM g WHERE css >= 0.6")
+def _p17(s, d):
+    g = contact_pairs(s, d).groupBy("structure_id", F.col("molecule_1").alias("m1"), F.col("molecule_2").alias("m2")).agg(F.count(F.lit(1)).alias("n"))
+    g = g.withColumn("css", F.round(scalars.css(F.lit(0.0), F.col("n") * 40), 3)).where("css >= 0.6")
+    return g.select("m1", "m2", "css", F.row_number().over(W.partitionBy("structure_id").orderBy("m1", "m2")).alias("interface_id"))
+
+
+@query("P23_composition_counts", "SELECT p_partkey, 4 AS e, (p_size % 9 + 1)::INT AS i, 1 AS ca FROM part")
+def _p23(s, d):
+    m = scalars.composition_counts(F.concat(F.lit("E[4]I["), (F.col("p_size") % 9 + 1).cast("string"), F.lit("][CA]")))
+    return read(s, d, "part").select("p_partkey", *[F.try_element_at(m, F.lit(k)).alias(k.lower()) for k in ("E", "I", "CA")])
+
+
+@query("P30_p_value")
+def _p30(s, d):
+    """Rows only: DuckDB has no error function."""
+    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 10 - 2.5).alias("z")).withColumn("p", F.round(scalars.p_value("z"), 6)).drop("z")
+
+
+@query("E1_equivalence_classes")
+def _e1(s, d):
+    """Rows only: classes of placed pairs under a screw axis."""
+    from .operators import crystal
+
+    ops = crystal.operators_of("P 61 2 2")
+    rows = [("A" if k % 2 else "B", "B", list(p[0]), list(p[1]), list(q[0]), list(q[1])) for k, p in enumerate(ops) for q in ops]
+    frame = s.createDataFrame(rows, "asu_1 string, asu_2 string, rotation_1 array<int>, translation_1 array<int>, rotation_2 array<int>, translation_2 array<int>")
+    return crystal.with_relative(frame).groupBy("eq_key").agg(F.count(F.lit(1)).alias("n_occurrences"))
+
+
+@query("C6_space_groups")
+def _c6(s, d):
+    """Rows only: the table of operators."""
+    from .operators import crystal
+
+    return crystal.operator_table(s).groupBy("space_group").agg(F.count(F.lit(1)).alias("operators"))
+
+
+@query("C13_dissociation")
+def _c13(s, d):
+    """Rows only: subsets are searched by a kernel. Chains are bodies, their contacts edges."""
+    from .operators import assembly
+
+    h = heavy(s, d).where("molecule_id IS NOT NULL")
+    m = h.groupBy("structure_id", "molecule_id").agg(F.sum(chem.mass("element")).alias("mass"), F.first("auth_asym_id").alias("molecule_label"))
+    e = contact_pairs(s, d).groupBy("structure_id", "molecule_1", "molecule_2").agg((F.count(F.lit(1)) * -0.1).alias("stabilization_energy"), F.count(F.lit(1)).alias("interface_area"), F.lit("Protein").alias("class_1"), F.lit("Protein").alias("class_2"))
+    return assembly.dissociation(e, m).select("structure_id", F.round("dissociation_energy", 4).alias("energy"), F.size("parts").alias("parts"), "exact")
+
+
+@query("P32_formula", f"WITH {ATOMS}, m AS (SELECT auth_asym_id AS c, count(DISTINCT res_name) AS n FROM heavy GROUP BY ALL) SELECT string_agg(CASE WHEN n = 1 THEN c ELSE c || '[' || n || ']' END, '' ORDER BY c) AS composition, sum(n)::BIGINT AS size FROM m")
+def _p32(s, d):
+    from .operators import assembly
+
+    m = heavy(s, d).select("structure_id", F.col("auth_asym_id").alias("molecule_label"), F.lit("Protein").alias("molecule_class"), "res_name").distinct()
+    return assembly.formula_of(m).select("composition", "size")
+
+
+@query("A22_class_support", f"WITH {ATOMS}, t AS (SELECT {_CLASS} AS c, bfactor FROM heavy) SELECT c AS solvation_class, count(*) AS n, round(median(bfactor), 6) AS median FROM t GROUP BY ALL HAVING count(*) >= 20")
+def _a22(s, d):
+    g = chem.with_types(heavy(s, d)).groupBy("solvation_class").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("bfactor"), 6).alias("median"))
+    return g.where("n >= 20")
+
+
+@query("A25_least_squares", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem")
+def _a25(s, d):
+    from .operators import validate
+
+    w = validate.fit_linear(read(s, d, "lineitem").withColumn("one", F.lit(1.0)), ["l_quantity", "one"], "l_extendedprice")
+    return s.createDataFrame([(float(w[0]), float(w[1]))], "slope double, intercept double").select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"))
+
+
+@query("A26_folds", "WITH e AS (SELECT DISTINCT c_nationkey FROM customer) SELECT c_nationkey, ((row_number() OVER (ORDER BY md5('0:' || c_nationkey::VARCHAR)) - 1) % 5)::INT AS fold FROM e")
+def _a26(s, d):
+    from .operators import validate
+
+    return validate.folds(read(s, d, "customer"), "c_nationkey", 5)
+
+
+@query("E4_residue_matrix", f"WITH {ATOMS}, g AS (SELECT res_name, molecule_id % 3 AS m, sum(round(bfactor, 4)) AS b FROM heavy WHERE molecule_id IS NOT NULL GROUP BY ALL) SELECT res_name, " + ", ".join(f"round(coalesce(max(b) FILTER (m = {k}), 0), 4) AS c{k}" for k in range(3)) + " FROM g GROUP BY res_name")
+def _e4(s, d):
+    h = heavy(s, d).where("molecule_id IS NOT NULL").withColumn("m", F.concat(F.lit("c"), (F.col("molecule_id") % 3).cast("string")))
+    p = h.groupBy("res_name").pivot("m", ["c0", "c1", "c2"]).agg(F.sum(F.round("bfactor", 4))).fillna(0)
+    return p.select("res_name", *[F.round(f"c{k}", 4).alias(f"c{k}") for k in range(3)])
+
+
+@query("A16_rings")
+def _a16(s, d):
+    """Rows only: a plane's normal is an eigenvector. One perfect hexagon for each id."""
+    v = read(s, d, "embeddings").select(F.col("vec_id").alias("k"))
+    names = tables.groups(tables.RING_GROUPS)[0][1]
+    ring = v.select(F.lit("s").alias("structure_id"), F.lit(0).alias("molecule_id"), F.lit("A").alias("auth_asym_id"), F.col("k").cast("int").alias("res_seq"), F.lit("").alias("icode"), F.lit("PHE").alias("res_name"), "k", F.posexplode(F.array(*map(F.lit, names))).alias("j", "atom_name"))
+    a = F.col("j") * (3.141592653589793 / 3)
+    return C.rings(ring.select("*", (F.col("k") * 6 + F.col("j")).cast("int").alias("atom_id"), (F.cos(a) * 1.4 + F.col("k") * 10).alias("x"), (F.sin(a) * 1.4).alias("y"), F.lit(0.0).alias("z"))).select("res_seq", F.round("cx", 4).alias("cx"), F.round(F.abs("nz"), 4).alias("nz"))
+
+
+@query("P34_legacy_kind", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax * 10 < 0.5 AND l_discount * 10 >= 0.5 AND l_extendedprice / 50 >= 800 THEN 'biological' ELSE 'crystal' END AS kind, round(0.02::DOUBLE * l_extendedprice + 0.5::DOUBLE * (l_quantity + l_linenumber), 6) AS entropy FROM lineitem")
+def _p34(s, d):
+    from .functions import legacy
+
+    x = read(s, d, "lineitem")
+    return x.select("l_orderkey", "l_linenumber", legacy.kind(F.col("l_tax") * 10, F.col("l_discount") * 10, F.col("l_extendedprice") / 50).alias("kind"), F.round(legacy.area_entropy("l_extendedprice", "l_quantity", "l_linenumber"), 6).alias("entropy"))
