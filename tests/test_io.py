@@ -91,3 +91,14 @@ def test_documents(spark, tmp_path):
     assert report.interpretation(totals).first().remarks and "buries" in report.results_sentence(totals).first().sentence
     assert report.hot_spots(a.residues, n=2).count() == 2 and report.residue_matrix(merged).count() == 4
     a.release()
+
+
+def test_engine_reads_both_formats(spark, tmp_path):
+    from nacre.engine import StructureEngine
+
+    (tmp_path / "x.cif").write_text(CIF)
+    (tmp_path / "y.pdb").write_text(line(1, "CA", "GLY", "B", 1, 0, 0, 0, "C") + "\n")
+    e = StructureEngine(spark)
+    atoms, structures = e.read(str(tmp_path))
+    assert {(r.structure_id, r.atom_name) for r in atoms.collect()} == {("x", "CA"), ("x", "O5'"), ("y", "CA")}
+    assert {r.structure_id for r in structures.collect()} == {"x", "y"}
