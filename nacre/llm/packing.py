@@ -24,7 +24,7 @@ QUADRATIC_AT = 2048.0
 #: Tokens that one packing block holds; it bounds a task's memory whatever the size of its input split.
 BLOCK_TOKENS = 4_000_000
 #: Words, and pieces of words, that a worker remembers the ids of.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 
 def default_tokenizer() -> str:
