@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 
-#: A run that repeats is at least so many lines, or one line of at least so many words.
+#: A run that repeats is at least so many lines, or fewer lines of at least so many words together.
 WINDOW, LONG_LINE = 3, 50
 _BLANKS = " \t\x0b\x0c\r"
 
@@ -19,23 +22,33 @@ def _hashes(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("x"), words(x).alias("n"))).alias("h"))
 
 
-def _fingerprints(hashes: DataFrame) -> DataFrame:
+def _short_runs(k: int) -> Column:
+    """The windows of k lines in a row, k from 2 on, that have LONG_LINE words together."""
+    of = lambda i, name: [F.get(F.col("h"), i + j)[name] for j in range(k)]
+    starts = F.when(F.size("h") >= k, F.sequence(F.lit(0), F.size("h") - k)).otherwise(F.array().cast("array<int>"))
+    enough = F.filter(starts, lambda i: reduce(add, of(i, "n")) >= LONG_LINE)
+    return F.transform(enough, lambda i: F.struct(F.xxhash64(*of(i, "x")).alias("fp"), i.alias("at"), F.lit(k).alias("lines"), F.xxhash64(*of(i, "x")).alias("content")))
+
+
+def _fingerprints(hashes: DataFrame, short: bool) -> DataFrame:
     """doc_id, text_hash, fp, and wins: the windows (place, lines, content) that the fingerprint stands for.
 
     Of every WINDOW lines in a row the least hash is selected, so any two equal windows select the same line; a long line
-    stands for itself too. A window's content is the hash of its lines from the fingerprint to both sides."""
+    stands for itself too, and so do, if `short`, fewer lines than WINDOW in a row that have LONG_LINE words together. A
+    window's content is the hash of its lines from the fingerprint to both sides."""
     x = lambda i: F.get(F.col("h"), i)["x"]
     windows = F.transform(
         F.when(F.size("h") >= WINDOW, F.sequence(F.lit(0), F.size("h") - WINDOW)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(F.least(*[x(i + j) for j in range(WINDOW)]).alias("fp"), i.alias("at"), F.lit(WINDOW).alias("lines"), F.xxhash64(*[x(i + j) for j in range(WINDOW)]).alias("content")),
     )
     long = F.filter(F.transform("h", lambda y, i: F.when(y["n"] >= LONG_LINE, F.struct(y["x"].alias("fp"), i.alias("at"), F.lit(1).alias("lines"), F.xxhash64(y["x"]).alias("content")))), lambda y: y.isNotNull())
-    return hashes.select("doc_id", "text_hash", F.explode(F.concat(windows, long)).alias("w")).select("doc_id", "text_hash", "w.*")
+    runs = [_short_runs(k) for k in range(2, WINDOW)] if short else []
+    return hashes.select("doc_id", "text_hash", F.explode(F.concat(windows, long, *runs)).alias("w")).select("doc_id", "text_hash", "w.*")
 
 
-def repeated_runs(documents: DataFrame) -> DataFrame:
+def repeated_runs(documents: DataFrame, short: bool = True) -> DataFrame:
     """doc_id, text_hash and cut: the places, among the lines with words, of all lines in later repeated runs."""
-    w = durable(_fingerprints(_hashes(documents)))
+    w = durable(_fingerprints(_hashes(documents), short))
     # Fingerprints are counted before anything else moves: partial counts, so a line that everybody has costs one row a task.
     again = w.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     found = durable(w.join(again, "fp", "left_semi"))
@@ -46,16 +59,16 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     return spans.select("doc_id", "text_hash", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["lines"] - 1)))).alias("cut"))
 
 
-def dedup(documents: DataFrame) -> DataFrame:
+def dedup(documents: DataFrame, short: bool = True) -> DataFrame:
     """`documents` with text less its later repeated runs, and n_lines, n_removed, n_runs (of lines that have a word).
 
-    A run repeats if all its windows of WINDOW lines, or its long lines, also occur at an earlier (doc_id, place); the whole
-    input is judged, not what is left. Lines without a word are never removed and break no run. Repeated rows (same id and
+    A run repeats if all its windows of WINDOW lines, or of fewer lines with LONG_LINE words together, also occur at an
+    earlier (doc_id, place); the whole input is judged, not what is left. Without `short`, of the latter only single lines count. Lines without a word are never removed and break no run. Repeated rows (same id and
     text) are one document and share its cuts; null texts stay null, with no lines; n_chars, if there, is made new."""
     cols = documents.columns
     names = [c for c in cols if c not in ("n_lines", "n_removed", "n_runs")]
     own = ["_".join(["", *cols, n]) for n in ("doc_id", "hash", "of", "cut")]  # names that none of the columns can have
-    cuts = repeated_runs(documents).toDF(own[0], own[1], own[3])
+    cuts = repeated_runs(documents, short).toDF(own[0], own[1], own[3])
     d = documents.select(*names, F.xxhash64("text").alias(own[2]))
     d = d.join(cuts, F.col("doc_id").eqNullSafe(F.col(own[0])) & (F.col(own[2]) == F.col(own[1])), "left").drop(*own[:3])
     cut = F.col(own[3])

@@ -163,6 +163,18 @@ def test_lines_odd(spark, odd, empty):
     assert [r.text for r in twice] == [LINES, LINES]
 
 
+def test_lines_short_runs(spark):
+    """A repeated passage of two lines that has 50 words together goes, alone or among others; one of 49 words stays."""
+    from corpus_pipeline import line_stage
+
+    say = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    two, less = say("a", 30) + "\n" + say("b", 20), say("c", 30) + "\n" + say("d", 19)
+    mixed = "head\n" + say("e", 60)
+    texts = [two, less, mixed, f"own one\n{two}\nown two", f"own three\n \n{less}", f"{mixed}\nown four", two, say("a", 30) + "\n \n" + say("b", 20) + "\nend"]
+    got = {r.doc_id: r.text for r in line_stage(spark, frame(spark, texts), DATA).collect()}
+    assert got == {0: two, 1: less, 2: mixed, 3: "own one\nown two", 4: texts[4], 5: "own four", 7: " \nend"}
+
+
 # 6
 def test_shards(spark, odd, empty, tmp_path):
     s = shards.Store(spark, f"file://{tmp_path}/store", target=400_000)
