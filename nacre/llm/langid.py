@@ -120,13 +120,14 @@ class Model:
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of each word: the largest sum of scores less `switch` for each change.
 
-    If no other language gains more than one switch over the best single one in any run of words, no labelling with a
-    change beats it, and that answer is returned without the pass."""
+    A labelling with m changes has a first run, a last one and m - 1 between. If no other language gains more than one switch
+    over the best single one in any run, nor more than one in the best first and the best last run together, no labelling
+    with a change beats that one, and it is returned without the pass."""
     n, k = scores.shape
     best = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain[:-1]]), axis=0)
-    if (gain - low).max() <= switch:
+    if (gain - low).max() <= switch and gain.max() + (gain[-1] - low[-1]).max() <= switch:
         return np.full(n, best)
     back = np.empty((n, k), dtype=np.int16)
     here = np.arange(k)

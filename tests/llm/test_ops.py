@@ -268,6 +268,20 @@ def test_language_spans():
         assert value(langid.viterbi(s, 4.0)) == pytest.approx(max(map(value, itertools.product(range(3), repeat=7))))
 
 
+def test_language_two_parts():
+    """A then B, of which a third language C is the best single one: each part gains less than one switch, both together more."""
+    import itertools
+
+    s = np.array([[3.0, -9.0, 0.0], [0.0, -9.0, 0.0], [-9.0, 0.0, 0.0], [-9.0, 3.0, 0.0]])
+    assert langid.viterbi(s, 4.0).tolist() == [0, 0, 1, 1]
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = 7
+        s = np.where(np.arange(n)[:, None] < rng.integers(1, n), [1.0, -1.0, 0.4], [-1.0, 1.0, 0.4]) + rng.normal(size=(n, 3)) * 0.5
+        value = lambda p: sum(s[i, k] for i, k in enumerate(p)) - 4.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        assert value(langid.viterbi(s, 4.0)) == pytest.approx(max(map(value, itertools.product(range(3), repeat=n))))
+
+
 # 10
 def plain_substrings(docs):
     first = defaultdict(lambda: 1 << 62)
