@@ -23,7 +23,9 @@ SWITCH, WORD_CAP = 12.0, 6.0
 CACHE_WORDS = 500_000
 #: Share of the letters from which the language that opens a mixed text is taken for the text's own.
 FRAME = 0.3
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Longer runs of letters, as of scripts without spaces, are cut into words of so many letters and a rest.
+WORD_LETTERS = 40
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}")
 
 # First code points of letter ranges by script; a letter belongs to the last range that starts at or below it.
 _SCRIPTS = [(0x00, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "other"), (0xB80, "tamil"), (0xC00, "telugu"), (0xC80, "other"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
@@ -36,18 +38,16 @@ def script(word: str) -> str:
 
 
 def words(text: str | None) -> list[str]:
-    """Maximal runs of letters, lower-cased in normal form C."""
+    """Runs of letters, lower-cased in normal form C: maximal ones, or consecutive pieces of WORD_LETTERS of those that are longer."""
     return _LETTERS.findall(unicodedata.normalize("NFC", text).lower()) if text else []
 
 
-_MOST_N, _WORD_LETTERS = 4, 40
+_MOST_N = 4
 
 
 def _grams(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For n from 1 to _MOST_N: the hashes of all n-grams of the words with marks at both ends, and the word each is of.
-
-    A word's score is capped, so letters beyond _WORD_LETTERS would add nothing to it."""
-    code = np.frombuffer("".join([f"\x02{w[:_WORD_LETTERS]}\x03" for w in words]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    """For n from 1 to _MOST_N: the hashes of all n-grams of the words with marks at both ends, and the word each is of."""
+    code = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     of = np.cumsum(code == 2) - 1
     h = np.zeros(len(code), dtype=np.uint64)
     for n in range(1, _MOST_N + 1):
@@ -200,7 +200,7 @@ def fit(documents: DataFrame, per_language: int = FIT_ROWS_PER_LANGUAGE) -> Mode
 
 
 def identify(documents: DataFrame, train: DataFrame, per_language: int = FIT_ROWS_PER_LANGUAGE) -> DataFrame:
-    """`documents` with lang_pred, score (0 to 1) and spans (first word, words, lang) of each whole text.
+    """`documents` with lang_pred, score (0 to 1) and spans (first word, words, lang) of each whole text; words are those of words().
 
     `train` (doc_id, text, lang) are the rows to learn from. Texts that are null or without a letter get `und`, score 0 and no spans;
     so do all texts if nothing was learned. Columns of those three names are replaced."""

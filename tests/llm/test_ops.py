@@ -282,6 +282,15 @@ def test_language_two_parts():
         assert value(langid.viterbi(s, 4.0)) == pytest.approx(max(map(value, itertools.product(range(3), repeat=n))))
 
 
+def test_language_long_words():
+    """All letters of a text without spaces count, not the first 40."""
+    model = langid.Model([("aa", "kaka moka kamo mako oka " * 40), ("bb", "lilu relu lire luri ilu " * 40)])
+    text = "lilurelulire" * 3 + "lilu" + "kakamokakamo" * 30
+    assert "".join(langid.words(text)) == text and langid.words("x" * 40 + "y") == ["x" * 40, "y"]
+    lang, _, spans = langid.Labeller(model)([text])[0]
+    assert lang == "aa" and spans[-1][2] == "aa" and sum(n for _, n, _ in spans) == len(langid.words(text)) == 10
+
+
 # 10
 def plain_substrings(docs):
     first = defaultdict(lambda: 1 << 62)
