@@ -6,20 +6,22 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import mix64
 
-#: Documents to fit on for each language, at most, and characters of each that are counted.
-FIT_ROWS_PER_LANGUAGE, FIT_LANGUAGES, FIT_CHARS = 400, 200, 4000
+#: Documents to fit on for each language, at most.
+FIT_ROWS_PER_LANGUAGE = 400
 #: Cost in nats of changing language between two words; the largest score of a single word.
 SWITCH, WORD_CAP = 12.0, 6.0
+#: Words that a worker remembers the scores of, with up to four languages; with more, as many fewer.
 CACHE_WORDS = 500_000
 #: Share of the letters from which the language that opens a mixed text is taken for the text's own.
 FRAME = 0.3
@@ -62,7 +64,7 @@ def _grams(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 class Model:
     """Log shares of character n-grams (1 to 4) and of whole words by language, and the scripts each language is written in."""
 
-    def __init__(self, examples: list[tuple[str, str]]):
+    def __init__(self, examples: Iterable[tuple[str, str]]):
         whole: dict[str, Counter] = defaultdict(Counter)
         scripts: dict[str, Counter] = defaultdict(Counter)
         for lang, text in examples:
@@ -150,7 +152,7 @@ class Labeller:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Score the words of a batch of texts that aren't known yet."""
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > CACHE_WORDS * 4 // max(4, len(self.model.languages)):
             self.index.clear()
         new = list({w for ws in texts for w in ws if w not in self.index})
         n = len(self.index)
@@ -187,16 +189,16 @@ class Labeller:
 
 
 def fit(documents: DataFrame, per_language: int = FIT_ROWS_PER_LANGUAGE) -> Model:
-    """Fit on rows with a lang and text: at most `per_language` of each, chosen by lowest hash of id and text.
-
-    Each task keeps its own lowest rows of a language before any shuffle. At most FIT_LANGUAGES languages are learned, the most frequent ones."""
-    rows = documents.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()]
-    chosen = None
-    for lang in sorted(langs):
-        part = rows.where(F.col("lang") == lang).select("lang", F.substring("text", 1, FIT_CHARS).alias("text"), F.xxhash64("doc_id", F.lit(9)).alias("h")).orderBy("h", "text").limit(per_language)
-        chosen = part if chosen is None else chosen.union(part)
-    return Model([] if chosen is None else [(r["lang"], r["text"]) for r in chosen.collect()])
+    """Fit on rows with a lang and text: whole texts of at most `per_language` rows of each, chosen by lowest hash of id and text.
+
+    Every language is learned. By a language's count, a bound on the hash leaves some more rows than are wanted (six standard
+    deviations), so no task gets more of them as the input grows. The driver holds a part of the texts at a time and counts words."""
+    rows = documents.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("lang", "text", F.xxhash64("doc_id", F.lit(9)).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
+    low = (F.col("h") == F.col("least")) | (F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(per_language + 6 * per_language**0.5 + 36) / F.col("n"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
+    chosen = rows.join(F.broadcast(counts), "lang").where(low).withColumn("rank", rank).where(F.col("rank") <= per_language)
+    return Model((r["lang"], r["text"]) for r in chosen.select("lang", "text").toLocalIterator())
 
 
 def identify(documents: DataFrame, train: DataFrame, per_language: int = FIT_ROWS_PER_LANGUAGE) -> DataFrame:

@@ -282,6 +282,22 @@ def test_language_two_parts():
         assert value(langid.viterbi(s, 4.0)) == pytest.approx(max(map(value, itertools.product(range(3), repeat=n))))
 
 
+def test_language_fit(spark, monkeypatch):
+    """Every language is learned, however many there are, and whole texts; of each language the lowest hashes' rows."""
+    rows = [(i, f"word{chr(97 + i // 26)}{chr(97 + i % 26)} " * 9, f"l{i:03}") for i in range(230)] + [(230, "filler " * 700 + "beyond " * 9, "l000")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{i:03}" for i in range(230)] and "beyond" in model.common
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("en").alias("lang"))
+    lowest = rows.orderBy(F.xxhash64("doc_id", F.lit(9))).limit(50).collect()
+    seen = []
+    monkeypatch.setattr(langid, "Model", seen.extend)
+    langid.fit(rows, 50)
+    assert sorted(t for _, t in seen) == sorted(r.text for r in lowest)
+    seen.clear()
+    langid.fit(rows.withColumn("doc_id", F.lit(None).cast("long")), 50)
+    assert len(seen) == 50
+
+
 def test_language_long_words():
     """All letters of a text without spaces count, not the first 40."""
     model = langid.Model([("aa", "kaka moka kamo mako oka " * 40), ("bb", "lilu relu lire luri ilu " * 40)])
