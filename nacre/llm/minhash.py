@@ -108,10 +108,10 @@ def estimate(a, b):
 
 
 def margin(threshold: float) -> float:
-    """Four and a half standard deviations of the estimate at the threshold: three links in a million fall outside."""
+    """Six standard deviations of the estimate at the threshold: of links there, about one in a thousand million falls outside."""
     chance = 1.0 / (1 << BITS)
     p = chance + (1 - chance) * threshold
-    return 4.5 * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
+    return 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

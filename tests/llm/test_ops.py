@@ -224,6 +224,13 @@ def test_minhash(spark, k, num):
     assert [got[i].component_id for i in range(len(s))] == part and all(got[i].kept == (part[i] == i) for i in range(len(s)))
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_minhash_margin(threshold):
+    """Links at the threshold pass the estimate unless it is off by six standard deviations, as the docstring says."""
+    p = 0.25 + 0.75 * threshold
+    assert minhash.margin(threshold) >= 6 * (p * (1 - p) / minhash.HASHES) ** 0.5 / 0.75 - 1e-12
+
+
 def test_minhash_empty(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
