@@ -108,6 +108,26 @@ def test_pack_balances_cost():
     assert sum(n for s in seqs for _, _, n in s) == 12106 and all(sum(n for _, _, n in s) <= 4096 for s in seqs)
 
 
+def test_pack_cuts_only_what_nothing_holds():
+    """70 cheap sequences are left with room for 96; the dearest one has room for 1096 and takes the last item whole."""
+    seqs = packing.assign([3000] + [400] * 701, 71, 4096)
+    assert sorted((i, at, n) for s in seqs for i, at, n in s) == [(0, 0, 3000)] + [(i, 0, 400) for i in range(1, 702)]
+    rng = np.random.default_rng(4)
+    for _ in range(20):  # against trying every sequence
+        lengths, k = rng.integers(1, 900, 600).tolist(), int(rng.integers(70, 90))
+        room, spent, plain, todo = [4096] * k, [0.0] * k, [[] for _ in range(k)], sorted((-n, i, 0) for i, n in enumerate(lengths))
+        while todo and any(room):
+            left, i, at = todo.pop(0)
+            s = min((s for s in range(k) if room[s] >= -left), key=lambda s: (spent[s], s), default=None)
+            s = min((s for s in range(k) if room[s]), key=lambda s: (spent[s], s)) if s is None else s
+            n = min(-left, room[s])
+            plain[s].append((i, at, n))
+            room[s], spent[s] = room[s] - n, spent[s] + packing.cost(n)
+            if n < -left:
+                todo = sorted([*todo, (left + n, i, at + n)])
+        assert packing.assign(lengths, k, 4096) == plain
+
+
 # 3
 def test_vectors(spark):
     rng = np.random.default_rng(3)
