@@ -52,7 +52,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A trained classifier and a tokenizer are no SQL; tests hold each stage against a plain version.
+#: A trained classifier and a tokenizer are no SQL; tests hold each stage after the classifier against a plain version, and the
+#: classifier against held-out labels.
 ORACLE_SQL = None
 
 

@@ -399,3 +399,76 @@ def test_pipeline(spark):
     assert 0 < d.count() <= 3 * before
     pieces = p.STAGES[-1][1](spark, d, DATA)
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_pipeline_stages(spark):
+    """Each stage after the classifier (which test_quality holds) against a plain version of its rule."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9999, n))
+    block, pair, long = [say(4) for _ in range(4)], [say(26), say(27)], say(55)
+    texts = ["\n".join([say(30), *x, say(30)]) for x in (block, pair, [long], block[1:], block[:2], pair, ["", long, " "], pair[:1], block[::-1])]
+    base = say(150).split()
+    for k in (0, 2, 6, 40, 80):  # copies of one text with ever more words changed
+        texts.append(" ".join(f"x{i}y{k}" if i < k else w for i, w in enumerate(base)))
+    texts += ["\n".join(pair), texts[0], say(90), say(400)]
+    ids = [int(x) for x in rng.permutation(len(texts))]
+    docs = frame(spark, texts, ids, sources=[["a", "b", None][i % 3] if i < 15 else "c" for i in range(len(texts))]).select(*p.COLUMNS)
+    now = {r.doc_id: r for r in docs.collect()}
+
+    ink = lambda x: bool(x.strip(" \t\v\f\r"))
+    seen, plain = set(), {}
+    for d in sorted(now):
+        at = [i for i, x in enumerate(now[d].text.split("\n")) if ink(x)]
+        all_ = now[d].text.split("\n")
+        gone = set()
+        for n in (1, 2, 3):
+            for i in range(len(at) - n + 1):
+                run = tuple(all_[j] for j in at[i : i + n])
+                if n == 3 or sum(len(x.split()) for x in run) >= 50:
+                    gone |= set(at[i : i + n]) if run in seen else set()
+                    seen.add(run)
+        if len(gone) < len(at):
+            plain[d] = "\n".join(x for i, x in enumerate(all_) if i not in gone)
+    docs = spark.createDataFrame(p.line_stage(spark, docs, DATA).collect(), docs.schema)
+    now = {r.doc_id: r for r in docs.collect()}
+    assert {d: r.text for d, r in now.items()} == plain and len(plain) < len(texts)
+
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, r in now.items() for w in [r.text.split()]}
+    part = {d: d for d in now}
+    for x in now:
+        for y in now:
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                lo, hi = sorted((part[x], part[y]))
+                part = {d: lo if k == hi else k for d, k in part.items()}
+    docs = spark.createDataFrame(p.near_duplicate_stage(spark, docs, DATA).collect(), docs.schema)
+    assert {r.doc_id: r.text for r in docs.collect()} == {d: now[d].text for d in now if part[d] == d} and any(part[d] != d for d in now)
+
+    now = {r.doc_id: r for r in docs.collect()}
+    n = Counter()
+    for r in now.values():
+        n[r.source] += len(r.text.split())
+    weight = {x: i % 3 + 1 for i, x in enumerate(sorted(n, key=lambda x: (x is None, x)))}
+    target, open_ = {}, set(n)
+    while True:
+        left = sum(n.values()) - sum(target.values())
+        share = {x: left * weight[x] / sum(weight[y] for y in open_) for x in open_}
+        full = {x for x in open_ if share[x] > 3 * n[x]}
+        if not full:
+            break
+        target |= {x: 3 * n[x] for x in full}
+        open_ -= full
+    target |= share
+    mixed = p.mixing_stage(spark, docs, DATA).collect()
+    took = Counter()
+    for r in mixed:
+        took[r.source] += len(r.text.split())
+        assert now[r.doc_id].text.startswith(r.text) and r.source == now[r.doc_id].source
+    assert set(took) == set(n) and all(abs(took[x] - target[x]) <= 1 for x in n)
+    short = Counter(r.source for r in mixed if r.text != now[r.doc_id].text)
+    assert all(k <= 1 for k in short.values())  # of a source, one copy at most is cut
+
+    tok = packing.WordTokenizer(packing.default_tokenizer(), 2).tok
+    whole = {d: np.array(tok.encode(r.text, add_special_tokens=False).ids + [2], dtype="<u4").tobytes() for d, r in now.items()}
+    check_pack(p.packing_stage(spark, docs, DATA).toPandas(), whole)
