@@ -12,19 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Filter, RollingHash, durable, let_go, mix64
+from .common import Filter, RollingHash, durable, mix64
 
 #: Bytes of a string that counts as repeated, and of the grams whose least hash keys each such string; the second
 #: length is for strings whose key very many documents hold.
 SPAN, GRAM, LONG_GRAM = 50, 25, 44
-#: Documents from which a key is hot.
-HOT_DOCS = 1000
+#: Documents from which a key is hot. Runs of hot keys are dealt out by their content, and their strings one by one, so what
+#: a single task gets under one key is the runs of HOT_DOCS documents, most of them of less than 2 * SPAN bytes.
+HOT_DOCS = 8000
+#: Set in the keys of runs that were under a hot key; the others have 48 bits.
+_HOT = np.uint64(1 << 48)
 #: Most bytes of the filter of repeated keys; it is all that is broadcast. A fuller filter passes more, and stays right.
 FILTER_BYTES = 64 << 20
 #: Text bytes of a suffix array; text bytes a mapper holds before it lets its parts go.
-BLOCK_BYTES, HELD_BYTES = 8 << 20, 48 << 20
-#: Segments of the keys: one for each SEGMENT_INPUT bytes of the input's files, within these bounds.
-LEAST_SEGMENTS, MOST_SEGMENTS, SEGMENT_INPUT = 64, 16_384, 8 << 20
+BLOCK_BYTES, HELD_BYTES = 3 << 20, 48 << 20
+#: Segments of the keys: one for each SEGMENT_INPUT bytes of the input's files, within these bounds. The upper one lets a segment
+#: stand for 100 MB of 100 TB; segments without keys cost nothing.
+LEAST_SEGMENTS, MOST_SEGMENTS, SEGMENT_INPUT = 64, 1 << 20, 8 << 20
+#: Shards of the unequal runs: one for each SHARD_INPUT bytes, LEAST_SHARDS or more, so that most fit in one block.
+LEAST_SHARDS, SHARD_INPUT = 16, 2 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -130,6 +136,10 @@ class Batch:
         np.cumsum([len(x) for x in data], out=self.begin[1:])
         self.hash = RollingHash(self.data)
 
+    def check(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes that have nothing in common with `hash`."""
+        return RollingHash(self.data, 1)(start, end)
+
     def runs(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, start, strings, key) of the runs of strings under one key; starts count from the batch's first byte."""
         keys = window_keys(self.hash, gram)
@@ -170,11 +180,13 @@ def _short(keys: np.ndarray) -> np.ndarray:
     return keys >> np.uint64(16)
 
 
-def _by_segment(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts keys by segment, and where each segment begins in it."""
+def _by_segment(keys: np.ndarray, segments: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that sorts keys by segment, and (segment, begin, end) in it of the segments that have any."""
     seg = (keys % np.uint64(segments)).astype(np.int64)
     order = np.argsort(seg, kind="stable")
-    return order, np.searchsorted(seg[order], np.arange(segments + 1))
+    seg = seg[order]
+    edges = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1], True]) if len(seg) else np.zeros(1, np.int64)
+    return order, list(zip(seg[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
 def repeated_keys(documents: DataFrame, segments: int) -> tuple[Filter, Filter]:
@@ -191,11 +203,11 @@ def repeated_keys(documents: DataFrame, segments: int) -> tuple[Filter, Filter]:
             order, cut = _by_segment(keys, segments)
             keys, times = keys[order], times[order]
             ones, more = [], []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
+            for _, a, b in cut:
                 k, t = keys[a:b], times[a:b]
                 ones.append(k[t == 1].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 more.append(k[t > 1].tobytes() + t[t > 1].astype(np.int64).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(range(segments), pa.int32()), pa.array(ones, pa.binary()), pa.array(more, pa.binary())], ["segment", "ones", "more"])
+            return pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int32()), pa.array(ones, pa.binary()), pa.array(more, pa.binary())], ["segment", "ones", "more"])
 
         for b in batched(batches):
             of, _, _, keys = b.runs(GRAM)
@@ -258,22 +270,33 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _candidates(b: Batch, known: tuple[Filter, Filter]) -> tuple[np.ndarray, ...]:
-    """(document, key, start, strings, content) of the runs of strings that may occur in another document; content hashes a run's bytes."""
+    """(document, key, start, strings, content, check) of the runs of strings that may occur in another document.
+
+    Content and check are two hashes of a run's bytes, independent of each other: 128 bits together."""
     of, start, n, key = b.runs(GRAM)
     key = _short(key)
     may = known[0].has(key)
     of, start, n, key = of[may], start[may], n[may], key[may]
     hot = known[1].has(key)
-    if hot.any():  # their strings are keyed anew by longer grams, which keep more of what differs apart
-        longer = _short(mix64(window_keys(b.hash, LONG_GRAM) ^ np.uint64(0x2545F4914F6CDD1D)))
+    if hot.any():  # their strings are in runs of longer grams, which keep more of what differs apart
+        longer = window_keys(b.hash, LONG_GRAM)
         wanted = np.repeat(hot, n)
         place = (np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()))[wanted]
         owner, k2 = np.repeat(of, n)[wanted], longer[place]
         head = np.append(0, np.flatnonzero((place[1:] != place[:-1] + 1) | (k2[1:] != k2[:-1])) + 1)
         cold = ~hot
         of, start = np.append(of[cold], owner[head]), np.append(start[cold], place[head])
-        n, key = np.append(n[cold], np.diff(np.append(head, len(place)))), np.append(key[cold], k2[head])
-    return of, key, start, n, b.hash(start, start + n + SPAN - 1) ^ mix64(key + n.astype(np.uint64))
+        n, key = np.append(n[cold], np.diff(np.append(head, len(place)))), np.append(key[cold], np.full(len(head), _HOT))
+    end = start + n + SPAN - 1
+    content = b.hash(start, end)
+    own = key == _HOT  # by their content, so that one key's many runs are dealt to many tasks
+    key[own] = _short(content[own]) | _HOT
+    return of, key, start, n, content, b.check(start, end)
+
+
+def _entry(content: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """What stands in a filter for a content in a document."""
+    return mix64(content + mix64(check ^ mix64(doc.view(np.uint64))))
 
 
 def _settle(text: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,22 +332,20 @@ def _shard_spans(part):
             blocks[-1].append((doc[lo:hi], mark[lo:hi], start[lo:hi], n[lo:hi], data[at[lo] : at[hi]]))
             size += at[hi] - at[lo]
             lo = hi
-    settled, merged = [], []
+    settled = []
     for b in blocks:
         if not b:
             continue
         doc, mark, start, n, text = (np.concatenate(x) for x in zip(*b, strict=True))
         at = np.r_[0, np.cumsum(n + SPAN - 1)[:-1]]
         places, kind, (first, least) = _settle(text, at, n, doc)
-        names = RollingHash(text)(first, first + SPAN) if len(blocks) > 1 else np.empty(0, np.uint64)
+        # The strings themselves, in the suffix array's order; all have SPAN bytes, so numpy compares them in full.
+        names = np.lib.stride_tricks.sliding_window_view(text, SPAN)[first].view(f"S{SPAN}")[:, 0] if len(blocks) > 1 else np.empty(0, f"S{SPAN}")
         settled.append((doc, mark, start, n, kind, least, names))
-        if len(blocks) > 1:
-            order = np.argsort(names)
-            merged.append((names[order], least[order]))
     rows = []
     for k, (doc, mark, start, n, kind, least, names) in enumerate(settled):
         least = least.copy()
-        for j, (other, theirs) in enumerate(merged):
+        for j, (_, _, _, _, _, theirs, other) in enumerate(settled):
             if j != k and len(other):
                 to = np.minimum(np.searchsorted(other, names), len(other) - 1)
                 np.minimum(least, np.where(other[to] == names, theirs[to], _LAST), out=least)
@@ -349,10 +370,12 @@ def _span_rows(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.nda
     return out
 
 
-def _segments_of(documents: DataFrame) -> int:
-    """How many segments the keys are dealt into, by the size that the files' own statistics give."""
+def _dealt(documents: DataFrame) -> tuple[int, int]:
+    """How many segments the keys are dealt into, and how many shards the unequal runs: by the size that the files' own statistics give, or by a sum where they give none."""
     size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(LEAST_SEGMENTS, size // SEGMENT_INPUT), MOST_SEGMENTS))
+    if size >= 1 << 60:  # Spark's stand-in for an unknown size
+        size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(LEAST_SEGMENTS, size // SEGMENT_INPUT), MOST_SEGMENTS), min(max(LEAST_SHARDS, size // SHARD_INPUT), MOST_SEGMENTS)
 
 
 def _spans_table(rows: list[tuple[int, int, bytes]], segment: int | None = None, bitmap: bytes | None = None) -> pa.Table:
@@ -366,15 +389,15 @@ _SPANS = "doc long, mark long, spans binary, segment int, bitmap binary"
 
 
 class _Held:
-    """Candidate runs of some batches: doc, mark, place in the held bytes, key, start in the document, strings, content."""
+    """Candidate runs of some batches: doc, mark, place in the held bytes, key, start in the document, strings, content, check."""
 
     def __init__(self):
         self.rows, self.data, self.size, self.n = [], [], 0, 0
 
     def add(self, b: Batch, got: tuple[np.ndarray, ...], bytes_too: bool) -> None:
-        of, key, start, n, content = got
+        of, key, start, n, content, check = got
         if len(of):
-            self.rows.append((b.doc[of], b.mark[of], start + self.size, key, start - b.begin[of], n, content))
+            self.rows.append((b.doc[of], b.mark[of], start + self.size, key, start - b.begin[of], n, content, check))
             self.n += len(of)
             if bytes_too:
                 self.data.append(b.data)
@@ -384,12 +407,15 @@ class _Held:
         return [np.concatenate(x) for x in zip(*self.rows, strict=True)]
 
 
-def _by_content(doc: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_content(doc: np.ndarray, content: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of one run of each content; of all runs of the least document with their content (it may hold several); and of the
-    others, whose content a smaller document has too."""
+    others, whose content a smaller document has too. Contents are equal if both hashes are."""
     order = np.lexsort((doc, content))
-    c = content[order]
-    head = np.append(True, c[1:] != c[:-1])[: len(order)]
+    same = content[order][1:] == content[order][:-1]
+    if (same & (check[order][1:] != check[order][:-1])).any():
+        order = np.lexsort((doc, check, content))
+    c, v = content[order], check[order]
+    head = np.append(True, (c[1:] != c[:-1]) | (v[1:] != v[:-1]))[: len(order)]
     starts = np.flatnonzero(head)
     least = np.repeat(doc[order][starts], np.diff(np.append(starts, len(order))))
     later = doc[order] > least
@@ -397,59 +423,60 @@ def _by_content(doc: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def equal_runs(docs: DataFrame, known, segments: int) -> DataFrame:
-    """Spans of runs that a smaller document has whole, and a bitmap for each segment of the keys that more than one content has.
+    """Spans of runs that a smaller document has whole, and a bitmap for each segment of the runs that are left to compare.
 
-    Runs are compared by the hash of all their bytes, first within a task, then, the least document's alone, by segment.
-    Where all of a key's runs are equal nothing is left to compare."""
+    Runs are compared by two hashes of all their bytes, first within a task, then, the least document's alone, by segment.
+    Left are, of keys that more than one content has, each content's runs in its least document, one document for a
+    content; where all of a key's runs are equal nothing is. Of hot keys all contents are left."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
 
         def flush() -> pa.RecordBatch:
-            local, parts = [], [b""] * segments
+            local, parts, wide = [], [], False
             if held.rows:
-                doc, mark, _, key, start, n, content = held.columns()
-                _, first, gone = _by_content(doc, content)
+                doc, mark, _, key, start, n, content, check = held.columns()
+                _, first, gone = _by_content(doc, content, check)
                 local = _span_rows(doc[gone], mark[gone], start[gone], start[gone] + n[gone] + SPAN - 1)
                 order, cut = _by_segment(key[first], segments)
                 first = first[order]
-                for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                wide = bool(start.max() >= 2**32)
+                for k, a, b in cut:
                     c = first[a:b]
-                    if len(c):
-                        parts[k] = _pack(key[c], content[c], doc[c], mark[c], start[c].astype(np.uint32) if start.max() < 2**32 else start[c].astype(np.int64), n[c])
-                wide = start.max() >= 2**32
-            else:
-                wide = False
-            rows = [(k, wide, p, None) for k, p in enumerate(parts) if p] + [(i % segments, wide, None, r) for i, r in enumerate(local)]
+                    parts.append((k, _pack(key[c], content[c], check[c], doc[c], mark[c], *(x[c].astype(np.int64 if wide else np.uint32) for x in (start, n)))))
+            rows = [(k, wide, p, None) for k, p in parts] + [(i % segments, wide, None, r) for i, r in enumerate(local)]
             cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())]
             cols += [pa.array([r[3] and r[3][j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))]
             return pa.RecordBatch.from_arrays(cols, ["segment", "wide", "runs", "doc", "mark", "spans"])
 
         for b in batched(batches):
             held.add(b, _candidates(b, known.value), bytes_too=False)
-            if held.n > 2_000_000:
+            if held.n > 1_500_000:
                 yield flush()
                 held = _Held()
         yield flush()
 
     def match(key, part):
         passed = [r for r in zip(*(part.column(c).to_pylist() for c in ("doc", "mark", "spans")), strict=True) if r[2] is not None]
-        got = [_unpack(r, np.uint64, np.uint64, np.int64, np.int64, np.int64 if w else np.uint32, np.int64) for r, w in zip(part.column("runs").to_pylist(), part.column("wide").to_pylist(), strict=True) if r is not None]
+        got = [_unpack(r, np.uint64, np.uint64, np.uint64, np.int64, np.int64, *[np.int64 if w else np.uint32] * 2) for r, w in zip(part.column("runs").to_pylist(), part.column("wide").to_pylist(), strict=True) if r is not None]
         if not got:
             return _spans_table(passed)
-        keys, content, doc, mark, start, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        start = start.astype(np.int64)
-        one, _, gone = _by_content(doc, content)
+        keys, content, check, doc, mark, start, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        start, n = start.astype(np.int64), n.astype(np.int64)
+        one, _, gone = _by_content(doc, content, check)
         rows = _span_rows(doc[gone], mark[gone], start[gone], start[gone] + n[gone] + SPAN - 1)
-        k, times = np.unique(keys[one], return_counts=True)
-        return _spans_table(passed + rows, key[0].as_py(), Filter.build(k[times > 1], segments, FILTER_BYTES))
+        _, of, times = np.unique(keys[one], return_inverse=True, return_counts=True)
+        left = one[(times[of] > 1) | (keys[one] >= _HOT)]
+        return _spans_table(passed + rows, key[0].as_py(), Filter.build(_entry(content[left], check[left], doc[left]), segments, FILTER_BYTES))
 
     sent = docs.mapInArrow(send, "segment int, wide boolean, runs binary, doc long, mark long, spans binary")
     return sent.groupBy("segment").applyInArrow(match, _SPANS)
 
 
-def unequal_runs(docs: DataFrame, known, mixed, shards: int) -> DataFrame:
-    """Spans of strings that lie in unequal runs of one key: their bytes go to the key's shard, which sorts them."""
+def unequal_runs(docs: DataFrame, known, left, shards: int) -> DataFrame:
+    """Spans of strings that lie in unequal runs of one key: their bytes go to the key's shard, which sorts them.
+
+    Strings of hot keys go one by one, each to the shard of its own hash."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
@@ -457,38 +484,43 @@ def unequal_runs(docs: DataFrame, known, mixed, shards: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             out = []
             if held.rows:
-                doc, mark, base, key, start, n, content = held.columns()
+                doc, mark, base, key, start, n, _, _ = held.columns()
+                order, cut = _by_segment(mix64(key), shards)
                 data = np.concatenate(held.data)
-                _, first, _ = _by_content(doc, content)
-                order, cut = _by_segment(mix64(key[first]), shards)
-                for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                    c = first[order[a:b]]
-                    if len(c):
-                        size = n[c] + SPAN - 1
-                        index = np.repeat(base[c] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                        out.append((k, _pack(doc[c], mark[c], start[c], n[c], data[index])))
+                for k, a, b in cut:
+                    c = order[a:b]
+                    size = n[c] + SPAN - 1
+                    index = np.repeat(base[c] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    out.append((k, _pack(doc[c], mark[c], start[c], n[c], data[index])))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["shard", "chunks"])
 
         for b in batched(batches):
-            got = _candidates(b, known.value)
-            some = mixed.value.has(got[1])
-            held.add(b, tuple(x[some] for x in got), bytes_too=True)
+            of, key, start, n, content, check = _candidates(b, known.value)
+            some = left.value.has(_entry(content, check, b.doc[of]), key)
+            of, key, start, n = of[some], key[some], start[some], n[some]
+            one = key >= _HOT
+            if one.any():
+                place = np.repeat((start - np.cumsum(n * one) + n * one)[one], n[one]) + np.arange(n[one].sum())
+                of, key = np.append(of[~one], np.repeat(of[one], n[one])), np.append(key[~one], b.hash(place, place + SPAN))
+                start, n = np.append(start[~one], place), np.append(n[~one], np.ones(len(place), np.int64))
+            held.add(b, (of, key, start, n, key, key), bytes_too=True)
             if held.size > HELD_BYTES:
                 yield flush()
                 held = _Held()
         yield flush()
 
-    return docs.mapInArrow(send, "shard int, chunks binary").groupBy("shard").applyInArrow(_shard_spans, "doc long, mark long, spans binary")
+    # As many partitions as shards: small compressed chunks make long sorts, so they are not to be put together by size.
+    return docs.mapInArrow(send, "shard int, chunks binary").repartition(shards, "shard").groupBy("shard").applyInArrow(_shard_spans, "doc long, mark long, spans binary")
 
 
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for each row of documents (doc_id, text).
 
     A byte goes if some string of SPAN bytes that covers it also starts in a document with a smaller id; matches never cross
-    documents and are judged on the whole input. 1. Each string has a key, the least hash of its grams; keys that several
+documents and are judged on the whole input. 1. Each string has a key, the least hash of its grams; keys that several
     rows hold are found by counting and put in a filter of bounded size: strings of other keys occur once. 2. Runs of strings under
-    one key are compared by the hash of their bytes; those that a smaller document has whole are settled. 3. Keys of unequal
-    runs (where matches begin and end) send the least document's runs of each content and task, as bytes, to the key's shard. A shard sorts them
+    one key are compared by 128 bits of hashes of their bytes; those that a smaller document has whole are settled. 3. Where a key's
+    runs are unequal (matches begin and end there) one document's runs of each content go, as bytes, to the key's shard. A shard sorts them
     in suffix arrays of BLOCK_BYTES, finds equal strings by common prefixes, and merges its blocks' sorted strings by binary search.
     Equal strings always share a shard, so shards need no merging among themselves. 4. Spans are joined to their texts and cut.
     Null texts are empty; texts under SPAN bytes lose nothing; rows of one id never remove from each other; rows without an id
@@ -496,15 +528,12 @@ def dedup(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
-    segments = _segments_of(docs)
+    segments, shards = _dealt(docs)
     known = spark.sparkContext.broadcast(repeated_keys(docs, segments))
-    let_go(spark)
     equal = durable(equal_runs(docs, known, segments))
     bitmaps = equal.where("segment IS NOT NULL").select("segment", "bitmap").collect()
-    mixed = spark.sparkContext.broadcast(Filter({r["segment"]: bytes(r["bitmap"]) for r in bitmaps}, segments))
-    let_go(spark)
-    shards = max(2 * spark.sparkContext.defaultParallelism, segments)
-    rest = unequal_runs(docs, known, mixed, shards)
+    left = spark.sparkContext.broadcast(Filter({r["segment"]: bytes(r["bitmap"]) for r in bitmaps}, segments))
+    rest = unequal_runs(docs, known, left, shards)
     spans = equal.where("segment IS NULL").select("doc", "mark", "spans").union(rest).groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
