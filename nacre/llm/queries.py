@@ -32,8 +32,7 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Its SQL knows windows of three lines and single long lines only; the pipeline's stage takes the short runs as well.
-    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short=False)
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
@@ -43,7 +42,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100).drop("text_hash")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,7 @@ k AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i)
              len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n FROM l WHERE ink),
 w AS (
   SELECT doc_id, pos, 3 AS lines, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS content FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+  UNION ALL SELECT doc_id, pos, 2, CASE WHEN n + lead(n, 1) OVER o >= 50 THEN line || chr(10) || lead(line, 1) OVER o END FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
   UNION ALL SELECT doc_id, pos, 1, line FROM k WHERE n >= 50),
 r AS (SELECT *, row_number() OVER (PARTITION BY lines, content ORDER BY doc_id, pos) AS r FROM w WHERE content IS NOT NULL),
 c AS (SELECT DISTINCT doc_id, pos + j AS pos FROM r, range(0, 3) AS t(j) WHERE r > 1 AND j < lines),
