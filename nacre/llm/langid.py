@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,21 @@ CACHE_WORDS = 500_000
 FRAME = 0.3
 #: Longer runs of letters, as of scripts without spaces, are cut into words of so many letters and a rest.
 WORD_LETTERS = 40
-_LETTERS = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}")
+
+
+@lru_cache(maxsize=1)
+def _letters() -> re.Pattern:
+    """Runs of Unicode's letters (L*) and the marks (M*) that follow them; digits, fractions, circled and Roman numbers are none."""
+    ranges: dict[str, list[list[int]]] = {"L": [], "M": []}
+    for c in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in ranges:
+            if ranges[kind] and ranges[kind][-1][1] == c - 1:
+                ranges[kind][-1][1] = c
+            else:
+                ranges[kind].append([c, c])
+    letter, mark = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges[k]) for k in "LM")
+    return re.compile(f"[{letter}][{letter}{mark}]{{0,{WORD_LETTERS - 1}}}")
 
 # First code points of letter ranges by script; a letter belongs to the last range that starts at or below it.
 _SCRIPTS = [(0x00, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "other"), (0xB80, "tamil"), (0xC00, "telugu"), (0xC80, "other"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
@@ -40,8 +56,9 @@ def script(word: str) -> str:
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased in normal form C: maximal ones, or consecutive pieces of WORD_LETTERS of those that are longer."""
-    return _LETTERS.findall(unicodedata.normalize("NFC", text).lower()) if text else []
+    """Runs of letters with their marks, lower-cased in normal form C: maximal ones, or consecutive pieces of WORD_LETTERS of
+    those that are longer."""
+    return _letters().findall(unicodedata.normalize("NFC", text).lower()) if text else []
 
 
 _MOST_N = 4
@@ -88,7 +105,7 @@ class Model:
                 c[np.searchsorted(terms, t), x] = v
             share = np.log((c + 0.2) / (c.sum(0) + 1 + 0.2 * len(terms)))
             self.terms.append(terms)  # the last row: an unseen n-gram says nothing about which language it is
-            self.shares.append(np.vstack([share - share.mean(1, keepdims=True), np.zeros((1, k))]))
+            self.shares.append(np.vstack([share - share.sum(1, keepdims=True) / max(k, 1), np.zeros((1, k))]))
         count = {x: sum(whole[x].values()) + 1 for x in self.languages}
         self.common = {w: np.array([np.log((whole[x][w] + 0.05) / count[x]) for x in self.languages]) for c in whole.values() for w, k in c.items() if k >= 5}
         self.writes = {s: np.array([scripts[x][s] > 0.02 * sum(scripts[x].values()) for x in self.languages]) for s in {s for c in scripts.values() for s in c}}

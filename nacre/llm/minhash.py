@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -61,12 +62,11 @@ def sign(text: str | None, k: int) -> tuple:
     # An affine permutation's low bits depend on its argument's low bits alone, so the minima are mixed before bits are kept.
     low = (mix64(m + _KEEP) & np.uint64((1 << BITS) - 1)).reshape(LONGS, 64 // BITS)
     packed = (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(1, dtype=np.uint64)
-    digest = [int(mix64(s ^ np.uint64(x)).sum(dtype=np.uint64).view(np.int64)) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-    return len(s), *digest, bands.view(np.int64).tolist(), packed.view(np.int64).tolist()
+    return len(s), *digests(s), bands.view(np.int64).tolist(), packed.view(np.int64).tolist()
 
 
 def signatures(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, d0, d1 (digests of the set), bands and sig, for each row."""
+    """doc_id, n, d0, d1 (digests of the set), bands, sig and text_hash, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,13 +74,18 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(at, 1000)
                 got = [sign(t, k) for t in part.column(1).to_pylist()]
                 cols = [pa.array([g[j] for g in got], pa.int64() if j < 3 else pa.list_(pa.int64())) for j in range(5)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "n", "d0", "d1", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, part.column(2)], ["doc_id", "n", "d0", "d1", "bands", "sig", "text_hash"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d0 long, d1 long, bands array<long>, sig array<long>")
+    rows = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, n long, d0 long, d1 long, bands array<long>, sig array<long>, text_hash long")
+
+
+def digests(s: np.ndarray) -> list[int]:
+    return [int(mix64(s ^ np.uint64(x)).sum(dtype=np.uint64).view(np.int64)) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
 
 
 def full_sets(documents: DataFrame, k: int, ids: DataFrame) -> DataFrame:
-    """id and its whole set of shingle hashes, of the documents named in `ids`; texts are not moved, only the sets asked for.
+    """id, the set's first digest d0 and the whole set of shingle hashes, of the documents named in `ids`; texts are not moved, only the sets asked for.
 
     Which documents those are travels as a filter of bounded size; what it lets through wrongly goes in the join."""
     known = documents.sparkSession.sparkContext.broadcast(id_filter(ids))
@@ -92,10 +97,11 @@ def full_sets(documents: DataFrame, k: int, ids: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(named))
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = pa.array([shingles(t, k).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["id", "s"])
+                got = [shingles(t, k) for t in part.column(1).to_pylist()]
+                first = pa.array([digests(s)[0] for s in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), first, pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["id", "d0", "s"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, s array<long>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, d0 long, s array<long>")
 
 
 def estimate(a, b):
@@ -124,7 +130,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row: documents whose k-word shingle sets overlap by num / den are linked.
+    """doc_id, n_shingles, component_id, kept and text_hash for each row: documents whose k-word shingle sets overlap by num / den are linked.
 
     1. One pass signs every whole text. Documents of one and the same set form a class; its smallest id speaks for it, so
        copies, however many, cost a partial aggregate. 2. The classes' band hashes make buckets; each member is paired with
@@ -132,14 +138,18 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
        deviations of the threshold are confirmed on full sets. 3. Buckets whose members are not yet all connected are joined
        with themselves, for members of different components only, under the same estimate, and confirmed: no link between
        parts that are not connected already is lost. Full sets are made for documents in some pair alone.
-    Null and empty texts have no shingles and link with nothing; rows of one doc_id are one document; rows without an id
-    link with nothing and stay; an empty table gives no rows; other columns are ignored."""
+    Null and empty texts have no shingles and link with nothing; rows of one doc_id are documents of
+    their own, each with its own text's links (text_hash tells them apart); rows without an id link with nothing and stay; an empty table gives no rows; other columns are ignored."""
     ship(documents.sparkSession)
     threshold = num / den
     signed = durable(signatures(documents, k))
     content = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = durable(content.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("rep")))
-    reps = durable(content.join(classes, ["n", "d0", "d1"]).where("doc_id = rep").dropDuplicates(["doc_id", "d0", "d1"]).select(F.col("doc_id").alias("id"), "n", "bands", "sig"))
+    # A class goes by its smallest doc_id; the others of several classes that share one (an id with different texts) by negative hashes.
+    own = F.struct("n", "d0", "d1") == F.min(F.struct("n", "d0", "d1")).over(W.partitionBy("rep"))
+    named = F.when(own, F.col("rep")).otherwise(F.xxhash64("rep", "n", "d0", "d1").bitwiseOR(F.lit(-(1 << 63))))
+    classes = durable(classes.withColumn("id", named))
+    reps = durable(content.join(classes, ["n", "d0", "d1"]).where("doc_id = rep").dropDuplicates(["id"]).select("id", "rep", "d0", "n", "bands", "sig"))
     members = reps.select("id", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     mates = durable(members.join(buckets, "bucket").select("bucket", "id", "m"))
@@ -155,8 +165,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     pairs = durable(stars.join(left, "a").join(right, "b").where(sizes & close).select("a", "b"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-        return durable(full_sets(documents, k, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        ids = durable(ids.join(reps.select("id", "rep", "d0"), "id"))
+        found = full_sets(documents, k, ids.select("rep")).withColumnRenamed("id", "rep")
+        return durable(found.join(ids, ["rep", "d0"]).dropDuplicates(["id"]).select("id", "s"))
 
     scored = durable(_compare(pairs, sets_of(pairs), num, den))
     links = scored.where("linked").select("a", "b")
@@ -180,7 +192,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     if not late.isEmpty():
         more = _compare(late, sets_of(late), num, den).where("linked").select("a", "b")
         parts = components(links.union(more))
-    of_class = classes.join(parts, classes["rep"] == parts["id"], "left").select("n", "d0", "d1", F.coalesce("component", "rep").alias("of"))
-    out = signed.select("doc_id", "n", "d0", "d1").join(of_class, ["n", "d0", "d1"], "left")
+    # A part is named by the smallest doc_id in it.
+    parts = durable(parts.join(reps.select("id", "rep"), "id"))
+    parts = parts.join(parts.groupBy("component").agg(F.min("rep").alias("of")), "component").select("id", "of")
+    of_class = classes.join(parts, "id", "left").select("n", "d0", "d1", F.coalesce("of", "rep").alias("of"))
+    out = signed.select("doc_id", "n", "d0", "d1", "text_hash").join(of_class, ["n", "d0", "d1"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")

@@ -35,8 +35,12 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return s.select("source", "source_size", "weight", F.when(F.col("clamped"), (F.col("source_size") * max_epochs).cast("double")).otherwise(shared).alias("target"))
 
 
+def _digest(seed: str, doc_id: str):
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+
+
 def mix(documents: DataFrame, weights: DataFrame | None = None, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, whole (epochs), part (words of one more, cut copy) and taken for each document.
+    """doc_id, source, size, source_size, target, whole (epochs), part (words of one more, cut copy), taken and key (the id's digest) for each document.
 
     Weights 1, 2, 3, 1, ... go to the sources in order of their code points, null last, unless `weights` (source, weight) gives them.
     A source's target over its size is its number of epochs: whole ones take every document; the fraction is taken in the order of a
@@ -44,8 +48,7 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, max_epochs: int
     digest's first digits place whole buckets, and only a bucket's own rows are ordered, so a source with most of the rows never meets
     in one task. A document's size bounds every copy, so nothing exceeds max_epochs times it. Sizes of null texts are 0;
     rows repeated under one id share a place in the order and split it by size. An empty table gives no rows."""
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    d = documents.select("doc_id", "source", n_words().alias("size")).withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    d = documents.select("doc_id", "source", n_words().alias("size")).withColumn("key", _digest(seed, "doc_id")).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     d = durable(d)
     by_bucket = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     by_bucket = durable(by_bucket)
@@ -67,18 +70,21 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, max_epochs: int
     within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     j = j.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("at"))).cast("long")
-    return j.withColumn("part", part).select("doc_id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+    return j.withColumn("part", part).select("doc_id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), "key")
 
 
 def materialise(documents: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: a row for each whole copy and for a cut one (its text's first words, blanks between them kept).
 
     All columns of documents come back; n_chars, if there, is the text's new length."""
-    m = mix(documents, **options).select(F.col("doc_id").alias("of"), "size", "whole", "part").where("whole > 0 OR part > 0").dropDuplicates(["of", "size"])
+    # Rows under one id of one source and size, if there are several, are told apart by their place: the parts go to them in the order of their texts.
+    m = mix(documents, **options).withColumn("from", F.coalesce(F.sha2("source", 256), F.lit("")))
+    m = m.groupBy("key", "from", "size").agg(F.first("whole").alias("whole"), F.sort_array(F.collect_list("part"), asc=False).alias("parts"))
     cols = documents.columns
     # The row travels in a struct, so that its columns' names cannot meet those made here.
-    d = documents.select(F.struct(*cols).alias("row"), n_words().alias("n"))
-    j = d.join(m, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.col("n") == F.col("size")))
+    d = documents.select(F.struct(*cols).alias("row"), n_words().alias("size"), _digest(options.get("seed", SEED), "doc_id").alias("key"), F.coalesce(F.sha2("source", 256), F.lit("")).alias("from"))
+    place = F.row_number().over(W.partitionBy("key", "from", "size").orderBy(F.xxhash64("row.text"), F.xxhash64("row")))
+    j = d.join(m, ["key", "from", "size"]).withColumn("part", F.get("parts", place - 1))
     copies = F.when(F.col("whole") > 0, F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int"))).otherwise(F.array().cast("array<long>"))
     last = F.when(F.col("part") > 0, F.array(F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(F.lit(-1).cast("long")))).otherwise(F.array().cast("array<long>"))
     j = j.select("row", F.explode(F.concat(copies, last)).alias("take"))

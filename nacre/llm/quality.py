@@ -17,7 +17,9 @@ from .common import RollingHash, mix64, word_spans
 FIT_ROWS = 2000
 #: Latent dimensions, neighbours that vote, and the power on their similarities.
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 15, 24
-HASHED = 2048
+#: Terms by hash: word shapes' trigrams, and words themselves, whose vector has WORD_WEIGHT times the length of the shapes'.
+HASHED, WORDS, WORD_WEIGHT = 2048, 2048, 0.5
+_SHAPES = HASHED + 64
 
 # Classes of bytes for shape n-grams: each ASCII sign has its own, letters and digits are by case and kind.
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -33,10 +35,10 @@ _N = 6 + _k + 1
 
 
 def features(text: str | None) -> np.ndarray:
-    """Counts of a whole text's shape terms: byte-class trigrams (hashed), word shapes, and how words and lines repeat.
+    """Counts of a whole text's terms: byte-class trigrams (hashed), word shapes, how words and lines repeat, and words (hashed).
 
     Letters beyond ASCII count as lower case but for the capitals of Latin-1; null is taken as empty; both give zeros."""
-    out = np.zeros(HASHED + 64, dtype=np.float64)
+    out = np.zeros(_SHAPES + WORDS, dtype=np.float64)
     data = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
     if not len(data):
         return out
@@ -73,30 +75,40 @@ def features(text: str | None) -> np.ndarray:
                 w = mix64(w) + h[j : n - 7 + j]
             out[HASHED + 9] = len(w) - len(np.unique(w))
         out[HASHED + 16 + min(15, int(np.log2(n + 1)))] = 1 + 0.02 * n  # length by powers of two
+        out[_SHAPES:] = np.bincount((h % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
     return out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def _weigh(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Rows as unit vectors of root shares times inverse document frequency."""
+    """Rows as unit vectors: of shape terms' root shares, and words' root counts, both times inverse document frequency."""
     total = np.maximum(x[:, :HASHED].sum(1, keepdims=True), 1)
-    y = np.sqrt(x / total) * idf
-    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    shapes = _unit(np.sqrt(x[:, :_SHAPES] / total) * idf[:_SHAPES])
+    words = _unit(np.sqrt(x[:, _SHAPES:]) * idf[_SHAPES:])
+    return _unit(np.concatenate([shapes, WORD_WEIGHT * words], axis=1))
 
 
 class Model:
-    """Projection to the latent space and the labelled vectors there; its size is bounded by FIT_ROWS x DIMENSIONS."""
+    """Projection to the latent space and the labelled vectors there; its size is bounded by FIT_ROWS x DIMENSIONS and the terms."""
 
-    def __init__(self, texts: list[str | None], labels: np.ndarray):
+    def __init__(self, counts: np.ndarray, labels: np.ndarray):
+        """`counts` are features() of the labelled texts, a row each."""
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float64)
         if len(labels) == 0 or labels.min() == labels.max():
             self.vectors = None
             return
-        x = np.stack([features(t).astype(np.float32) for t in texts])  # single precision halves what the driver holds
+        x = counts.astype(np.float32)
         self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.3).astype(np.float32)
         y = _weigh(x, self.idf)
-        basis = np.linalg.eigh((y.T @ y).astype(np.float64))[1]
-        self.basis = basis[:, ::-1][:, :DIMENSIONS].astype(np.float32)
+        # Singular vectors by way of the rows' products, of which there are fewer than of the terms'.
+        value, u = np.linalg.eigh((y @ y.T).astype(np.float64))
+        value, u = value[::-1][:DIMENSIONS], u[:, ::-1][:, :DIMENSIONS]
+        real = value > 1e-6 * value[0]
+        self.basis = (y.T @ (u[:, real] / np.sqrt(value[real]))).astype(np.float32)
         self.vectors = self.project(y)
 
     def project(self, y: np.ndarray) -> np.ndarray:
@@ -106,8 +118,7 @@ class Model:
     def score(self, texts: list[str | None], block: int = 256) -> np.ndarray:
         """Similarity-weighted shares of label 1 among the nearest labelled vectors, by exact cosines block by block.
 
-        The vote is set against the labels' own odds, so that 0.5 is neutral whatever their shares; vectors of no
-        content (null, empty, no word) get the score of label 0's side, 0."""
+        Each neighbour votes with its cosine to the power of SHARPNESS. Texts without any byte (null, empty) get 0."""
         out = np.full(len(texts), self.prior)
         if self.vectors is None:
             return out
@@ -124,7 +135,9 @@ class Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
-    """Fit on at most `most` labelled documents, the same for the same rows; null labels and ids don't count."""
+    """Fit on at most `most` labelled documents, the same for the same rows; null labels and ids don't count.
+
+    Of an id's labels the largest counts, of its texts the one with the least hash."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = []
     for value in (0, 1):
@@ -132,8 +145,24 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
         ids = known.where(F.col("quality") == value).withColumn("h", F.xxhash64("doc_id", F.lit(17))).orderBy("h", "doc_id").limit(most // 2).select("doc_id", "quality")
         rows.append(ids)
     chosen = rows[0].unionByName(rows[1])
-    got = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
-    return Model([r["text"] for r in got], np.array([r["quality"] for r in got], dtype=np.float64))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for t in batch.column(3).to_pylist():
+                x = features(t)
+                at = np.flatnonzero(x)
+                made.append(at.astype(np.int32).tobytes() + x[at].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["doc_id", "quality", "h", "terms"])
+
+    # Texts stay where they are: what comes to the driver is counts of terms, of bounded size however long a text is, once for an id.
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.xxhash64("text").alias("h"), "text")
+    got = texts.mapInArrow(count, "doc_id long, quality int, h long, terms binary").groupBy("doc_id").agg(F.min(F.struct("h", "quality", "terms")).alias("x")).orderBy("doc_id").select("x.*").collect()
+    counts = np.zeros((len(got), _SHAPES + WORDS), dtype=np.float32)
+    for row, r in zip(counts, got, strict=True):
+        n = len(r["terms"]) // 8
+        row[np.frombuffer(r["terms"], np.int32, n)] = np.frombuffer(r["terms"], np.float32, n, 4 * n)
+    return Model(counts, np.array([r["quality"] for r in got], dtype=np.float64))
 
 
 def classify(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:

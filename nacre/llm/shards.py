@@ -46,14 +46,17 @@ class Store:
         finally:
             stream.close()
 
-    def _commit(self, change) -> dict:
-        """Put `change(files)` in force as the next version; again from the newest if another writer was first."""
+    def _commit(self, change) -> dict | None:
+        """Put `change(files)` in force as the next version; again from the newest if another writer was first. None if change gives up."""
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self._conf)
         none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         none[0] = getattr(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
         for _ in range(20):
             now = self.manifest()
-            new = {"version": now["version"] + 1, "files": change(now["files"])}
+            files = change(now["files"])
+            if files is None:
+                return None
+            new = {"version": now["version"] + 1, "files": files}
             aside = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
             out = self._fs.create(aside, False)
             out.write(bytearray(json.dumps(new).encode()))
@@ -77,10 +80,16 @@ class Store:
         return sorted(out, key=lambda f: f["path"])
 
     def append(self, rows: DataFrame) -> dict:
-        """One arrival: a small immutable shard for each task of `rows`, in force after one commit. An empty arrival adds none."""
+        """One arrival: a small immutable shard for each task of `rows`, in force after one commit.
+
+        An empty arrival adds nothing, but for the first one, whose empty shard tells readers the columns."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(folder)
         new = self._files(folder)
+        now = self.manifest()
+        if now["files"] and self._read(new).isEmpty():
+            self._fs.delete(self._path(folder), True)
+            return now
         return self._commit(lambda files: files + new)
 
     def _tier(self, size: int) -> int:
@@ -91,7 +100,8 @@ class Store:
         """Merge tiers with MERGE_AT runs or more, from the smallest up, until none has as many; the number of merges.
 
         A tier's files are merged without a shuffle into files of about the target size. A merge that is lost midway leaves
-        files that no manifest lists. `all_tiers` merges unfinished files whatever their number, once, at the end."""
+        files that no manifest lists. If another writer has merged one of the same runs meanwhile, that merge stands and this
+        one is dropped: rows are never listed twice. `all_tiers` merges unfinished files whatever their number, once, at the end."""
         merges = 0
         while True:
             files = self.manifest()["files"]
@@ -112,8 +122,15 @@ class Store:
             if len(new) >= len(runs):
                 self._fs.delete(self._path(folder), True)
                 return merges
-            self._commit(lambda now, gone=gone, new=new: [f for f in now if f["path"] not in gone] + new)
-            merges += 1
+
+            def swap(now: list[dict], gone=gone, new=new) -> list[dict] | None:
+                rest = [f for f in now if f["path"] not in gone]
+                return rest + new if len(rest) == len(now) - len(gone) else None
+
+            if self._commit(swap) is None:
+                self._fs.delete(self._path(folder), True)
+            else:
+                merges += 1
 
     def vacuum(self) -> int:
         """Delete data files that the newest manifest doesn't list; for when no older version is being read."""

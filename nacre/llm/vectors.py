@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import components, durable
 
-#: Vectors of a group (a task holds two), and rows of a tile.
-GROUP, TILE = 65_536, 2048
+#: Bytes, in double precision, of a group of vectors (a task holds two groups, some of it several times over), and rows of a tile.
+GROUP_BYTES, TILE = 48 << 20, 2048
 #: Products of int8 codes are exact in single precision for so many dimensions; longer vectors are multiplied in slices.
 _EXACT = 1024
 #: What rounding in double precision may add; far above it, far below any bound that matters.
@@ -99,7 +99,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding): links are cosines of threshold or more.
 
     All rows are compared. Copies of one vector form a class, compared once and counted by its size. Classes are dealt by a hash
-    into groups of GROUP at most; a task takes two groups, multiplies their int8 codes tile by tile and gives back a count
+    into groups of about GROUP_BYTES; a task takes two groups, multiplies their int8 codes tile by tile and gives back a count
     for each vector and a spanning forest, so a dense neighbourhood costs rows in proportion to its vectors, not its pairs.
     Null and zero vectors and those with null or non-finite components link with nothing, nor do vectors of different
     length; rows of one id and vector count as copies; rows without an id link with nothing; extra columns are ignored."""
@@ -117,9 +117,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     rows = durable(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(prepare, "vec_id long, v binary").withColumn("key", F.sha2("v", 256)))
     usable = rows.where("v IS NOT NULL AND vec_id IS NOT NULL")
     classes = durable(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
-    n = classes.count()
+    n, size = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("v")), F.lit(0))).first()
     parallel = spark.sparkContext.defaultParallelism
-    groups = max(1, math.ceil(n / GROUP), min(math.ceil(math.sqrt(2 * parallel)), math.ceil(n / TILE)))
+    groups = max(1, math.ceil(size / GROUP_BYTES), min(math.ceil(math.sqrt(2 * parallel)), math.ceil(n / TILE)))
     g = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(groups)).cast("int")
     to = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     dealt = classes.select("rep", "copies", "v", F.length("v").alias("dim"), g.alias("g")).withColumn("o", to)

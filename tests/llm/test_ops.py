@@ -53,7 +53,7 @@ def test_components(spark):
     assert all(got[k] == 100 for k in range(100, 160))
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - {"op10_substrings"}))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
     for t in ("documents", "embeddings"):
@@ -472,3 +472,134 @@ def test_pipeline_stages(spark):
     tok = packing.WordTokenizer(packing.default_tokenizer(), 2).tok
     whole = {d: np.array(tok.encode(r.text, add_special_tokens=False).ids + [2], dtype="<u4").tobytes() for d, r in now.items()}
     check_pack(p.packing_stage(spark, docs, DATA).toPandas(), whole)
+
+
+# repeated rows, and what the operators' docstrings promise about them
+def test_quality_vote_by_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet").toPandas(), spark.read.parquet(f"{DATA}/labels.parquet").toPandas()
+    known = docs.merge(labels.dropna(subset=["quality"]), on="doc_id").head(120)
+    model = quality.Model(np.stack([quality.features(t) for t in known.text]), known.quality.to_numpy(float))
+    texts = [*docs.text.head(60), None, "", "  ", "a"]
+    want = []
+    for t in texts:
+        x = quality.features(t)[None]
+        if not x.any():
+            want.append(0.0)
+            continue
+        v = model.project(quality._weigh(x, model.idf))[0].astype(float)
+        votes = sorted(((float(v @ u.astype(float)), k) for k, u in zip(model.labels, model.vectors, strict=True)), key=lambda z: -z[0])[: quality.NEIGHBOURS]
+        weight = [max(c, 0) ** quality.SHARPNESS + 1e-9 for c, _ in votes]
+        want.append(sum(w * k for w, (_, k) in zip(weight, votes, strict=True)) / sum(weight))
+    assert model.score(texts, block=7) == pytest.approx(want, abs=0.08) and np.abs(model.score(texts) - want).mean() < 1e-3
+
+
+def test_quality_words_count():
+    """Texts of one shape that differ in their words alone are told apart."""
+    good, bad = ["river stone", "stone cloud", "cloud river"], ["spam offer", "offer click", "click spamy"]
+    texts = [f"{a} {b}" for g in (good, bad) for a in g for b in g]
+    model = quality.Model(np.stack([quality.features(t) for t in texts]), np.array([1.0] * 9 + [0.0] * 9))
+    assert (model.score(["cloud stone river stone", "spamy click offer click"]) >= 0.5).tolist() == [True, False]
+
+
+@pytest.mark.parametrize("languages", [2, 3, 4, 5, 6])
+def test_viterbi_by_brute_force(languages):
+    import itertools
+
+    rng = np.random.default_rng(languages)
+    n = {2: 9, 3: 7, 4: 6, 5: 5, 6: 5}[languages]
+    for _ in range(60):
+        s = rng.normal(size=(n, languages)) * rng.choice([2, 6, 12])
+        value = lambda p: sum(s[i, k] for i, k in enumerate(p)) - langid.SWITCH * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        assert value(langid.viterbi(s)) == pytest.approx(max(map(value, itertools.product(range(languages), repeat=n))))
+    assert langid.viterbi(np.array([[0, 10, -20], [0, -20, 10]]), 12.0).tolist() == [1, 2]
+
+
+def test_letters(spark):
+    assert langid.words("½ ² ① Ⅷ 12 _ !") == [] and langid.words("हिन्दी में") == ["हिन्दी", "में"] and langid.words("ภาษาไทย") == ["ภาษาไทย"]
+    rows = [(i, x) for i, x in enumerate(["½ ² ①", "漢字かな交じり文です", "สวัสดีครับ", "नमस्ते दुनिया", "kaka moka"])]
+    train = [(10, "kaka moka mako " * 9, "aa"), (11, "今日は漢字とかなの文です" * 9, "ja"), (12, "สวัสดีครับภาษาไทย " * 9, "th"), (13, "नमस्ते दुनिया हिन्दी " * 9, "hi")]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert [r.lang_pred for r in out.orderBy("doc_id").collect()] == ["und", "ja", "th", "hi", "aa"]
+
+
+def test_compaction_by_two_writers(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    a, b = shards.Store(spark, root), shards.Store(spark, root)
+    for _ in range(5):
+        a.append(spark.range(10).repartition(1))
+    commit, turns = a._commit, []
+
+    def late(change):  # the other writer merges the same runs just before this one commits
+        if not turns:
+            turns.append(b.compact())
+        return commit(change)
+
+    monkeypatch.setattr(a, "_commit", late)
+    assert a.compact() == 0 and turns == [1] and a.read().count() == 50
+    version = a.manifest()["version"]
+    assert a.append(spark.range(0))["version"] == version and shards.Store(spark, str(tmp_path / "other")).append(spark.range(0))["version"] == 1
+
+
+def test_materialise_repeated_ids(spark):
+    rows = [(7, "a b c d e f g h i j", "s")] * 4 + [(7, "k l m n o p q r s t", "s")] * 4 + [(None, "x y", "s"), (None, "x y", "t")] + [(i, "u v w", "t") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took = {r.source: r.n for r in mixing.mix(d).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    made = {r.source: r.n for r in mixing.materialise(d).withColumn("n", mixing.n_words()).groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    assert took == made
+
+
+def test_minhash_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text), (5, "something else that nobody has at all"), (9, text), (3, text + " more"), (5, text), (2, "something else that nobody has at all")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=85).collect())
+    assert got == [(2, 5, 2, True), (3, 59, 3, True), (5, 5, 2, False), (5, 58, 3, False), (5, 58, 3, False), (9, 58, 3, False)]
+
+
+def test_near_duplicate_stage_keeps_unique_texts_of_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "s", 9), (2, text, "en", "s", 9), (2, "something of its own in seven words", "en", "s", 9), (4, "one two", "en", "s", 7), (4, "one two", "en", "s", 7), (None, None, None, None, None)]
+    out = p.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), DATA)
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in out.collect()) == [(0, ""), (1, text[:9]), (2, "something"), (4, "one two")]
+
+
+def test_pack_takes_the_cheapest_with_room():
+    """Each item against a plain search of all sequences: the cheapest that holds it whole, else the cheapest with any room."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        lengths, n, capacity = rng.integers(1, 400, 60).tolist(), int(rng.integers(20, 45)), 300
+        room, spent, want = [capacity] * n, [0.0] * n, [[] for _ in range(n)]
+        todo = sorted((-x, i, 0) for i, x in enumerate(lengths))
+        while todo and any(room):
+            left, i, at = todo.pop(0)
+            left = -left
+            fit = [s for s in range(n) if room[s] >= left] or [s for s in range(n) if room[s]]
+            s = min(fit, key=lambda s: (spent[s], s))
+            k = min(left, room[s])
+            want[s].append((i, at, k))
+            room[s] -= k
+            spent[s] += packing.cost(k)
+            if k < left:
+                todo = sorted([*todo, (k - left, i, at + k)])
+        assert packing.assign(lengths, n, capacity) == want
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op9"])
+def test_repeated_rows(spark, name, odd):
+    """Rows that come twice are judged alike, and each comes back."""
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(11)], "doc_id long, quality int, toxic int")
+    twice = odd.union(odd)
+    run = {
+        "op1": lambda d: quality.classify(d, labels).select("doc_id", "score"),
+        "op2": lambda d: packing.pack(d).groupBy("doc_id").agg(F.sum("length").alias("n")).select("doc_id", "n"),
+        "op3": lambda d: vectors.near_duplicates(d.select(F.col("doc_id").alias("vec_id"), F.array(F.col("doc_id") + 1.0, F.lit(1.0)).alias("embedding"))).select("vec_id", "component_id"),
+        "op4": lambda d: rules.apply_rules(d).select("doc_id", "n_repeat_words"),
+        "op5": lambda d: lines.dedup(d).select("doc_id", "n_removed"),
+        "op9": lambda d: langid.identify(d, d).select("doc_id", "lang_pred"),
+    }[name]
+    a, b = Counter(map(tuple, run(odd).collect())), Counter(map(tuple, run(twice).collect()))
+    if name == "op2":
+        assert b == Counter({(i, 2 * n): c for (i, n), c in a.items()})
+    else:
+        assert b == Counter({k: 2 * c for k, c in a.items()})
