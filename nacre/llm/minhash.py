@@ -16,7 +16,7 @@ from .common import RollingHash, components, durable, id_filter, mix64, word_spa
 
 #: Hash functions, bits kept of each minimum, rows of a band, bands (of the first minima). 40 bands of 6 miss a pair at
 #: similarity 0.8 five times in a million, one at 0.85 six times in 1e9; unlike texts that share a passage rarely meet.
-HASHES, BITS, ROWS, BANDS = 512, 2, 6, 40
+HASHES, BITS, ROWS, BANDS = 1024, 2, 6, 40
 LONGS = HASHES * BITS // 64
 _A = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _C = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xAF251AF3B0F025B5)) >> np.uint64(32)).astype(np.uint32)
