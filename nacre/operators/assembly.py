@@ -6,8 +6,11 @@ graphs' edges come from DataFrames and the results go back as rows."""
 from __future__ import annotations
 
 import math
-from collections import Counter, deque
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,12 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..session import ship
-from .crystal import UNIT, Operator
 
-#: Bodies up to which every way of coming apart is weighed; nodes beyond which a component counts as infinite.
+#: Bodies up to which every way of coming apart is weighed; molecules beyond which a set counts as endless.
 EXACT_BODIES, MOST_NODES = 14, 512
 _RT = tables.GAS_CONSTANT * tables.TEMPERATURE
-IDENTITY: Operator = ((1, 0, 0, 0, 1, 0, 0, 0, 1), (0, 0, 0))
 
 
 def entropy(masses: list[float]) -> float:
@@ -147,122 +148,133 @@ def dissociation(interfaces: DataFrame, molecules: DataFrame) -> DataFrame:
     return rows.groupBy("structure_id").applyInArrow(settle, "structure_id string, dissociation_energy double, entropy double, parts array<array<string>>, cut array<array<string>>, exact boolean")
 
 
-# --- growth over symmetry contacts -------------------------------------------------------------------------------------
+# --- assemblies in a crystal -------------------------------------------------------------------------------------------
 
 
-def compose(p: Operator, q: Operator) -> Operator:
-    r = tuple(sum(p[0][3 * i + k] * q[0][3 * k + j] for k in range(3)) for i in range(3) for j in range(3))
-    return r, tuple(p[1][i] + sum(p[0][3 * i + k] * q[1][k] for k in range(3)) for i in range(3))
+class Contact(NamedTuple):
+    """Molecule `first`, unmoved, touches `second` turned by nine integers and shifted by three 24ths of the cell's axes."""
 
-
-def inverse(p: Operator) -> Operator:
-    m = p[0]
-    minor = lambda a, b, c, d: m[a] * m[d] - m[b] * m[c]
-    adj = (minor(4, 5, 7, 8), -minor(1, 2, 7, 8), minor(1, 2, 4, 5), -minor(3, 5, 6, 8), minor(0, 2, 6, 8), -minor(0, 2, 3, 5), minor(3, 4, 6, 7), -minor(0, 1, 6, 7), minor(0, 1, 3, 4))
-    det = m[0] * adj[0] + m[1] * adj[3] + m[2] * adj[6]
-    r = tuple(det * a for a in adj)
-    return r, tuple(-sum(r[3 * i + k] * p[1][k] for k in range(3)) for i in range(3))
-
-
-def cell_of(p: Operator) -> tuple[int, int, int]:
-    return tuple(t // UNIT for t in p[1])
-
-
-@dataclass(frozen=True)
-class Edge:
-    """A contact of molecule a with b, b placed as a sees it."""
-
-    a: str
-    b: str
-    place: Operator
+    number: int
+    first: str
+    second: str
+    turn: tuple
+    shift: tuple
     energy: float
     area: float
-    interface_id: int
-
-
-def reach(node: tuple[str, Operator], edges: list[Edge]):
-    """All nodes in contact with one, with the edge: each edge from either end."""
-    name, at = node
-    for e in edges:
-        if e.a == name:
-            yield (e.b, compose(at, e.place)), e
-        if e.b == name:
-            yield (e.a, compose(at, inverse(e.place))), e
-
-
-def grow(seed: tuple[str, Operator], edges: list[Edge], most: int = MOST_NODES) -> tuple[list | None, str]:
-    """(nodes in breadth-first order, "closed"), or (None, why not): a molecule met again, turned alike, in another cell repeats
-    for ever; so, for all practical purposes, does a component of more than `most` nodes."""
-    nodes, met, queue = {seed: None}, {(seed[0], seed[1][0]): cell_of(seed[1])}, deque([seed])
-    while queue:
-        for other, _ in reach(queue.popleft(), edges):
-            if other in nodes:
-                continue
-            turned = (other[0], other[1][0])
-            if met.setdefault(turned, cell_of(other[1])) != cell_of(other[1]):
-                return None, "repeats by translation"
-            nodes[other] = None
-            if len(nodes) > most:
-                return None, "more nodes than the cap"
-            queue.append(other)
-    return list(nodes), "closed"
-
-
-def inner_contacts(nodes: list, edges: list[Edge]) -> dict[tuple[int, int, int], Edge]:
-    """Contacts within a set of nodes, once for each pair of nodes and interface."""
-    place = {x: i for i, x in enumerate(nodes)}
-    out: dict[tuple[int, int, int], Edge] = {}
-    for i, x in enumerate(nodes):
-        for other, e in reach(x, edges):
-            j = place.get(other)
-            if j is not None and j != i:
-                out.setdefault((min(i, j), max(i, j), e.interface_id), e)
-    return out
-
 
-def composition(names: list[str]) -> str:
-    """E[4]I[4][CA][4]: polymers first, then ligands, each with its number if over one."""
-    n = Counter(names)
-    return "".join(x if n[x] == 1 else f"{x}[{n[x]}]" for x in sorted(n, key=lambda x: (x[0] == "[", x)))
 
-
-def formula(names: list[str], is_ligand: dict[str, bool]) -> str:
-    """A4B4a4: a capital for each polymer, a small letter for each ligand."""
-    n = Counter(names)
-    out = ""
-    for small in (False, True):
-        kinds = [x for x in sorted(n) if is_ligand.get(x, False) is small]
-        for k, x in enumerate(kinds[:26]):
-            out += chr((97 if small else 65) + k) + (str(n[x]) if n[x] > 1 else "")
+def turned(turn: tuple, v: tuple) -> tuple:
+    """A vector (three numbers) or a rotation (nine, by rows) under a rotation."""
+    step = len(v) // 3
+    return tuple(sum(turn[3 * i + k] * v[step * k + j] for k in range(3)) for i in range(3) for j in range(step))
+
+
+NO_TURN, NO_SHIFT = (1, 0, 0, 0, 1, 0, 0, 0, 1), (0, 0, 0)
+
+
+class Packing:
+    """A crystal's molecules, in all their orientations, in connected sets that grow contact by contact.
+
+    Copies that differ by whole cells share a vertex (molecule, rotation). A vertex keeps its shift against the first of its set, so a set
+    is one body of a crystal: joining two shifts the smaller. A contact between vertices of one set whose shifts don't agree
+    links a body with its own translated copy: that set is endless, as is any it becomes part of."""
+
+    def __init__(self, molecules: list[str], contacts: list[Contact]):
+        turns, fresh = {NO_TURN}, [NO_TURN]
+        while fresh:  # the group that the contacts' rotations make
+            fresh = list({turned(t, c.turn) for t in fresh for c in contacts} - turns)
+            turns.update(fresh)
+        self.turns = sorted(turns, reverse=True)
+        self.set_of = {(m, t): (m, t) for m in molecules for t in self.turns}
+        self.members = {v: {v: NO_SHIFT} for v in self.set_of}
+        self.endless: set = set()
+
+    def add(self, c: Contact) -> None:
+        for t in self.turns:
+            self._join((c.first, t), (c.second, turned(t, c.turn)), turned(t, c.shift))
+
+    def _join(self, u: tuple, v: tuple, apart: tuple) -> None:
+        p, q = self.set_of[u], self.set_of[v]
+        have, other = self.members[p], self.members[q]
+        off = tuple(a + d - b for a, d, b in zip(have[u], apart, other[v], strict=True))  # what q's shifts lack in p's frame
+        if p == q:
+            if any(off):
+                self.endless.add(p)
+            return
+        if len(other) > len(have):
+            p, q, have, other, off = q, p, other, have, tuple(-x for x in off)
+        for w, shift in other.items():
+            have[w] = tuple(x + y for x, y in zip(shift, off, strict=True))
+            self.set_of[w] = p
+        del self.members[q]
+        if q in self.endless:
+            self.endless.add(p)
+
+    def body(self, molecule: str) -> dict | None:
+        """{(molecule, rotation): shift} of the set around an unmoved molecule, in its frame; None if endless or of more than MOST_NODES."""
+        home = (molecule, NO_TURN)
+        inside = self.members[self.set_of[home]]
+        if self.set_of[home] in self.endless or len(inside) > MOST_NODES:
+            return None
+        at = inside[home]
+        return {v: tuple(x - y for x, y in zip(shift, at, strict=True)) for v, shift in inside.items()}
+
+
+def contacts_within(body: dict, contacts: list[Contact]) -> dict[tuple, Contact]:
+    """Contacts between members of a body, by their two vertices and number. Each is seen from its first molecule's side."""
+    by_molecule = defaultdict(list)
+    for v in body:
+        by_molecule[v[0]].append(v)
+    out = {}
+    for c in contacts:
+        for u in by_molecule[c.first]:
+            v = (c.second, turned(u[1], c.turn))
+            if v != u and body.get(v) == tuple(x + y for x, y in zip(body[u], turned(u[1], c.shift), strict=True)):
+                out[(*sorted((u, v)), c.number)] = c
     return out
 
 
-def enumerate_assemblies(masses: dict[str, float], is_ligand: dict[str, bool], edges: list[Edge], most: int = MOST_NODES) -> list[dict]:
-    """Finite assemblies of a crystal, most stable first.
-
-    Molecules are joined by the strongest k contacts, for every k; closed components with a polymer among them are scored over all
-    contacts within. Of equal contents the one hardest to part stays."""
-    edges = sorted(edges, key=lambda e: (e.energy, -e.area, e.interface_id))
-    best: dict[tuple, dict] = {}
-    seen = set()
-    for k in range(1, len(edges) + 1) if edges else [0]:
-        for seed in sorted(masses):
-            nodes, _ = grow((seed, IDENTITY), edges[:k], most)
-            if nodes is None or all(is_ligand.get(x, False) for x, _ in nodes):
+def content_of(molecules: Iterable[str], ligands: set[str]) -> tuple[str, str]:
+    """(composition, formula): E[4]I[4][CA][4] and A4B4a4, polymers before ligands, each with its number if over one."""
+    times = Counter(molecules)
+    number = lambda n: str(n) if n > 1 else ""
+    bracketed = sorted(times, key=lambda m: (m.startswith("["), m))
+    composition = "".join(m + (f"[{times[m]}]" if times[m] > 1 else "") for m in bracketed)
+    polymers, others = sorted(set(times) - ligands), sorted(set(times) & ligands)
+    letters = [*zip(ascii_uppercase, polymers, strict=False), *zip(ascii_lowercase, others, strict=False)]
+    return composition, "".join(letter + number(times[m]) for letter, m in letters)
+
+
+def bodies_of(masses: dict[str, float], ligands: set[str], contacts: list[Contact]) -> list[dict]:
+    """Finite bodies that hold together by a crystal's k strongest contacts, for any k, most stable first.
+
+    One pass over the contacts by strength; after each, the sets that it changed are looked at. Bodies of ligands alone don't
+    count. All contacts within a body are scored, not the k alone; of bodies with equal contents the one hardest to part stays."""
+    contacts = sorted((c for c in contacts if {c.first, c.second} <= masses.keys()), key=lambda c: (c.energy, -c.area, c.number))
+    packing, best, seen = Packing(sorted(masses), contacts), {}, set()
+    for c in contacts or [None]:
+        if c is not None:
+            packing.add(c)
+        for molecule in sorted(masses):
+            state = packing.set_of[molecule, NO_TURN], len(packing.members[packing.set_of[molecule, NO_TURN]])
+            if state in seen:
+                continue
+            seen.add(state)
+            body = packing.body(molecule)
+            if body is None or all(m in ligands for m, _ in body):
                 continue
-            mark = frozenset(nodes)
-            if mark in seen:
+            inner = contacts_within(body, contacts)
+            d = dissociate({v: masses[v[0]] for v in body}, [(u, v, x.energy) for (u, v, _), x in inner.items()])
+            composition, formula = content_of([m for m, _ in body], ligands)
+            key = tuple(sorted(Counter(m for m, _ in body).items()))
+            if key in best and best[key]["dissociation_energy"] >= d.energy:
                 continue
-            seen.add(mark)
-            inner = inner_contacts(nodes, edges)
-            d = dissociate({i: masses.get(x, 0.0) for i, (x, _) in enumerate(nodes)}, [(i, j, e.energy) for (i, j, _), e in inner.items()])
-            names = [x for x, _ in nodes]
-            row = {"size": len(nodes), "mmsize": sum(not is_ligand.get(x, False) for x in names), "composition": composition(names), "formula": formula(names, is_ligand), "dissociation_energy": d.energy, "entropy": d.entropy, "n_interfaces": len(inner), "interface_ids": sorted({e.interface_id for e in inner.values()}), "nodes": nodes}
-            content = tuple(sorted(Counter(names).items()))
-            if content not in best or row["dissociation_energy"] > best[content]["dissociation_energy"]:
-                best[content] = row
-    out = sorted(best.values(), key=lambda r: (r["dissociation_energy"] <= 0, -r["mmsize"], -r["dissociation_energy"], -r["size"], r["composition"]))
-    return [r | {"rank": i} for i, r in enumerate(out, start=1)]
+            best[key] = {
+                "size": len(body), "mmsize": sum(m not in ligands for m, _ in body), "composition": composition, "formula": formula, "dissociation_energy": d.energy, "entropy": d.entropy,
+                "n_interfaces": len(inner), "interface_ids": sorted({x.number for x in inner.values()}), "body": body,
+            }
+    order = lambda r: (r["dissociation_energy"] <= 0, -r["mmsize"], -r["dissociation_energy"], -r["size"], r["composition"])
+    return [r | {"rank": i} for i, r in enumerate(sorted(best.values(), key=order), start=1)]
 
 
 def assemblies(interfaces: DataFrame, molecules: DataFrame, masses: DataFrame) -> DataFrame:
@@ -279,14 +291,14 @@ def assemblies(interfaces: DataFrame, molecules: DataFrame, masses: DataFrame) -
 
     def settle(key, part):
         rs = part.to_pylist()
-        mass = {r["a"]: r["v"] for r in rs if r["b"] is None}
-        edges = [Edge(r["a"], r["b"], (tuple(r["r"]), tuple(r["t"])), r["v"], r["area"], r["interface_id"]) for r in rs if r["b"] is not None]
-        out = enumerate_assemblies(mass, {r["a"]: r["ligand"] for r in rs if r["b"] is None}, edges)
+        alone = [r for r in rs if r["b"] is None]
+        found = [Contact(r["interface_id"], r["a"], r["b"], tuple(r["r"]), tuple(r["t"]), r["v"], r["area"]) for r in rs if r["b"] is not None]
+        out = bodies_of({r["a"]: r["v"] or 0.0 for r in alone}, {r["a"] for r in alone if r["ligand"]}, found)
         node = pa.struct([("molecule", pa.string()), ("rotation", pa.list_(pa.int32())), ("translation", pa.list_(pa.int32()))])
         cols = {"structure_id": pa.array([key[0].as_py()] * len(out), pa.string())}
         for name, kind in (("rank", pa.int32()), ("size", pa.int32()), ("mmsize", pa.int32()), ("composition", pa.string()), ("formula", pa.string()), ("dissociation_energy", pa.float64()), ("entropy", pa.float64()), ("n_interfaces", pa.int32()), ("interface_ids", pa.list_(pa.int32()))):
             cols[name] = pa.array([r[name] for r in out], kind)
-        cols["molecules"] = pa.array([[{"molecule": x, "rotation": list(p[0]), "translation": list(p[1])} for x, p in r["nodes"]] for r in out], pa.list_(node))
+        cols["molecules"] = pa.array([[{"molecule": m, "rotation": list(t), "translation": list(x)} for (m, t), x in r["body"].items()] for r in out], pa.list_(node))
         return pa.table(cols)
 
     schema = "structure_id string, rank int, size int, mmsize int, composition string, formula string, dissociation_energy double, entropy double, n_interfaces int, interface_ids array<int>, molecules array<struct<molecule:string,rotation:array<int>,translation:array<int>>>"

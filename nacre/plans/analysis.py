@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from ..operators import contacts as C
 from ..operators import crystal as X
 from ..operators import molecules as M
 from ..operators import surface as S
+from ..session import durable
 
 PAIR = ["structure_id", "molecule_1", "molecule_2"]
 
@@ -23,7 +24,7 @@ PAIR = ["structure_id", "molecule_1", "molecule_2"]
 class Analysis:
     """Interfaces of all structures of `atoms`, keyed by structure_id; every property is a DataFrame, built when asked for.
 
-    Tables that several results need are persisted (Spark spills and recomputes them); release() drops them. `assigned` atoms
+    Tables that several results need are computed when first asked for and kept in the checkpoint folder; release() forgets them. `assigned` atoms
     carry molecule_id, and is_asu where symmetry mates are among them."""
 
     atoms: DataFrame
@@ -37,7 +38,6 @@ class Analysis:
     min_css: float | None = None
     mode: str = "combined"
     symmetry: str = "none"
-    _held: list[DataFrame] = field(default_factory=list)
 
     def __post_init__(self):
         if self.mode not in ("energy", "contacts", "combined"):
@@ -48,13 +48,13 @@ class Analysis:
             raise ValueError(f"symmetry must be none or crystal, not {self.symmetry!r}")
 
     def _hold(self, df: DataFrame) -> DataFrame:
-        self._held.append(df.persist())
-        return df
+        return durable(df)
 
     def release(self) -> None:
-        for df in self._held:
-            df.unpersist()
-        self._held.clear()
+        """Forget all tables; their files go with them where the session cleans checkpoints."""
+        for name, of in vars(type(self)).items():
+            if isinstance(of, cached_property):
+                vars(self).pop(name, None)
 
     @cached_property
     def assigned(self) -> DataFrame:

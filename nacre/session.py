@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -14,6 +14,7 @@ _SHIPPED: set[str] = set()
 def build(app: str = "nacre", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with UTC, adaptive execution and skew joins on; whatever the cluster already sets wins."""
     b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         b = b.master(master)
     if shuffle_partitions:
@@ -35,3 +36,17 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(archive))
     _SHIPPED.add(app)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of `df`, computed now and kept in spark.checkpoint.dir, with its lineage and its plan cut.
+
+    Plans built on it start from stored rows: they are short, and the loss of executors costs no earlier step. Only in local mode may a
+    session do without a folder that all executors share."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)

@@ -126,14 +126,63 @@ def op(text, cell=(0, 0, 0)):
 
 @pytest.mark.parametrize(("place", "nodes"), [("-x,-y,z", 2), ("-y,x-y,z", 3), ("-x,-y,z+1/2", None)])
 def test_growth(place, nodes):
-    got, _ = A.grow(("A", A.IDENTITY), [A.Edge("A", "A", op(place), -5.0, 100.0, 1)])
+    def body(turn, shift):
+        c = A.Contact(1, "A", "A", turn, shift, -5.0, 100.0)
+        packing = A.Packing(["A"], [c])
+        packing.add(c)
+        return packing.body("A")
+
+    got = body(*op(place))
     assert (got and len(got)) == nodes
-    assert A.grow(("A", A.IDENTITY), [A.Edge("A", "A", ((1, 0, 0, 0, 1, 0, 0, 0, 1), (24, 0, 0)), -5.0, 1.0, 1)])[0] is None
+    assert body(A.NO_TURN, (24, 0, 0)) is None
+
+
+def plain_bodies(molecules, contacts):
+    """What each molecule is connected with, by walking contacts from its place, None where the walk leaves a small box."""
+    out = {}
+    for m in molecules:
+        seen, todo = {(m, A.NO_TURN, (0, 0, 0))}, [(m, A.NO_TURN, (0, 0, 0))]
+        while todo and seen:
+            name, r, t = todo.pop()
+            steps = []
+            for c in contacts:
+                if c.first == name:
+                    steps.append((c.second, A.turned(r, c.turn), tuple(x + y for x, y in zip(t, A.turned(r, c.shift), strict=True))))
+                if c.second == name:
+                    back = next(q for q in TURNS if A.turned(q, c.turn) == A.NO_TURN)
+                    q = A.turned(r, back)
+                    steps.append((c.first, q, tuple(x - y for x, y in zip(t, A.turned(q, c.shift), strict=True))))
+            for s in steps:
+                if s not in seen:
+                    seen.add(s)
+                    todo.append(s)
+            if any(abs(x) > 24 * 9 for _, _, t in seen for x in t):
+                seen = None
+        out[m] = seen
+    return out
+
+
+TURNS = [r for r, _ in X.operators_of("P 43 21 2")]
+
+
+def test_packing_against_walks():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        molecules = ["A", "B", "C"]
+        contacts = [A.Contact(i, rng.choice(molecules), rng.choice(molecules), rng.choice(TURNS), tuple(24 * rng.choice([0, 0, 0, 1, -1]) for _ in range(3)), -1.0, 1.0) for i in range(rng.randint(1, 4))]
+        packing = A.Packing(molecules, contacts)
+        for c in contacts:
+            packing.add(c)
+        walks = plain_bodies(molecules, contacts)
+        for m in molecules:
+            got = packing.body(m)
+            assert (got and {(n, r, t) for (n, r), t in got.items()}) == walks[m]
 
 
 def test_self_inverse_contact_counts_once():
-    e = A.Edge("A", "A", op("-x,-y,z"), -20.0, 500.0, 1)
-    r = A.enumerate_assemblies({"A": 1e4}, {"A": False}, [e])[0]
+    r = A.bodies_of({"A": 1e4}, set(), [A.Contact(1, "A", "A", *op("-x,-y,z"), -20.0, 500.0)])[0]
     assert r["size"] == 2 and r["n_interfaces"] == 1 and r["composition"] == "A[2]" and r["formula"] == "A2"
     assert r["dissociation_energy"] == pytest.approx(20.0 - A.entropy([1e4, 1e4]))
 
@@ -149,17 +198,14 @@ def test_space_groups(name):
         X.operators_of("Q 9")
 
 
-def test_inverse_is_not_the_transpose():
-    p = op("-y,x-y,z+1/3", (1, 0, 2))
-    assert A.compose(p, A.inverse(p)) == A.IDENTITY
-    r = np.array(p[0]).reshape(3, 3)
-    assert (X.inverse_rotation(r) @ r == np.eye(3, dtype=int)).all() and not (X.inverse_rotation(r) == r.T).all()
+def after(p, q):
+    return A.turned(p[0], q[0]), tuple(x + y for x, y in zip(p[1], A.turned(p[0], q[1]), strict=True))
 
 
 def test_equivalent_pairs_share_a_key(spark):
     a, b = op("x,y,z"), op("-y,x-y,z+1/3", (1, 0, 0))
     move = op("-x,-y,z+1/2", (0, 2, -1))
-    rows = [("A", "B", *map(list, a), *map(list, b)), ("A", "B", *map(list, A.compose(move, a)), *map(list, A.compose(move, b))), ("B", "A", *map(list, b), *map(list, a)), ("A", "B", *map(list, a), *map(list, move))]
+    rows = [("A", "B", *map(list, a), *map(list, b)), ("A", "B", *map(list, after(move, a)), *map(list, after(move, b))), ("B", "A", *map(list, b), *map(list, a)), ("A", "B", *map(list, a), *map(list, move))]
     ints = "array<int>"
     d = spark.createDataFrame(rows, f"asu_1 string, asu_2 string, rotation_1 {ints}, translation_1 {ints}, rotation_2 {ints}, translation_2 {ints}")
     keys = [r.eq_key for r in X.with_relative(d).collect()]
