@@ -30,6 +30,31 @@ class StructureEngine:
         more, others = cif.from_text(files.where(pdb.is_cif_path("path")))
         return atoms.unionByName(more), structures.unionByName(others)
 
+    def read_each(self, *paths: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(atoms, structures, errors): a file that cannot be read is a row of errors (structure_id, path, error), the others go on.
+
+        Files without an atom and PDB records that cannot be read are found in one pass over the lines; mmCIF files are read apart, those
+        without atoms are errors too."""
+        files = pdb.read_files(self.spark, *paths)
+        lines = pdb.lines_of(files.where(~pdb.is_cif_path("path")))
+        parsed = session.durable(pdb.parse_atoms(lines, strict=False))
+        bad = pdb.errors_of(parsed)
+        atoms = pdb.number_atoms(pdb.select_altlocs(parsed.join(bad.select("structure_id"), "structure_id", "left_anti")))
+        more, others = cif.from_text(files.where(pdb.is_cif_path("path")))
+        atoms = session.durable(atoms.unionByName(more, allowMissingColumns=True))
+        structures = lines.select("structure_id").distinct().join(pdb.structures_of(lines), "structure_id", "left").unionByName(others)
+        met = atoms.select("structure_id").distinct().withColumn("met", F.lit(True))
+        errors = files.select("structure_id", "path").join(bad, "structure_id", "left").join(met, "structure_id", "left").where("met IS NULL")
+        return atoms, structures.join(met.select("structure_id"), "structure_id", "left_semi"), errors.select("structure_id", "path", F.coalesce("error", F.lit("no atoms")).alias("error"))
+
+    def analyze_many(self, *paths: str, **options) -> DataFrame:
+        """One row for each file, in the order of their paths: its totals, or the error that kept it from being analysed."""
+        atoms, structures, errors = self.read_each(*paths)
+        done = Analysis(atoms, structures, **options).summary.withColumn("error", F.lit(None).cast("string"))
+        paths_of = pdb.read_files(self.spark, *paths).select("structure_id", "path")
+        failed = errors.select("structure_id", "error")
+        return paths_of.join(done.unionByName(failed, allowMissingColumns=True), "structure_id").orderBy("path")
+
     def analyze(self, *paths: str, **options) -> Analysis:
         atoms, structures = self.read(*paths)
         return Analysis(atoms, structures, **options)
@@ -53,6 +78,16 @@ class StructureEngine:
         _, matrix = other.read_pae(self.spark, *paths)
         return report.filter_by_score(interfaces, report.pae_scores(analysis.contacts, analysis.assigned, matrix), "pae", most=most)
 
+    def filter_by_iptm(self, interfaces: DataFrame, *paths: str, least: float = 0.8) -> DataFrame:
+        """Interfaces of models whose ipTM reaches `least`, and of those that state none: an unsure model has no interface to trust."""
+        scores, _ = other.read_pae(self.spark, *paths)
+        unsure = scores.where(F.col("iptm") < least).select("structure_id")
+        return interfaces.join(unsure, "structure_id", "left_anti")
+
+    def has_plddt(self, analysis: Analysis) -> DataFrame:
+        """structure_id and has_plddt: whether B factors vary at all, as confidences do."""
+        return analysis.assigned.groupBy("structure_id").agg((F.min("bfactor") < F.max("bfactor")).alias("has_plddt"))
+
     def filter_by_plddt(self, analysis: Analysis, interfaces: DataFrame, least: float = 70.0) -> DataFrame:
         atoms = report.check_confidence(analysis.assigned)
         return report.filter_by_score(interfaces, report.interface_confidence(analysis.faces, atoms), "plddt", least=least)

@@ -98,13 +98,6 @@ def sequences(atoms: DataFrame, keys: tuple[str, ...] = ("structure_id",)) -> Da
     return r.groupBy(*keys, "chain").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda s: s["x"]), "").alias("sequence"))
 
 
-def overlaps(footprints: DataFrame, name: str, values: str) -> DataFrame:
-    """Every pair of footprints: what both have, what either has, and the ratio."""
-    a, b = footprints.select(F.col(name).alias("c1"), F.col(values).alias("v1")), footprints.select(F.col(name).alias("c2"), F.col(values).alias("v2"))
-    both, either = F.size(F.array_intersect("v1", "v2")), F.size(F.array_union("v1", "v2"))
-    return a.join(b, F.col("c1") < F.col("c2")).select("c1", "c2", both.alias("both"), either.alias("any"), F.round(both / either, 8).alias("jaccard"))
-
-
 def group_digest(interfaces: DataFrame, residues: DataFrame, group1: list[str], group2: list[str]) -> tuple[DataFrame, DataFrame]:
     """(totals, residues) of the interface between two groups of chains: pairs with one label in each.
 

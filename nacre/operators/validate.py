@@ -76,16 +76,3 @@ def fit_linear(records: DataFrame, columns: list[str], target: str, ridge: float
     a = a + np.triu(a, 1).T
     p = np.zeros(n) if prior is None else np.array(prior)
     return np.linalg.solve(a + ridge * np.eye(n), np.array(row[n * (n + 1) // 2 :], dtype=float) + ridge * p)
-
-
-def match_crystal(ours: DataFrame, theirs: DataFrame, rotation_slack: float = 0.02, shift_slack: float = 0.8) -> DataFrame:
-    """Interfaces matched by chains and relative transform (columns r: nine doubles, t: three), one to one.
-
-    Candidates within the slack, either way round, by a join on chains; of those each reference takes its best in order. Ours are taken
-    once: a mutual best first, then what is left, round by round."""
-    far = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
-    c = theirs.alias("t").join(ours.alias("o"), (F.col("t.structure_id") == F.col("o.structure_id")) & (F.col("t.pair") == F.col("o.pair")))
-    c = c.withColumn("dr", far("t.r", "o.r")).withColumn("dt", far("t.t", "o.t")).where((F.col("dr") < rotation_slack) & (F.col("dt") < shift_slack))
-    c = c.select("t.structure_id", F.col("t.id").alias("their_id"), F.col("o.id").alias("our_id"), (F.col("dr") + F.col("dt")).alias("cost"))
-    best = c.withColumn("k", F.row_number().over(W.partitionBy("structure_id", "their_id").orderBy("cost", "our_id"))).where("k = 1")
-    return best.withColumn("m", F.row_number().over(W.partitionBy("structure_id", "our_id").orderBy("cost", "their_id"))).where("m = 1").drop("k", "m")

@@ -23,10 +23,15 @@ def structure_id_of(path) -> Column:
 
 
 def read_files(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
-    """structure_id, path and text of each structure file under the paths (files, folders, globs); .gz is unpacked by the reader."""
+    """structure_id, path and text of each structure file under the paths (files, folders, globs); .gz is unpacked by the reader.
+
+    A structure goes by its file's name; files of one name in several folders, or formats, by their whole paths, so that none are taken for one."""
     raw = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(list(paths), wholetext=True)
     raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return raw.where(F.col("path").rlike(STRUCTURE_SUFFIXES)).dropDuplicates(["path"]).select(structure_id_of("path").alias("structure_id"), "path", "text")
+    files = raw.where(F.col("path").rlike(STRUCTURE_SUFFIXES)).dropDuplicates(["path"]).withColumn("name", structure_id_of("path"))
+    # Which names come more than once is found from paths alone, before any text is read.
+    twice = files.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", F.lit(True).alias("several"))
+    return files.join(twice, "name", "left").select(F.when(F.col("several"), F.col("path")).otherwise(F.col("name")).alias("structure_id"), "path", "text")
 
 
 def decode_sequence_number(field) -> Column:
