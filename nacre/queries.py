@@ -302,7 +302,6 @@ def _a8(s, d):
     return m.select(F.col("molecule_1").alias("m1"), F.col("molecule_2").alias("m2"), F.col("residue_1_chain").alias("c1"), F.col("residue_1_seq").alias("s1"), F.col("residue_2_chain").alias("c2"), F.col("residue_2_seq").alias("s2"), F.round("min_distance", 6).alias("min_distance"), "num_contacts", F.col("dominant_interaction").alias("dominant"))
 
 
-QUERIES["J7_contact_map_join"], SQL["J7_contact_map_join"] = QUERIES["P16_contact_class"], SQL["P16_contact_class"]
 QUERIES["flagship_interfaces"], SQL["flagship_interfaces"] = QUERIES["A8_contact_map"], SQL["A8_contact_map"]
 
 
@@ -435,12 +434,12 @@ def _s18(s, d):
     return validate.last_records(read(s, d, "events"), "user_id", ["ts", "event_id"], "event_id")
 
 
-@query("E3_footprint_overlap", f"WITH {ATOMS}, f AS (SELECT auth_asym_id AS c, list_distinct(list(res_name)) AS r FROM heavy GROUP BY ALL) SELECT a.c AS c1, b.c AS c2, len(list_intersect(a.r, b.r))::INT AS both, len(list_distinct(list_concat(a.r, b.r)))::INT AS any, round(len(list_intersect(a.r, b.r)) / len(list_distinct(list_concat(a.r, b.r))), 8) AS jaccard FROM f a JOIN f b ON a.c < b.c")
+@query("E3_footprint_overlap", f"WITH {ATOMS}, f AS (SELECT auth_asym_id AS c, list_distinct(list(res_name)) AS r FROM heavy GROUP BY ALL) SELECT a.c AS c1, b.c AS c2, len(list_intersect(a.r, b.r))::INT AS both, len(list_distinct(list_concat(a.r, b.r)))::INT AS any, round(len(list_intersect(a.r, b.r)) / len(list_distinct(list_concat(a.r, b.r))), 8) AS jaccard FROM f a JOIN f b ON a.c < b.c WHERE len(list_intersect(a.r, b.r)) > 0")
 def _e3(s, d):
-    from .operators import report
+    from .operators import comparison
 
-    f = heavy(s, d).groupBy(F.col("auth_asym_id").alias("c")).agg(F.collect_set("res_name").alias("r"))
-    return report.overlaps(f, "c", "r")
+    f = heavy(s, d).groupBy("structure_id", F.col("auth_asym_id").alias("c")).agg(F.collect_set("res_name").alias("r"))
+    return comparison.overlaps(f, "c", "r", ["structure_id"]).select("c1", "c2", F.col("both").cast("int").alias("both"), F.col("any").cast("int").alias("any"), "jaccard")
 
 
 @query("E6_bond_rows", f"WITH {PAIRS} SELECT a_id, b_id, 'hbond' AS kind FROM pairs WHERE {_HB} UNION ALL SELECT a_id, b_id, 'salt_bridge' FROM pairs WHERE {_SALT} UNION ALL SELECT a_id, b_id, 'disulfide' FROM pairs WHERE {_SS}")
@@ -521,7 +520,6 @@ def _p23(s, d):
 
 @query("P30_p_value")
 def _p30(s, d):
-    """Rows only: DuckDB has no error function."""
     return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 10 - 2.5).alias("z")).withColumn("p", F.round(scalars.p_value("z"), 6)).drop("z")
 
 
@@ -538,7 +536,6 @@ def _e1(s, d):
 
 @query("C6_space_groups")
 def _c6(s, d):
-    """Rows only: the table of operators."""
     from .operators import crystal
 
     return crystal.operator_table(s).groupBy("space_group").agg(F.count(F.lit(1)).alias("operators"))
@@ -593,7 +590,7 @@ def _e4(s, d):
 
 @query("A16_rings")
 def _a16(s, d):
-    """Rows only: a plane's normal is an eigenvector. One perfect hexagon for each id."""
+    """One perfect hexagon for each id."""
     v = read(s, d, "embeddings").select(F.col("vec_id").alias("k"))
     names = tables.groups(tables.RING_GROUPS)[0][1]
     ring = v.select(F.lit("s").alias("structure_id"), F.lit(0).alias("molecule_id"), F.lit("A").alias("auth_asym_id"), F.col("k").cast("int").alias("res_seq"), F.lit("").alias("icode"), F.lit("PHE").alias("res_name"), "k", F.posexplode(F.array(*map(F.lit, names))).alias("j", "atom_name"))
