@@ -64,13 +64,13 @@ def contact_radius(element) -> Column:
 
 def surface_radius(element, atom, res) -> Column:
     el, name, r = norm(element), norm(atom), norm(res)
-    sp2 = (name == "C") | key(res, atom).isin(T.pairs(T.SP2_CARBONS)) | (r.isin(T.SURFACE_NUCLEOTIDES) & ~name.endswith("'"))
-    radii = T.values(T.SURFACE_RADII)
+    sp2 = (name == "C") | key(res, atom).isin(T.SP2_CARBONS) | (r.isin(T.SURFACE_NUCLEOTIDES) & ~name.endswith("'"))
+    radii = T.SURFACE_RADII
     return F.when(el == "C", F.when(sp2, F.lit(T.SP2_CARBON_RADIUS)).otherwise(F.lit(radii["C"]))).otherwise(F.coalesce(lookup(el, radii), contact_radius(element)))
 
 
 def salt_charge(res, atom) -> Column:
-    return lookup(key(res, atom), {k: int(v) for k, v in T.values(T.SALT_CHARGES).items()}, "int")
+    return lookup(key(res, atom), {k: int(v) for k, v in T.SALT_CHARGES.items()}, "int")
 
 
 def hetero_class(element, atom, res) -> Column:
@@ -100,8 +100,8 @@ def solvation_class(fine) -> Column:
         F.when(el == "P", "NA_P").when(atom.isin("OP1", "OP2", "OP3", "O1P", "O2P"), "NA_OP").when(sugar & (el == "C"), "NA_C_sugar").when(sugar, "NA_O_sugar")
         .when(el == "C", "NA_C_base").when(el == "N", "NA_N_base").when(el == "O", "NA_O_base").otherwise("X")
     )
-    aromatic = [k for k in T.pairs(T.SP2_CARBONS) if k[:3] in ("PHE", "TYR", "TRP", "HIS")]
-    carbon = F.when(atom == "CA", "C_CA").when(atom == "C", "C_bb").when(f.isin(aromatic), "C_aro").when(f.isin(T.pairs(T.POLAR_SP2_CARBONS)), "C_sp2_polar").otherwise("C_ali")
+    aromatic = [k for k in T.SP2_CARBONS if k[:3] in ("PHE", "TYR", "TRP", "HIS")]
+    carbon = F.when(atom == "CA", "C_CA").when(atom == "C", "C_bb").when(f.isin(aromatic), "C_aro").when(f.isin(T.POLAR_SP2_CARBONS), "C_sp2_polar").otherwise("C_ali")
     nitrogen = F.when(atom == "N", "N_bb").when(res == "ARG", "N_arg").when(res == "LYS", "N_lys").when(res == "HIS", "N_his").when(res == "TRP", "N_trp").otherwise("N_amide")
     oxygen = F.when(atom.isin("O", "OXT"), "O_bb").when(res.isin("ASP", "GLU"), "O_carbox").when(res.isin("ASN", "GLN"), "O_amide").otherwise("O_hyd")
     sulfur = F.when(res == "CYS", "S_cys").otherwise("S_met")
@@ -112,7 +112,7 @@ def solvation_class(fine) -> Column:
 def sigma(fine, cls) -> Column:
     """Solvation energy per area of an atom from its types: its class's value and its own deviation; 0 for hydrogens."""
     f, c = col(fine), col(cls)
-    return F.when(f == "H", F.lit(0.0)).otherwise(F.coalesce(lookup(c, T.values(T.SOLVATION)), F.lit(0.0)) + F.coalesce(lookup(f, T.solvation_by_atom()), F.lit(0.0)))
+    return F.when(f == "H", F.lit(0.0)).otherwise(F.coalesce(lookup(c, T.SOLVATION), F.lit(0.0)) + F.coalesce(lookup(f, T.SOLVATION_BY_ATOM), F.lit(0.0)))
 
 
 def with_types(atoms: DataFrame) -> DataFrame:
@@ -133,10 +133,10 @@ def is_apolar_class(cls) -> Column:
 def bond_role(res, atom, element) -> Column:
     """D, A, DA or empty: how a heavy atom can take part in a hydrogen bond."""
     r, name, el = norm(res), norm(atom), norm(element)
-    listed = T.words(T.BOND_ROLES) | T.bases(T.words(T.BASE_ROLES))
+    listed = T.BOND_ROLES | T.bases(T.BASE_ROLES)
     generic = F.when(el == "N", "D").when(el == "O", "A").otherwise("")
     standard = r.isin(sorted({*T.AMINO_ACIDS, *T.NUCLEIC_ACIDS}))
-    sugar = F.when(r.isin(T.NUCLEIC_ACIDS), lookup(name, T.words(T.SUGAR_ROLES), "string"))
+    sugar = F.when(r.isin(T.NUCLEIC_ACIDS), lookup(name, T.SUGAR_ROLES, "string"))
     backbone = F.when(name == "N", F.when(r == "PRO", "").otherwise("D")).when(name.isin("O", "OXT"), "A")
     return F.coalesce(lookup(key(res, atom), listed, "string"), F.when(standard, F.coalesce(sugar, backbone, generic)).otherwise(generic))
 
@@ -151,7 +151,7 @@ def accepts(role) -> Column:
 
 def donor_capacity(res, atom) -> Column:
     """Bonds that a donor may take part in: its hydrogens and one more, for bonds that share one."""
-    listed = {k: int(v) for k, v in (T.values(T.DONOR_HYDROGENS) | T.bases(T.values(T.BASE_HYDROGENS))).items()}
+    listed = {k: int(v) for k, v in (T.DONOR_HYDROGENS | T.bases(T.BASE_HYDROGENS)).items()}
     return F.coalesce(lookup(key(res, atom), listed, "int"), F.lit(1)) + 1
 
 
@@ -179,15 +179,15 @@ def bears_hydrogen(res, atom) -> Column:
     """Whether a carbon has a hydrogen to give."""
     r, name = norm(res), norm(atom)
     base = F.when((F.length(r) == 2) & F.substring(r, 1, 1).isin("D", "R"), F.substring(r, 2, 1)).otherwise(r)
-    return ~((name == "C") | F.concat_ws(":", r, name).isin(T.pairs(T.BARE_CARBONS)) | F.concat_ws(":", base, name).isin(T.pairs(T.BARE_BASE_CARBONS)))
+    return ~((name == "C") | F.concat_ws(":", r, name).isin(T.BARE_CARBONS) | F.concat_ws(":", base, name).isin(T.BARE_BASE_CARBONS))
 
 
 def is_ring_atom(res, atom) -> Column:
-    return key(res, atom).isin([f"{r}:{a}" for r, atoms in T.groups(T.RING_ATOMS) for a in atoms])
+    return key(res, atom).isin([f"{r}:{a}" for r, atoms in T.RING_ATOMS for a in atoms])
 
 
 def one_letter(res) -> Column:
-    return F.coalesce(lookup(norm(res), T.words(T.ONE_LETTER), "string"), F.lit("X"))
+    return F.coalesce(lookup(norm(res), T.ONE_LETTER, "string"), F.lit("X"))
 
 
 def moiety(atom) -> Column:
@@ -204,7 +204,7 @@ def residue_kind(res) -> Column:
 
 def mass(element, strict: bool = False) -> Column:
     """Atomic mass; unknown elements count as carbon, or are an error if `strict`."""
-    known = lookup(norm(element), T.values(T.MASSES))
+    known = lookup(norm(element), T.MASSES)
     return F.coalesce(known, F.raise_error(F.concat(F.lit("unknown element: "), col(element))).cast("double") if strict else F.lit(T.OTHER_MASS))
 
 
@@ -241,8 +241,8 @@ def is_map_salt_bridge(most: float = 4.5) -> Column:
     """The contact map's own salt bridges: Lys NZ or Arg NH with a carboxylate or phosphate oxygen."""
 
     def test(x, y):
-        anion = key(y[0], y[1]).isin(T.pairs(T.MAP_SALT_ANIONS)) | (norm(y[0]).isin(T.MAP_SALT_NUCLEOTIDES) & norm(y[1]).isin(T.MAP_SALT_PHOSPHATES))
-        return key(x[0], x[1]).isin(T.pairs(T.MAP_SALT_CATIONS)) & anion
+        anion = key(y[0], y[1]).isin(T.MAP_SALT_ANIONS) | (norm(y[0]).isin(T.MAP_SALT_NUCLEOTIDES) & norm(y[1]).isin(T.MAP_SALT_PHOSPHATES))
+        return key(x[0], x[1]).isin(T.MAP_SALT_CATIONS) & anion
 
     return (F.col("distance") <= most) & either(test)
 
@@ -262,7 +262,7 @@ def contact_class(hydrogen_bond: Column | None = None, pi_pi: Column | None = No
     ch_pi = d < 5.0 if ch_pi is None else ch_pi
     polar_pair = lambda x: norm(x[2]).isin("O", "N")
     ring = lambda x: is_ring_atom(x[0], x[1])
-    cation = lambda x: key(x[0], x[1]).isin([k for k, v in T.values(T.CHARGED_ATOMS).items() if v > 0])
+    cation = lambda x: key(x[0], x[1]).isin([k for k, v in T.CHARGED_ATOMS.items() if v > 0])
     reach = contact_radius(F.col("a_element")) + contact_radius(F.col("b_element"))
     polar = reduce(lambda p, q: p | q, [is_polar(a, e) for _, a, e in (side("a"), side("b"))])
     return (

@@ -32,7 +32,7 @@ def sphere_table(spark: SparkSession, n: int = POINTS) -> DataFrame:
 
 def widest_reach(probe: float = PROBE) -> float:
     """Farthest that two atoms of any listed kind can shade each other."""
-    return 2 * max(tables.values(tables.SURFACE_RADII).values()) + 2 * probe
+    return 2 * max(tables.SURFACE_RADII.values()) + 2 * probe
 
 
 def accessible_points(atoms: DataFrame, probe: float = PROBE, points: int = POINTS, keys: tuple[str, ...] = ("structure_id",)) -> DataFrame:

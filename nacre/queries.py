@@ -98,9 +98,9 @@ _KEY = "(res_name || ':' || atom_name)"
 _POLY = _list(sorted({*tables.AMINO_ACIDS, *tables.NUCLEIC_ACIDS}))
 _BY, _LETTERS = tables.contact_radius_rule()
 _CONTACT_R = lambda e: f"coalesce({_case(e, _BY)}, {_case(f'substr({e}, 1, 1)', _LETTERS)}, {tables.OTHER_RADIUS}::DOUBLE)"
-_SURFACE_R = f"""CASE WHEN element = 'C' THEN CASE WHEN atom_name = 'C' OR {_KEY} IN {_list(tables.pairs(tables.SP2_CARBONS))} OR (res_name IN {_list(tables.SURFACE_NUCLEOTIDES)} AND atom_name NOT LIKE '%''') THEN 1.76::DOUBLE ELSE 1.87::DOUBLE END
-  ELSE coalesce({_case('element', tables.values(tables.SURFACE_RADII))}, {_CONTACT_R('element')}) END"""
-_CHARGE = {k: int(v) for k, v in tables.values(tables.SALT_CHARGES).items()}
+_SURFACE_R = f"""CASE WHEN element = 'C' THEN CASE WHEN atom_name = 'C' OR {_KEY} IN {_list(tables.SP2_CARBONS)} OR (res_name IN {_list(tables.SURFACE_NUCLEOTIDES)} AND atom_name NOT LIKE '%''') THEN 1.76::DOUBLE ELSE 1.87::DOUBLE END
+  ELSE coalesce({_case('element', tables.SURFACE_RADII)}, {_CONTACT_R('element')}) END"""
+_CHARGE = {k: int(v) for k, v in tables.SALT_CHARGES.items()}
 _HET = f"""CASE WHEN element = 'ZN' THEN 'ZN' WHEN element IN {_list(tables.SOLVATION_METALS)} THEN 'MET' WHEN res_name IN {_list(tables.ION_RESIDUES)} AND element = 'O' THEN 'OI' WHEN element = 'C' THEN 'C' WHEN element IN ('S','SE') THEN 'S'
   WHEN element = 'P' THEN 'P' WHEN element IN {_list(tables.HALOGENS)} THEN 'HAL' WHEN element = 'N' THEN 'N' WHEN element = 'O' THEN CASE WHEN atom_name IN {_list(tables.PHOSPHATE_OXYGENS)} THEN 'OP' ELSE 'O' END ELSE 'X' END"""
 _FINE = f"CASE WHEN element IN ('H','D') THEN 'H' WHEN res_name IN {_list(tables.TYPED_RESIDUES)} THEN {_KEY} WHEN {_HET} IN ('MET','HAL') THEN 'het:' || {_HET} || ':' || element ELSE 'het:' || {_HET} END"
@@ -109,29 +109,29 @@ _FINE = f"CASE WHEN element IN ('H','D') THEN 'H' WHEN res_name IN {_list(tables
 def _class_sql() -> str:
     """The class of each fine type that the literal atoms have, worked out from the rules' own words."""
     el = "CASE WHEN res_name = 'MSE' AND atom_name = 'SE' THEN 'SE' ELSE substr(atom_name, 1, 1) END"
-    aro = _list(k for k in tables.pairs(tables.SP2_CARBONS) if k[:3] in ("PHE", "TYR", "TRP", "HIS"))
+    aro = _list(k for k in tables.SP2_CARBONS if k[:3] in ("PHE", "TYR", "TRP", "HIS"))
     return f"""CASE WHEN element IN ('H','D') THEN 'H' WHEN res_name NOT IN {_list(tables.TYPED_RESIDUES)} THEN {_HET}
   WHEN res_name IN {_list(tables.TYPED_NUCLEOTIDES)} THEN CASE WHEN {el} = 'P' THEN 'NA_P' WHEN atom_name IN ('OP1','OP2','OP3','O1P','O2P') THEN 'NA_OP' WHEN atom_name LIKE '%''' THEN CASE WHEN {el} = 'C' THEN 'NA_C_sugar' ELSE 'NA_O_sugar' END
     WHEN {el} = 'C' THEN 'NA_C_base' WHEN {el} = 'N' THEN 'NA_N_base' WHEN {el} = 'O' THEN 'NA_O_base' ELSE 'X' END
-  WHEN {el} = 'C' THEN CASE WHEN atom_name = 'CA' THEN 'C_CA' WHEN atom_name = 'C' THEN 'C_bb' WHEN {_KEY} IN {aro} THEN 'C_aro' WHEN {_KEY} IN {_list(tables.pairs(tables.POLAR_SP2_CARBONS))} THEN 'C_sp2_polar' ELSE 'C_ali' END
+  WHEN {el} = 'C' THEN CASE WHEN atom_name = 'CA' THEN 'C_CA' WHEN atom_name = 'C' THEN 'C_bb' WHEN {_KEY} IN {aro} THEN 'C_aro' WHEN {_KEY} IN {_list(tables.POLAR_SP2_CARBONS)} THEN 'C_sp2_polar' ELSE 'C_ali' END
   WHEN {el} = 'N' THEN CASE WHEN atom_name = 'N' THEN 'N_bb' WHEN res_name = 'ARG' THEN 'N_arg' WHEN res_name = 'LYS' THEN 'N_lys' WHEN res_name = 'HIS' THEN 'N_his' WHEN res_name = 'TRP' THEN 'N_trp' ELSE 'N_amide' END
   WHEN {el} = 'O' THEN CASE WHEN atom_name IN ('O','OXT') THEN 'O_bb' WHEN res_name IN ('ASP','GLU') THEN 'O_carbox' WHEN res_name IN ('ASN','GLN') THEN 'O_amide' ELSE 'O_hyd' END
   WHEN {el} IN ('S','SE') THEN CASE WHEN res_name = 'CYS' THEN 'S_cys' ELSE 'S_met' END ELSE 'X' END"""
 
 
 _CLASS = _class_sql()
-_SIGMA = f"CASE WHEN c = 'H' THEN 0.0::DOUBLE ELSE coalesce({_case('c', tables.values(tables.SOLVATION))}, 0.0::DOUBLE) + coalesce({_case('f', tables.solvation_by_atom())}, 0.0::DOUBLE) END"
-_ROLES = tables.words(tables.BOND_ROLES) | tables.bases(tables.words(tables.BASE_ROLES))
+_SIGMA = f"CASE WHEN c = 'H' THEN 0.0::DOUBLE ELSE coalesce({_case('c', tables.SOLVATION)}, 0.0::DOUBLE) + coalesce({_case('f', tables.SOLVATION_BY_ATOM)}, 0.0::DOUBLE) END"
+_ROLES = tables.BOND_ROLES | tables.bases(tables.BASE_ROLES)
 
 
 def _role(r: str, n: str, e: str) -> str:
     generic = f"CASE {e} WHEN 'N' THEN 'D' WHEN 'O' THEN 'A' ELSE '' END"
     key = f"({r} || ':' || {n})"
-    sugar = f"CASE WHEN {r} IN {_list(tables.NUCLEIC_ACIDS)} THEN {_case(n, tables.words(tables.SUGAR_ROLES))} END"
+    sugar = f"CASE WHEN {r} IN {_list(tables.NUCLEIC_ACIDS)} THEN {_case(n, tables.SUGAR_ROLES)} END"
     return f"coalesce({_case(key, _ROLES)}, CASE WHEN {r} IN {_POLY} THEN coalesce({sugar}, CASE WHEN {n} = 'N' THEN CASE WHEN {r} = 'PRO' THEN '' ELSE 'D' END WHEN {n} IN ('O','OXT') THEN 'A' END, {generic}) ELSE {generic} END)"
 
 
-_CAPS = {k: int(v) for k, v in (tables.values(tables.DONOR_HYDROGENS) | tables.bases(tables.values(tables.BASE_HYDROGENS))).items()}
+_CAPS = {k: int(v) for k, v in (tables.DONOR_HYDROGENS | tables.bases(tables.BASE_HYDROGENS)).items()}
 _A, _B = ("ar", "an", "ae"), ("br", "bn", "be")
 _HB = f"(d < 3.89 AND ((contains({_role(*_A)}, 'D') AND contains({_role(*_B)}, 'A')) OR (contains({_role(*_B)}, 'D') AND contains({_role(*_A)}, 'A'))))"
 _SALT = "(d <= 4.0 AND coalesce(" + _case("(ar || ':' || an)", _CHARGE) + " * " + _case("(br || ':' || bn)", _CHARGE) + " < 0, false))"
@@ -146,14 +146,14 @@ def _key(x) -> str:
     return f"({x[0]} || ':' || {x[1]})"
 
 
-_RING = _list(f"{r}:{a}" for r, xs in tables.groups(tables.RING_ATOMS) for a in xs)
+_RING = _list(f"{r}:{a}" for r, xs in tables.RING_ATOMS for a in xs)
 _BASE = lambda r: f"CASE WHEN length({r}) = 2 AND substr({r}, 1, 1) IN ('D','R') THEN substr({r}, 2, 1) ELSE {r} END"
-_BEARS = lambda x: f"NOT ({x[1]} = 'C' OR {_key(x)} IN {_list(tables.pairs(tables.BARE_CARBONS))} OR ({_BASE(x[0])} || ':' || {x[1]}) IN {_list(tables.pairs(tables.BARE_BASE_CARBONS))})"
+_BEARS = lambda x: f"NOT ({x[1]} = 'C' OR {_key(x)} IN {_list(tables.BARE_CARBONS)} OR ({_BASE(x[0])} || ':' || {x[1]}) IN {_list(tables.BARE_BASE_CARBONS)})"
 _POLAR = lambda x: f"({x[2]} IN {_list(tables.POLAR_ELEMENTS)} OR {x[1]} IN {_list(tables.POLAR_NAMES)})"
-_ANION = lambda y: f"({_key(y)} IN {_list(tables.pairs(tables.MAP_SALT_ANIONS))} OR ({y[0]} IN {_list(tables.MAP_SALT_NUCLEOTIDES)} AND {y[1]} IN {_list(tables.MAP_SALT_PHOSPHATES)}))"
-_CATION = _list(k for k, v in tables.values(tables.CHARGED_ATOMS).items() if v > 0)
+_ANION = lambda y: f"({_key(y)} IN {_list(tables.MAP_SALT_ANIONS)} OR ({y[0]} IN {_list(tables.MAP_SALT_NUCLEOTIDES)} AND {y[1]} IN {_list(tables.MAP_SALT_PHOSPHATES)}))"
+_CATION = _list(k for k, v in tables.CHARGED_ATOMS.items() if v > 0)
 CLASS_SQL = f"""CASE WHEN {_SS} THEN 'disulfide'
- WHEN d <= 4.5 AND {_either(lambda x, y: f"({_key(x)} IN {_list(tables.pairs(tables.MAP_SALT_CATIONS))} AND {_ANION(y)})")} THEN 'salt_bridge'
+ WHEN d <= 4.5 AND {_either(lambda x, y: f"({_key(x)} IN {_list(tables.MAP_SALT_CATIONS)} AND {_ANION(y)})")} THEN 'salt_bridge'
  WHEN d < 3.6 AND {_either(lambda x, y: f"({x[2]} IN {_list(tables.HALOGENS)} AND {y[2]} IN ('O','N'))")} THEN 'halogen_bond'
  WHEN d < 3.0 AND {_either(lambda x, y: f"{x[2]} IN {_list(tables.CONTACT_METALS)}")} THEN 'metal_mediated'
  WHEN {_HB} THEN 'hydrogen_bond'
@@ -176,11 +176,11 @@ per_atom("P11_bond_role", {"role": (lambda: chem.bond_role("res_name", "atom_nam
 per_atom("P12_salt_charge", {"charge": (lambda: F.coalesce(chem.salt_charge("res_name", "atom_name"), F.lit(0)), f"coalesce({_case(_KEY, _CHARGE)}, 0)::INT")})
 per_atom("P13_capacities", {"donor": (lambda: chem.donor_capacity("res_name", "atom_name"), f"(coalesce({_case(_KEY, _CAPS)}, 1) + 1)::INT"), "acceptor": (lambda: chem.acceptor_capacity("element"), "CASE WHEN element IN ('O','S') THEN 2 ELSE 1 END::INT")})
 per_atom("P15_atom_tests", {"polar": (lambda: chem.is_polar("atom_name", "element"), _POLAR(("res_name", "atom_name", "element"))), "apolar": (lambda: chem.is_apolar("atom_name", "element"), f"element = 'C' AND atom_name IN {_list(chem.APOLAR_NAMES)}"), "metal": (lambda: chem.is_metal("element"), f"element IN {_list(tables.CONTACT_METALS)}"), "ring": (lambda: chem.is_ring_atom("res_name", "atom_name"), f"{_KEY} IN {_RING}")})
-per_atom("P18_letters", {"letter": (lambda: chem.one_letter("res_name"), f"coalesce({_case('res_name', tables.words(tables.ONE_LETTER))}, 'X')"), "moiety": (lambda: chem.moiety("atom_name"), f"CASE WHEN atom_name IN {_list(tables.BACKBONE_ATOMS)} THEN 'backbone' ELSE 'side chain' END")})
+per_atom("P18_letters", {"letter": (lambda: chem.one_letter("res_name"), f"coalesce({_case('res_name', tables.ONE_LETTER)}, 'X')"), "moiety": (lambda: chem.moiety("atom_name"), f"CASE WHEN atom_name IN {_list(tables.BACKBONE_ATOMS)} THEN 'backbone' ELSE 'side chain' END")})
 per_atom("P19_author_chain", {"chain": (lambda: scalars.author_chain(F.concat(F.lit("["), "res_name", F.lit("]"), "auth_asym_id", F.lit(":"), F.col("res_seq").cast("string"))), "auth_asym_id")})
 per_atom("P21_mate_label", {"label": (lambda: scalars.mate_label(F.lit(3), F.col("atom_id") % 3 - 1, F.lit(0), F.lit(1)), "'3_' || (atom_id % 3 + 4)::VARCHAR || '56'")})
 per_atom("P22_residue_label", {"label": (lambda: scalars.residue_label("auth_asym_id", "res_name", "res_seq"), "auth_asym_id || '/' || res_name || res_seq::VARCHAR")})
-per_atom("P24_mass", {"mass": (lambda: chem.mass("element"), f"coalesce({_case('element', tables.values(tables.MASSES))}, {tables.OTHER_MASS}::DOUBLE)")})
+per_atom("P24_mass", {"mass": (lambda: chem.mass("element"), f"coalesce({_case('element', tables.MASSES)}, {tables.OTHER_MASS}::DOUBLE)")})
 per_atom("P26_confidence_weight", {"weight": (lambda: F.round(scalars.confidence_weight(plddt="bfactor"), 6), "round(CASE WHEN bfactor < 50 THEN greatest(0.1::DOUBLE, bfactor / 50.0::DOUBLE) ELSE 1.0::DOUBLE END, 6)")})
 per_atom("P27_entropy", {"tds": (lambda: F.round(scalars.entropy(F.array(F.col("bfactor") * 100 + 1000, F.lit(5000.0))), 5), f"round({tables.GAS_CONSTANT * tables.TEMPERATURE!r}::DOUBLE * (1.5::DOUBLE * (ln(bfactor * 100 + 1000) + ln(5000.0::DOUBLE)) - 1.5::DOUBLE * ln(bfactor * 100 + 6000) + {tables.ENTROPY_LOG_TERM}::DOUBLE), 5)")})
 per_atom("P29_css", {"css": (lambda: F.round(scalars.css(-F.col("bfactor") / 10, F.col("bfactor") * 20), 6), "round(1 / (1 + exp(-(-6.9088::DOUBLE + -0.1699::DOUBLE * (-bfactor / 10) + 0.8485::DOUBLE * ln(1 + greatest(bfactor * 20, 0))))), 6)")})
@@ -322,7 +322,7 @@ def _a7(s, d):
     return p.select(F.col("molecule_1").alias("m1"), F.col("molecule_2").alias("m2"), F.explode("interaction_population").alias("interaction", "n"))
 
 
-@query("A11_component_mass", f"WITH {ATOMS} SELECT molecule_id, round(sum(coalesce({_case('element', tables.values(tables.MASSES))}, 12.011::DOUBLE)), 4) AS mass, count(*) AS n FROM heavy WHERE molecule_id IS NOT NULL GROUP BY ALL")
+@query("A11_component_mass", f"WITH {ATOMS} SELECT molecule_id, round(sum(coalesce({_case('element', tables.MASSES)}, 12.011::DOUBLE)), 4) AS mass, count(*) AS n FROM heavy WHERE molecule_id IS NOT NULL GROUP BY ALL")
 def _a11(s, d):
     return heavy(s, d).where("molecule_id IS NOT NULL").groupBy("molecule_id").agg(F.round(F.sum(chem.mass("element")), 4).alias("mass"), F.count(F.lit(1)).alias("n"))
 
@@ -448,7 +448,7 @@ def _e6(s, d):
     return contact_pairs(s, d).select(F.col("a_atom_id").alias("a_id"), F.col("b_atom_id").alias("b_id"), F.explode(t).alias("kind"))
 
 
-@query("E9_sequences", f"WITH {ATOMS}, r AS (SELECT auth_asym_id, res_seq, arg_min(res_name, atom_id) AS res_name FROM heavy GROUP BY ALL) SELECT auth_asym_id AS chain, string_agg(coalesce({_case('res_name', tables.words(tables.ONE_LETTER))}, 'X'), '' ORDER BY res_seq) AS sequence FROM r GROUP BY ALL")
+@query("E9_sequences", f"WITH {ATOMS}, r AS (SELECT auth_asym_id, res_seq, arg_min(res_name, atom_id) AS res_name FROM heavy GROUP BY ALL) SELECT auth_asym_id AS chain, string_agg(coalesce({_case('res_name', tables.ONE_LETTER)}, 'X'), '' ORDER BY res_seq) AS sequence FROM r GROUP BY ALL")
 def _e9(s, d):
     from .operators import report
 
@@ -592,7 +592,7 @@ def _e4(s, d):
 def _a16(s, d):
     """One perfect hexagon for each id."""
     v = read(s, d, "embeddings").select(F.col("vec_id").alias("k"))
-    names = tables.groups(tables.RING_GROUPS)[0][1]
+    names = tables.RING_GROUPS[0][1]
     ring = v.select(F.lit("s").alias("structure_id"), F.lit(0).alias("molecule_id"), F.lit("A").alias("auth_asym_id"), F.col("k").cast("int").alias("res_seq"), F.lit("").alias("icode"), F.lit("PHE").alias("res_name"), "k", F.posexplode(F.array(*map(F.lit, names))).alias("j", "atom_name"))
     a = F.col("j") * (3.141592653589793 / 3)
     return C.rings(ring.select("*", (F.col("k") * 6 + F.col("j")).cast("int").alias("atom_id"), (F.cos(a) * 1.4 + F.col("k") * 10).alias("x"), (F.sin(a) * 1.4).alias("y"), F.lit(0.0).alias("z"))).select("res_seq", F.round("cx", 4).alias("cx"), F.round(F.abs("nz"), 4).alias("nz"))
