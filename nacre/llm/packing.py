@@ -119,40 +119,22 @@ def assign(lengths: list[int], n_sequences: int, capacity: int) -> list[list[tup
 
     An item goes whole to the cheapest sequence that holds it; if none does, it fills the cheapest one with room and the
     rest goes on. Items beyond all capacity stay unassigned. Ties keep the items' order, so the result is a function of the input."""
-    room, free, spent = [capacity] * n_sequences, np.full(n_sequences, capacity), np.zeros(n_sequences)
+    room, spent = np.full(n_sequences, capacity), np.zeros(n_sequences)
     seqs: list[list[tuple[int, int, int]]] = [[] for _ in range(n_sequences)]
-    heap = [(0.0, s) for s in range(n_sequences)]
     todo = [(-n, i, 0) for i, n in enumerate(lengths) if n]
     heapq.heapify(todo)
-    while todo and heap:
+    rest = n_sequences * capacity
+    while todo and rest:
         left, i, at = heapq.heappop(todo)
-        left, aside, found = -left, [], None
-        while heap and len(aside) < 64:  # the cheapest that holds it whole, first among the 64 cheapest, then among all
-            c, s = heapq.heappop(heap)
-            if c != spent[s]:  # an entry from before the sequence was found among all
-                continue
-            if room[s] >= left:
-                found = (c, s)
-                break
-            aside.append((c, s))
-        if found is None:
-            fit = np.flatnonzero(free >= left)
-            if len(fit):
-                s = int(fit[spent[fit].argmin()])
-                found = (float(spent[s]), s)
-            elif aside:
-                found, aside = aside[0], aside[1:]
-            else:
-                break
-        for x in aside:
-            heapq.heappush(heap, x)
-        c, s = found
-        n = min(left, room[s])
+        left = -left
+        s = int(np.where(room >= left, spent, np.inf).argmin())
+        if room[s] < left:  # none holds it whole
+            s = int(np.where(room > 0, spent, np.inf).argmin())
+        n = min(left, int(room[s]))
         seqs[s].append((i, at, n))
         room[s] -= n
-        free[s], spent[s] = room[s], c + cost(n)
-        if room[s]:
-            heapq.heappush(heap, (c + cost(n), s))
+        spent[s] += cost(n)
+        rest -= n
         if n < left:
             heapq.heappush(todo, (n - left, i, at + n))
     return seqs
