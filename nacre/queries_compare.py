@@ -10,7 +10,7 @@ from .functions import tables
 from .operators import comparison as P
 from .operators import contacts as C
 from .operators import crystal
-from .queries import _HB, _SALT, ATOMS, PAIRS, SQL, atoms, contact_pairs, heavy, query, read
+from .queries import _CLASS, _FINE, _HB, _SALT, _SIGMA, ATOMS, PAIRS, SQL, atoms, contact_pairs, heavy, query, read
 from .sinks import export
 from .sources import archive, pdb
 
@@ -305,6 +305,83 @@ def _o2(s, d):
     return StructureEngine(s).largest(SimpleNamespace(interfaces=faces), 25).select(F.col("structure_id").alias("l_orderkey"), F.col("interface_id").alias("l_linenumber"), F.col("interface_area").alias("area"))
 
 
+# --- the analysis itself, over surfaces that the ids give ------------------------------------------------------------------------
+
+
+def _analysis(s, d):
+    """The whole analysis with a surface that is not integrated but follows from the ids, so that SQL can follow it too."""
+    from .plans.analysis import Analysis
+
+    a = atoms(s, d).withColumns({"molecule_class": F.lit("Protein"), "molecule_label": F.col("auth_asym_id"), "chain_type": F.lit("polymer"), "ccd_id": F.lit(None).cast("string"), "label_comp_id": F.col("res_name")})
+    out = Analysis(a.drop("label"))
+    alone = (F.col("atom_id") % 40) * 1.5
+    pairs = F.when(F.col("molecule_id").isNotNull(), F.array(F.struct(((F.col("molecule_id") + 1) % 10).cast("int").alias("molecule"), (alone * (F.col("atom_id") % 4) / 8).alias("buried")))).otherwise(F.array())
+    kept = out.assigned.where("element NOT IN ('H', 'D')")
+    out.__dict__["surface"] = kept.select("structure_id", "atom_id", "molecule_id", F.lit(1.5).alias("radius"), (alone * (F.col("atom_id") % 3) / 3).alias("asa_combined"), alone.alias("asa_alone"), pairs.alias("pairs"))
+    return out
+
+
+_SURFACE = f"""{ATOMS}, v AS (SELECT *, (atom_id % 40) * 1.5::DOUBLE AS alone, (atom_id % 40) * 1.5::DOUBLE * (atom_id % 3) / 3 AS combined FROM heavy),
+ty AS (SELECT *, {_CLASS} AS c, {_FINE} AS f FROM v), sg AS (SELECT *, {_SIGMA} AS sigma FROM ty),
+b AS (SELECT *, least(molecule_id, (molecule_id + 1) % 10) AS m1, greatest(molecule_id, (molecule_id + 1) % 10) AS m2, alone * (atom_id % 4) / 8 AS buried FROM sg WHERE molecule_id IS NOT NULL AND alone * (atom_id % 4) / 8 > 1e-6)"""
+
+
+@query("A1_buried_surface", f"WITH {_SURFACE} SELECT atom_id, round(CASE WHEN molecule_id IS NULL THEN 0 ELSE greatest(alone - combined, 0) END, 6) AS bsa FROM v")
+def _a1(s, d):
+    from .operators import surface
+
+    return surface.buried_surface(_analysis(s, d).surface).select("atom_id", F.round("bsa", 6).alias("bsa"))
+
+
+@query("A1_totals", f"WITH {_SURFACE} SELECT round(sum(combined), 4) AS assembly_asa, round(greatest(coalesce(sum(alone) FILTER (molecule_id IS NOT NULL), 0) - sum(combined), 0), 4) AS assembly_bsa FROM v")
+def _a1t(s, d):
+    return _analysis(s, d).totals.select(F.round("assembly_asa", 4).alias("assembly_asa"), F.round("assembly_bsa", 4).alias("assembly_bsa"))
+
+
+@query("A2_pair_burial", f"WITH {_SURFACE} SELECT m1, m2, atom_id, molecule_id, round(buried, 6) AS buried FROM b")
+def _a2(s, d):
+    return _analysis(s, d).burial.select(F.col("molecule_1").alias("m1"), F.col("molecule_2").alias("m2"), "atom_id", "molecule_id", F.round("buried", 6).alias("buried"))
+
+
+_APOLAR = "(c LIKE 'C%' OR c LIKE 'S%' OR c LIKE 'NA\\_C%' ESCAPE '\\')"
+
+
+@query(
+    "A3_interface_energies",
+    f"WITH {_SURFACE}, e AS (SELECT m1, m2, sum(buried) / 2 AS area, sum(sigma * buried) AS solv, sum(CASE WHEN {_APOLAR} THEN sigma * buried ELSE 0 END) AS apolar FROM b GROUP BY ALL), "
+    "t AS (SELECT a.molecule_id AS m1, b.molecule_id AS m2, count(*) AS n FROM heavy a JOIN heavy b ON a.molecule_id < b.molecule_id AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) < 5.0 GROUP BY ALL), "
+    "u AS (SELECT m1, m2, coalesce(area, 0) AS area, coalesce(solv, 0) AS solv, coalesce(apolar, 0) AS apolar, coalesce(n, 0) AS n FROM e FULL JOIN t USING (m1, m2)) "
+    "SELECT m1, m2, round_even(area, 2) AS area, round_even(solv, 2) + 0 AS solvation, round_even(apolar, 2) + 0 AS apolar, (row_number() OVER (ORDER BY m1, m2))::INT AS interface_id FROM u WHERE area >= 0.01 OR n > 0",
+)
+def _a3(s, d):
+    made = [(F.col(c) + 0.0).alias(n) for c, n in (("interface_area", "area"), ("solvation_energy", "solvation"), ("solvation_energy_apolar", "apolar"))]
+    return _analysis(s, d).interfaces.select(F.col("molecule_1").alias("m1"), F.col("molecule_2").alias("m2"), *made, "interface_id")
+
+
+@query("A9_surface_moments", f"WITH {_SURFACE} SELECT molecule_id, round(sum(alone), 4) AS w, round(sum(alone * sigma), 4) AS ws, round(sum(alone * sigma * sigma), 6) AS wss FROM sg WHERE molecule_id IS NOT NULL AND alone > 0 GROUP BY ALL")
+def _a9(s, d):
+    return _analysis(s, d).surface_moments.select("molecule_id", F.round("w", 4).alias("w"), F.round("ws", 4).alias("ws"), F.round("wss", 6).alias("wss"))
+
+
+@query("A10_calibration", f"WITH {_SURFACE} SELECT m1, m2, c AS class, round(sum(buried), 4) AS area FROM b GROUP BY ALL")
+def _a10(s, d):
+    c = _analysis(s, d).calibration.select("molecule_1", "molecule_2", F.explode("bsa_by_class").alias("class", "area"))
+    return c.select(F.col("molecule_1").alias("m1"), F.col("molecule_2").alias("m2"), "class", F.round("area", 4).alias("area"))
+
+
+@query(
+    "A4_residue_surface",
+    f"WITH {_SURFACE}, k AS (SELECT DISTINCT m1, m2, molecule_id, auth_asym_id, res_seq FROM b) SELECT k.m1, k.m2, k.molecule_id, k.auth_asym_id, k.res_seq, round(sum(round_even(sg.alone, 2)), 2) AS asa, round(sum(round_even(coalesce(b.buried, 0), 2)), 2) AS bsa "
+    "FROM k JOIN sg USING (molecule_id, auth_asym_id, res_seq) LEFT JOIN b ON b.m1 = k.m1 AND b.m2 = k.m2 AND b.atom_id = sg.atom_id GROUP BY ALL",
+)
+def _a4(s, d):
+    from .operators import surface
+
+    a = _analysis(s, d)
+    r = surface.residue_surface(a.assigned.where("element NOT IN ('H', 'D')"), a.surface, a.burial)
+    return r.select(F.col("molecule_1").alias("m1"), F.col("molecule_2").alias("m2"), "molecule_id", "auth_asym_id", "res_seq", "asa", "bsa")
+
+
 # --- what had no SQL before --------------------------------------------------------------------------------------------------
 
 #: The error function's series; at the arguments here forty terms are exact.
