@@ -400,4 +400,4 @@ def _order(symbol: str) -> int:
 
 
 _SYMBOLS = sorted({row.split(":")[0] for row in crystal.SPACE_GROUPS.strip().splitlines()})
-SQL["C6_space_groups"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {_order(n)})" for n in _SYMBOLS) + ") t(space_group, operators)"
+SQL["C6_space_groups"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {_order(n)}::BIGINT)" for n in _SYMBOLS) + ") t(space_group, operators)"
