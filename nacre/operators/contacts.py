@@ -208,8 +208,16 @@ def population(classes: DataFrame) -> DataFrame:
     return n.groupBy("structure_id", "molecule_1", "molecule_2").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("interaction", "n")))).alias("interaction_population"))
 
 
-def contact_matrix(map_: DataFrame, counts: bool = False) -> DataFrame:
-    """Residues of one side against those of the other: 1 where they touch, or the number of contacts."""
+def contact_matrix(map_: DataFrame, counts: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """Residues of one side against those of the other: 1 where they touch, or the number of contacts.
+
+    A row for each structure, pair of molecules and residue; `columns` names the other side's residues (chain:number:code) that are wanted
+    as columns, with 0 where there is no contact. Without them there is one map from residues to numbers."""
     name = lambda k: F.concat_ws(":", f"residue_{k}_chain", F.col(f"residue_{k}_seq").cast("string"), f"residue_{k}_icode")
     d = map_.withColumn("row", name(1)).withColumn("column", name(2))
-    return d.groupBy("structure_id", "row").pivot("column").agg(F.sum("num_contacts") if counts else F.max(F.lit(1))).fillna(0)
+    keys = ["structure_id", *[c for c in ("molecule_1", "molecule_2") if c in map_.columns], "row"]
+    value = F.sum("num_contacts").cast("long") if counts else F.max(F.lit(1)).cast("long")
+    if columns is not None:
+        return d.groupBy(*keys).pivot("column", columns).agg(value).fillna(0)
+    cells = d.groupBy(*keys, "column").agg(value.alias("n"))
+    return cells.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", "n")))).alias("contacts"))

@@ -113,10 +113,16 @@ def group_digest(interfaces: DataFrame, residues: DataFrame, group1: list[str],
     return totals, merged
 
 
-def residue_matrix(merged: DataFrame) -> DataFrame:
-    """Residues against complexes: buried area, 0 where a complex does not touch one."""
+def residue_matrix(merged: DataFrame, complexes: list[str] | None = None) -> DataFrame:
+    """Residues (r) against complexes: a column of buried area for each of `complexes`, 0 where one does not touch a residue.
+
+    Without names there is one map of areas by complex instead, so that no names come to the driver, however many there are."""
     name = F.concat_ws(":", "auth_asym_id", F.col("res_seq").cast("string"), "icode")
-    return merged.withColumn("r", name).groupBy("r").pivot("structure_id").agg(F.sum("bsa")).fillna(0)
+    d = merged.withColumn("r", name)
+    if complexes is not None:
+        return d.groupBy("r").pivot("structure_id", complexes).agg(F.sum("bsa")).fillna(0)
+    sums = d.groupBy("r", "structure_id").agg(F.sum("bsa").alias("bsa"))
+    return sums.groupBy("r").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("structure_id", "bsa")))).alias("bsa"))
 
 
 def interpretation(totals: DataFrame) -> DataFrame:

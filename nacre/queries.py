@@ -329,7 +329,10 @@ def _a11(s, d):
 
 @query("A12_contact_matrix", f"WITH {PAIRS}, g AS (SELECT ac, bc, count(*) AS n FROM pairs GROUP BY ALL) SELECT ac AS chain, " + ", ".join(f"coalesce(max(n) FILTER (bc = '{chr(65 + k)}'), 0)::BIGINT AS {chr(65 + k)}" for k in range(10)) + " FROM g GROUP BY ac")
 def _a12(s, d):
-    return contact_pairs(s, d).groupBy(F.col("a_auth_asym_id").alias("chain")).pivot("b_auth_asym_id", [chr(65 + k) for k in range(10)]).count().fillna(0)
+    p = contact_pairs(s, d).groupBy("structure_id", F.col("a_auth_asym_id").alias("residue_1_chain"), F.col("b_auth_asym_id").alias("residue_2_chain")).agg(F.count(F.lit(1)).alias("num_contacts"))
+    p = p.withColumns({f"residue_{k}_{c}": F.lit(v) for k in (1, 2) for c, v in (("seq", 0), ("icode", ""))})
+    m = C.contact_matrix(p, counts=True, columns=[f"{chr(65 + k)}:0:" for k in range(10)])
+    return m.select(F.substring_index("row", ":", 1).alias("chain"), *[F.col(f"{chr(65 + k)}:0:").alias(chr(65 + k)) for k in range(10)])
 
 
 @query("A13_confidence_means", f"WITH {ATOMS}, r AS (SELECT auth_asym_id, res_seq, avg(bfactor) AS b FROM heavy GROUP BY ALL) SELECT auth_asym_id, count(*) AS n, round(avg(b), 6) AS plddt FROM r GROUP BY ALL")
@@ -583,8 +586,11 @@ def _a26(s, d):
 
 @query("E4_residue_matrix", f"WITH {ATOMS}, g AS (SELECT res_name, molecule_id % 3 AS m, sum(round(bfactor, 4)) AS b FROM heavy WHERE molecule_id IS NOT NULL GROUP BY ALL) SELECT res_name, " + ", ".join(f"round(coalesce(max(b) FILTER (m = {k}), 0), 4) AS c{k}" for k in range(3)) + " FROM g GROUP BY res_name")
 def _e4(s, d):
-    h = heavy(s, d).where("molecule_id IS NOT NULL").withColumn("m", F.concat(F.lit("c"), (F.col("molecule_id") % 3).cast("string")))
-    p = h.groupBy("res_name").pivot("m", ["c0", "c1", "c2"]).agg(F.sum(F.round("bfactor", 4))).fillna(0)
+    from .operators import report
+
+    h = heavy(s, d).where("molecule_id IS NOT NULL")
+    merged = h.select(F.concat(F.lit("c"), (F.col("molecule_id") % 3).cast("string")).alias("structure_id"), F.col("res_name").alias("auth_asym_id"), F.lit(0).alias("res_seq"), F.lit("").alias("icode"), F.round("bfactor", 4).alias("bsa"))
+    p = report.residue_matrix(merged, ["c0", "c1", "c2"]).withColumn("res_name", F.substring_index("r", ":", 1))
     return p.select("res_name", *[F.round(f"c{k}", 4).alias(f"c{k}") for k in range(3)])
 
 
