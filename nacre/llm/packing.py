@@ -23,8 +23,8 @@ CARRY = f"{PIECE}, ids binary"
 QUADRATIC_AT = 2048.0
 #: Tokens that one packing block holds; it bounds a task's memory whatever the size of its input split.
 BLOCK_TOKENS = 4_000_000
-#: Words, and pieces of words, that a worker remembers the ids of.
-CACHE_WORDS = 400_000
+#: Words, and pieces of words, that a worker remembers the ids of. Pieces are looked up for new words alone.
+CACHE_WORDS, CACHE_PIECES = 300_000, 100_000
 
 
 def default_tokenizer() -> str:
@@ -49,22 +49,22 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Ids(dict):
-    """Ids by text, made when first asked for. At most CACHE_WORDS are kept, none of them long; they are dropped once three
+    """Ids by text, made when first asked for. At most `most` are kept, none of them long; they are dropped once three
     times as many came too late to be kept, so that a new kind of text does not find it full of the last."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.late = make, 0
+        self.make, self.most, self.late = make, most, 0
 
     def __missing__(self, text: str) -> bytes:
         ids = self.make(text)
         if len(text) > 64:
             return ids
-        if len(self) < CACHE_WORDS:
+        if len(self) < self.most:
             self[text] = ids
             return ids
         self.late += 1
-        if self.late > 3 * CACHE_WORDS:
+        if self.late > 3 * self.most:
             self.clear()
             self.late = 0
         return ids
@@ -88,8 +88,8 @@ class WordTokenizer:
             spelt = p if p.isascii() else p.encode().decode("latin-1")
             return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(spelt.translate(letters))])
 
-        self.pieces = _Ids(piece)
-        self.words = _Ids(lambda w: b"".join(map(self.pieces.__getitem__, split(unicodedata.normalize("NFC", w).lower()))))
+        self.pieces = _Ids(piece, CACHE_PIECES)
+        self.words = _Ids(lambda w: b"".join(map(self.pieces.__getitem__, split(unicodedata.normalize("NFC", w).lower()))), CACHE_WORDS)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

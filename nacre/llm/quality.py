@@ -115,7 +115,7 @@ class Model:
         z = y.astype(np.float32) @ self.basis
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
-    def score(self, texts: list[str | None], block: int = 256) -> np.ndarray:
+    def score(self, texts: list[str | None], block: int = 128) -> np.ndarray:
         """Similarity-weighted shares of label 1 among the nearest labelled vectors, by exact cosines block by block.
 
         Each neighbour votes with its cosine to the power of SHARPNESS. Texts without any byte (null, empty) get 0."""
@@ -124,7 +124,7 @@ class Model:
             return out
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts), block):
-            x = np.stack([features(t) for t in texts[at : at + block]])
+            x = np.stack([features(t).astype(np.float32) for t in texts[at : at + block]])
             cos = self.project(_weigh(x, self.idf)) @ self.vectors.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
             sim = np.take_along_axis(cos, near, 1).astype(np.float64)
