@@ -17,22 +17,34 @@ def n_words(text="text"):
     return F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """`sources` with their rank (from 1) in the order of source, null last; each range of sources is ordered in a task of its own."""
+    s = durable(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
+    # One row per range, of which there are no more than shuffle partitions.
+    before = F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    starts = s.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(W.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    return s.join(starts, "range").withColumn("rank", F.col("before") + within).drop("range", "before")
+
+
 def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, weight) with target added: the total shared by weight, none above max_epochs times its size.
 
-    Clamping a source and resharing its excess by weight until none is above ends where every open source has the same
-    share per weight. In the order of size / weight the clamped ones come first, so sums along that order give each
-    source's own test: it is open if the rest, shared by the weights from it on, stays under its cap. One row per source."""
-    order = W.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    s = sources.withColumn("total", F.sum("source_size").over(W.partitionBy()))
-    s = s.withColumn("cap_before", F.coalesce(F.sum("source_size").over(before), F.lit(0)) * max_epochs).withColumn("weight_from", F.sum("weight").over(W.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    s = s.withColumn("clamped", (F.col("total") - F.col("cap_before")) * F.col("weight") > F.col("source_size") * max_epochs * F.col("weight_from"))
-    # The first open source's level holds for all open ones.
-    first = W.partitionBy("clamped").orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    s = s.withColumn("left", F.first("cap_before").over(first)).withColumn("open", F.first("weight_from").over(first))
-    shared = ((F.col("total") - F.col("left")) * F.col("weight")).cast("double") / F.col("open").cast("double")
-    return s.select("source", "source_size", "weight", F.when(F.col("clamped"), (F.col("source_size") * max_epochs).cast("double")).otherwise(shared).alias("target"))
+    In each round the sources above their cap under the current share are clamped, and what is left is shared by weight among the
+    others, until a round clamps no more: every open source then has the same share per weight. A round is one aggregate, of which
+    three sums come to the driver, so there may be as many sources as there are hosts. One row per source."""
+    whole = dict(sources.dtypes)["weight"] in ("tinyint", "smallint", "int", "bigint")
+    wide = (lambda c: c.cast("decimal(38,0)")) if whole else (lambda c: c.cast("double"))
+    total, weights = (x or 0 for x in sources.agg(F.sum("source_size"), F.sum("weight")).first())
+    left, open_, n = total, weights, 0
+    while True:
+        over = wide(F.lit(left)) * wide(F.col("weight")) > wide(F.col("source_size")) * F.lit(max_epochs) * wide(F.lit(open_))
+        size, weight, now = sources.where(over).agg(F.sum("source_size"), F.sum("weight"), F.count(F.lit(1))).first()
+        if now <= n:
+            break
+        left, open_, n = total - size * max_epochs, weights - weight, now
+    shared = (F.lit(left) * F.col("weight")).cast("double") / F.lit(float(open_ or 1))
+    return sources.select("source", "source_size", "weight", F.when(over, (F.col("source_size") * max_epochs).cast("double")).otherwise(shared).alias("target"))
 
 
 def _digest(seed: str, doc_id: str):
@@ -54,12 +66,11 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, max_epochs: int
     by_bucket = durable(by_bucket)
     sources = by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     if weights is None:
-        rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-        sources = sources.withColumn("weight", ((rank - 1) % 3 + 1).cast("long"))
+        sources = numbered(sources).select("source", "source_size", ((F.col("rank") - 1) % 3 + 1).cast("long").alias("weight"))
     else:
         w = weights.select(F.col("source").alias("of"), "weight")
         sources = sources.join(w, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    targets = water_fill(sources, max_epochs)
+    targets = water_fill(durable(sources), max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("extra", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     t = targets.withColumnRenamed("source", "of")

@@ -268,6 +268,30 @@ def test_mixing(spark, odd, empty):
     assert mixing.materialise(odd).columns == odd.columns
 
 
+def test_water_fill_of_many_sources(spark):
+    """Ranks and targets of hundreds of sources against clamping round by round in plain fractions."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 400):
+        letters = [c for c in rng.integers(65, 0x10FFF, 2 * n) if not 0xD800 <= c <= 0xDFFF]  # no surrogates
+        names = [*(f"{chr(c)}{i}" for i, c in enumerate(letters[: n - 1])), None]
+        size = {s: int(10 ** rng.uniform(0, 6)) * int(rng.integers(0, 5) > 0) for s in names}
+        d = spark.createDataFrame(list(size.items()), "source string, source_size long").repartition(3)
+        rank = {r.source: r["rank"] for r in mixing.numbered(d).collect()}
+        assert rank == {s: i + 1 for i, s in enumerate(sorted(names, key=lambda s: (s is None, s)))}
+        weight = {s: (k - 1) % 3 + 1 for s, k in rank.items()}
+        got = {r.source: r.target for r in mixing.water_fill(spark.createDataFrame([(s, size[s], weight[s]) for s in names], "source string, source_size long, weight long")).collect()}
+        full, total = set(), sum(size.values())
+        while True:
+            left, open_ = total - 3 * sum(size[s] for s in full), [s for s in names if s not in full]
+            share = {s: Fraction(left * weight[s], sum(weight[x] for x in open_)) for s in open_}
+            if not (more := {s for s in open_ if share[s] > 3 * size[s]}):
+                break
+            full |= more
+        assert got == {s: float(3 * size[s]) if s in full else float(share[s]) for s in names} and (n < 400 or full)
+
+
 # 9
 def test_language(spark, odd, empty):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
