@@ -45,33 +45,61 @@ def _words(text: np.ndarray) -> np.ndarray:
     return w[: len(text)]
 
 
-def suffix_array(text: np.ndarray, depth: int = SPAN) -> np.ndarray:
-    """Places of a text in the order of their suffixes' first `depth` bytes or more (Larsson-Sadakane refinement).
+def _sorted_suffixes(text: np.ndarray, depth: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (those of `at`, or all) in the order of their suffixes' first `depth` bytes, and where groups that agree in them begin.
 
-    Suffixes are sorted by eight bytes; then, with h doubling, only groups not yet told apart are sorted by the ranks of the
-    suffixes h bytes on. Orders are by whole groups at once, in numpy."""
+    Larsson-Sadakane refinement: suffixes are sorted by eight bytes; then, with h doubling up to depth, only groups not yet told apart
+    are sorted by the ranks of the suffixes h bytes on, in the last round depth - h bytes on. Orders are by whole groups at once, in
+    numpy; of the places beside `at` a round ranks only those that a later one looks up."""
     n = len(text)
+    steps, h = [], 8
+    while h < depth:
+        steps.append(min(h, depth - h))
+        h += steps[-1]
+    wanted = [np.ones(n, bool)] * (len(steps) + 1)
+    if at is not None:
+        wanted[-1] = np.zeros(n, bool)
+        wanted[-1][at] = True
+        for k in range(len(steps) - 1, -1, -1):
+            wanted[k] = wanted[k + 1].copy()
+            wanted[k][steps[k] :] |= wanted[k + 1][: n - steps[k]]
     w = _words(text)
-    sa = np.argsort(w)
+    sa = np.flatnonzero(wanted[0])
     w = w[sa]
-    head = np.r_[True, w[1:] != w[:-1]] if n else np.empty(0, bool)
-    rank = np.zeros(n + 2 * depth + 64, dtype=np.uint64)
-    h = 8
-    while True:
+    order = np.argsort(w)
+    sa, w = sa[order], w[order]
+    head = np.r_[True, w[1:] != w[:-1]] if len(sa) else np.empty(0, bool)
+    rank = np.zeros(n + depth + 8, dtype=np.uint64)
+    for k, step in enumerate(steps):
         starts = np.flatnonzero(head)
-        size = np.diff(np.r_[starts, n])
+        size = np.diff(np.r_[starts, len(sa)])
         rank[sa] = np.repeat(starts + 1, size)
-        if h >= depth or len(starts) == n:
-            return sa
-        loose = np.flatnonzero(np.repeat(size > 1, size))
+        if len(starts) == len(sa):
+            break
+        loose = np.repeat(size > 1, size)
+        if at is not None:  # the others have the ranks that are looked up; heads are drawn anew without them
+            kept = wanted[k + 1][sa]
+            group = np.cumsum(head)[kept]
+            sa, loose = sa[kept], loose[kept]
+            head = np.r_[True, group[1:] != group[:-1]] if len(sa) else np.empty(0, bool)
+        loose = np.flatnonzero(loose)
         sub = sa[loose]
-        key = (rank[sub] << np.uint64(32)) | rank[sub + h]
+        key = (rank[sub] << np.uint64(32)) | rank[sub + step]
         order = np.argsort(key)
         key = key[order]
         sa[loose] = sub[order]
-        head[loose[1:]] = key[1:] != key[:-1]
+        head[loose[1:]] |= key[1:] != key[:-1]
         head[loose[:1]] = True
-        h *= 2
+    if at is not None:  # after an early end
+        kept = wanted[-1][sa]
+        group = np.cumsum(head)[kept]
+        sa, head = sa[kept], np.r_[True, group[1:] != group[:-1]][: len(group)]
+    return sa, head
+
+
+def suffix_array(text: np.ndarray, depth: int = SPAN) -> np.ndarray:
+    """Places of a text in the order of their suffixes' first `depth` bytes."""
+    return _sorted_suffixes(text, depth)[0]
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -299,21 +327,29 @@ def _entry(content: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarra
     return mix64(content + mix64(check ^ mix64(doc.view(np.uint64))))
 
 
-def _settle(text: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one block's chunks: the places of their strings, each one's class, and each class's least document, by suffix array."""
-    sa = suffix_array(text)
-    lcp = common_prefixes(text, sa)
-    of = np.cumsum(lcp < SPAN) - 1  # suffixes that share SPAN bytes lie side by side
-    owner = np.full(len(text), -1, dtype=np.int64)
-    places = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    owner[places] = np.repeat(np.arange(len(at)), n)
-    real = owner[sa] >= 0
-    sa, of = sa[real], of[real]
-    head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    least = np.minimum.reduceat(doc[owner[sa]], head)
+def _settle(text: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one block's chunks: each string's class, in the chunks' order, and of each class a place and its least document, by suffix array."""
+    places = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
+    owner = np.empty(len(text), dtype=np.int64)
+    owner[places] = np.repeat(doc, n)
+    sa, first = _sorted_suffixes(text, SPAN, places)
+    head = np.flatnonzero(first)
     kind = np.empty(len(text), dtype=np.int64)
-    kind[sa] = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(sa)]))
-    return places, kind[places], np.stack([sa[head], least])
+    kind[sa] = np.cumsum(first) - 1
+    return kind[places], np.stack([sa[head], np.minimum.reduceat(owner[sa], head)])
+
+
+def _stretches(gone: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, first string, strings) of the maximal stretches of strings that go; chunks have n strings each, one after another."""
+    edge = np.zeros(len(gone) + 1, dtype=bool)
+    edge[1:-1] = gone[1:] != gone[:-1]
+    begin = np.cumsum(n) - n
+    edge[begin] = edge[-1] = True
+    cut = np.flatnonzero(edge)
+    cut, size = cut[:-1], np.diff(cut)
+    cut, size = cut[gone[cut]], size[gone[cut]]
+    of = np.searchsorted(begin, cut, side="right") - 1
+    return of, cut - begin[of], size
 
 
 def _shard_spans(part):
@@ -338,7 +374,7 @@ def _shard_spans(part):
             continue
         doc, mark, start, n, text = (np.concatenate(x) for x in zip(*b, strict=True))
         at = np.r_[0, np.cumsum(n + SPAN - 1)[:-1]]
-        places, kind, (first, least) = _settle(text, at, n, doc)
+        kind, (first, least) = _settle(text, at, n, doc)
         # The strings themselves, in the suffix array's order; all have SPAN bytes, so numpy compares them in full.
         names = np.lib.stride_tricks.sliding_window_view(text, SPAN)[first].view(f"S{SPAN}")[:, 0] if len(blocks) > 1 else np.empty(0, f"S{SPAN}")
         settled.append((doc, mark, start, n, kind, least, names))
@@ -350,24 +386,27 @@ def _shard_spans(part):
                 to = np.minimum(np.searchsorted(other, names), len(other) - 1)
                 np.minimum(least, np.where(other[to] == names, theirs[to], _LAST), out=least)
         gone = least[kind] < np.repeat(doc, n)
-        place = (np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()))[gone]
-        texts.append((np.repeat(doc, n)[gone], np.repeat(mark, n)[gone], place))
+        of, place, size = _stretches(gone, n)
+        texts.append((doc[of], mark[of], start[of] + place, start[of] + place + size + SPAN - 1))
     if texts:
-        doc, mark, place = (np.concatenate(x) for x in zip(*texts, strict=True))
-        rows = _span_rows(doc, mark, place, place + SPAN)
+        rows = _span_rows(*(np.concatenate(x) for x in zip(*texts, strict=True)))
     return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["doc", "mark", "spans"])
 
 
 def _span_rows(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """A row for each document: its spans, merged and packed."""
+    """A row for each document: its spans, merged and packed. All documents' spans are merged at once."""
+    if not len(doc):
+        return []
     order = np.lexsort((start, mark, doc))
     doc, mark, start, end = doc[order], mark[order], start[order], end[order]
-    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]) if len(doc) else []
-    out = []
-    for a, b in zip(head, np.r_[head[1:], len(doc)] if len(doc) else [], strict=True):
-        s, e = _merged(start[a:b], end[a:b])
-        out.append((int(doc[a]), int(mark[a]), np.stack([s, e]).astype(np.int64).tobytes()))
-    return out
+    fresh = np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]
+    base = (np.cumsum(fresh) - 1) * (int(end.max()) + 1)  # keeps a document's ends above all those before it
+    reach = np.maximum.accumulate(end + base)
+    head = np.flatnonzero(np.r_[True, fresh[1:] | (start[1:] + base[1:] > reach[:-1])])
+    spans = np.stack([start[head], (reach - base)[np.r_[head[1:], len(doc)] - 1]]).astype(np.int64)
+    cut = np.append(np.flatnonzero(fresh[head]), len(head))
+    at = head[cut[:-1]]
+    return [(d, m, spans[:, a:b].tobytes()) for d, m, a, b in zip(doc[at].tolist(), mark[at].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 def _dealt(documents: DataFrame) -> tuple[int, int]:

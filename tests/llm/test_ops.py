@@ -412,6 +412,27 @@ def test_suffix_array(letters):
     assert substrings.common_prefixes(t, sa).tolist() == [0] + [common(x, y) for x, y in zip(sa[:-1], sa[1:], strict=True)]
 
 
+def test_sorted_strings():
+    """Only the strings asked for are sorted, by exactly the bytes that count; spans of all documents are merged at once."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        t = rng.integers(97, 99, rng.integers(51, 300)).astype(np.uint8)
+        t[len(t) // 2 :] = t[: len(t) - len(t) // 2]
+        at = np.sort(rng.choice(len(t) - 49, rng.integers(1, len(t) - 48), replace=False))
+        sa, first = substrings._sorted_suffixes(t, 50, at)
+        names = [t.tobytes()[i : i + 50] for i in sa]
+        assert names == sorted(names) and sorted(sa) == at.tolist()
+        assert first.tolist() == [True] + [x != y for x, y in zip(names, names[1:], strict=False)]
+    for _ in range(60):
+        doc, mark, start = (rng.integers(0, k, 9) for k in (3, 2, 30))
+        end = start + rng.integers(1, 9, 9)
+        got = {(d, m): np.frombuffer(x, np.int64).reshape(2, -1).T.tolist() for d, m, x in substrings._span_rows(doc, mark, start, end)}
+        assert set(got) == set(zip(doc.tolist(), mark.tolist(), strict=True))
+        for (d, m), spans in got.items():
+            covered = {i for a, b in zip(start[(doc == d) & (mark == m)], end[(doc == d) & (mark == m)], strict=True) for i in range(a, b)}
+            assert {i for a, b in spans for i in range(a, b)} == covered and sum(i - 1 not in covered for i in covered) == len(spans)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
