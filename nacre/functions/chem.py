@@ -209,73 +209,96 @@ def mass(element, strict: bool = False) -> Column:
 
 
 # --- pairs of atoms ------------------------------------------------------------------------------------------------
-# A side is the prefix of its columns: a_res_name, a_atom_name, a_element; distances are in column `distance`.
+# A side is the prefix of its columns: a_res_name, a_atom_name, a_element; distances are in column `distance`. What the rules ask
+# of one atom alone is its traits, bits of one number. Where the sides have columns a_traits, a_reach and b_traits, b_reach (`known`), made
+# before atoms were joined, a rule costs a pair some bits; the names' rules are then asked once an atom.
 
 
 def side(prefix: str) -> tuple[Column, Column, Column]:
     return F.col(f"{prefix}_res_name"), F.col(f"{prefix}_atom_name"), F.col(f"{prefix}_element")
 
 
-def either(test) -> Column:
-    """test(first side, second side) one way round or the other."""
-    a, b = side("a"), side("b")
-    return test(a, b) | test(b, a)
+#: Bits of an atom's traits, in order.
+TRAITS = "donor acceptor positive negative cys_sulphur map_cation map_anion halogen oxygen_nitrogen carbon bearing_carbon metal ring cation polar".split()
 
 
-def is_hydrogen_bond(distance="distance", below: float = 3.89) -> Column:
-    """Donor and acceptor within reach, by their roles alone."""
-    return (col(distance) < below) & either(lambda x, y: donates(bond_role(*x)) & accepts(bond_role(*y)))
+def traits(res, atom, element) -> Column:
+    """What the rules of pairs ask of one atom, as bits."""
+    el, k, role = norm(element), key(res, atom), bond_role(res, atom, element)
+    of = {
+        "donor": donates(role), "acceptor": accepts(role), "positive": salt_charge(res, atom) > 0, "negative": salt_charge(res, atom) < 0,
+        "cys_sulphur": (norm(res) == "CYS") & (el == "S"), "map_cation": k.isin(T.MAP_SALT_CATIONS),
+        "map_anion": k.isin(T.MAP_SALT_ANIONS) | (norm(res).isin(T.MAP_SALT_NUCLEOTIDES) & norm(atom).isin(T.MAP_SALT_PHOSPHATES)),
+        "halogen": el.isin(T.HALOGENS), "oxygen_nitrogen": el.isin("O", "N"), "carbon": el == "C", "bearing_carbon": (el == "C") & bears_hydrogen(res, atom),
+        "metal": is_metal(element), "ring": is_ring_atom(res, atom), "cation": k.isin([c for c, v in T.CHARGED_ATOMS.items() if v > 0]), "polar": is_polar(atom, element),
+    }
+    return reduce(lambda p, q: p.bitwiseOR(q), [F.when(of[t], F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(TRAITS)])
 
 
-def is_salt_bridge(distance="distance", most: float = 4.0) -> Column:
-    (ra, na, _), (rb, nb, _) = side("a"), side("b")
-    return (col(distance) <= most) & F.coalesce(salt_charge(ra, na) * salt_charge(rb, nb) < 0, F.lit(False))
+def with_traits(atoms: DataFrame) -> DataFrame:
+    """`atoms` with traits and reach (the radius in contacts)."""
+    return atoms.withColumn("traits", traits("res_name", "atom_name", "element")).withColumn("reach", contact_radius("element"))
 
 
-def is_disulfide(distance="distance", below: float = 3.0) -> Column:
-    cys = [(norm(r) == "CYS") & (norm(e) == "S") for r, _, e in (side("a"), side("b"))]
-    return (col(distance) < below) & cys[0] & cys[1]
+def _traits(known: bool) -> tuple[Column, Column]:
+    return (F.col("a_traits"), F.col("b_traits")) if known else (traits(*side("a")), traits(*side("b")))
 
 
-def is_map_salt_bridge(most: float = 4.5) -> Column:
-    """The contact map's own salt bridges: Lys NZ or Arg NH with a carboxylate or phosphate oxygen."""
+def _has(of: Column, *names: str) -> Column:
+    bits = sum(1 << TRAITS.index(n) for n in names)
+    return of.bitwiseAND(F.lit(bits)) == bits
+
+
+def _one_each(t: tuple[Column, Column], x: str, y: str) -> Column:
+    """Trait x on one side and y on the other."""
+    return (_has(t[0], x) & _has(t[1], y)) | (_has(t[1], x) & _has(t[0], y))
+
+
+def is_hydrogen_bond(distance="distance", below: float = 3.89, known: bool = False) -> Column:
+    """Donor and acceptor within reach, by their roles alone."""
+    return (col(distance) < below) & _one_each(_traits(known), "donor", "acceptor")
+
+
+def is_salt_bridge(distance="distance", most: float = 4.0, known: bool = False) -> Column:
+    return (col(distance) <= most) & _one_each(_traits(known), "positive", "negative")
 
-    def test(x, y):
-        anion = key(y[0], y[1]).isin(T.MAP_SALT_ANIONS) | (norm(y[0]).isin(T.MAP_SALT_NUCLEOTIDES) & norm(y[1]).isin(T.MAP_SALT_PHOSPHATES))
-        return key(x[0], x[1]).isin(T.MAP_SALT_CATIONS) & anion
 
-    return (F.col("distance") <= most) & either(test)
+def is_disulfide(distance="distance", below: float = 3.0, known: bool = False) -> Column:
+    a, b = _traits(known)
+    return (col(distance) < below) & _has(a, "cys_sulphur") & _has(b, "cys_sulphur")
+
+
+def is_map_salt_bridge(most: float = 4.5, known: bool = False) -> Column:
+    """The contact map's own salt bridges: Lys NZ or Arg NH with a carboxylate or phosphate oxygen."""
+    return (F.col("distance") <= most) & _one_each(_traits(known), "map_cation", "map_anion")
 
 
 #: All classes of contacts; water_mediated is kept for tables' sake and never given.
 CONTACT_CLASSES = "hydrogen_bond weak_hbond salt_bridge disulfide halogen_bond pi_pi cation_pi ch_pi polar_vdw apolar_vdw water_mediated metal_mediated clash proximal".split()
 
 
-def contact_class(hydrogen_bond: Column | None = None, pi_pi: Column | None = None, cation_pi: Column | None = None, ch_pi: Column | None = None) -> Column:
+def contact_class(hydrogen_bond: Column | None = None, pi_pi: Column | None = None, cation_pi: Column | None = None, ch_pi: Column | None = None, known: bool = False) -> Column:
     """The class of a contact: the first rule that holds, from disulfide down to proximal.
 
     Verdicts on geometry are boolean Columns; without them distance alone decides (the roles' hydrogen bonds, 5.5, 6 and 5 angstroms)."""
-    d = F.col("distance")
-    hydrogen_bond = is_hydrogen_bond() if hydrogen_bond is None else hydrogen_bond
+    d, t = F.col("distance"), _traits(known)
+    a, b = t
+    hydrogen_bond = is_hydrogen_bond(known=known) if hydrogen_bond is None else hydrogen_bond
     pi_pi = d < 5.5 if pi_pi is None else pi_pi
     cation_pi = d < 6.0 if cation_pi is None else cation_pi
     ch_pi = d < 5.0 if ch_pi is None else ch_pi
-    polar_pair = lambda x: norm(x[2]).isin("O", "N")
-    ring = lambda x: is_ring_atom(x[0], x[1])
-    cation = lambda x: key(x[0], x[1]).isin([k for k, v in T.CHARGED_ATOMS.items() if v > 0])
-    reach = contact_radius(F.col("a_element")) + contact_radius(F.col("b_element"))
-    polar = reduce(lambda p, q: p | q, [is_polar(a, e) for _, a, e in (side("a"), side("b"))])
+    reach = F.col("a_reach") + F.col("b_reach") if known else contact_radius(F.col("a_element")) + contact_radius(F.col("b_element"))
     return (
-        F.when(is_disulfide(), "disulfide")
-        .when(is_map_salt_bridge(), "salt_bridge")
-        .when((d < 3.6) & either(lambda x, y: norm(x[2]).isin(T.HALOGENS) & polar_pair(y)), "halogen_bond")
-        .when((d < 3.0) & either(lambda x, y: is_metal(x[2])), "metal_mediated")
+        F.when(is_disulfide(known=known), "disulfide")
+        .when(is_map_salt_bridge(known=known), "salt_bridge")
+        .when((d < 3.6) & _one_each(t, "halogen", "oxygen_nitrogen"), "halogen_bond")
+        .when((d < 3.0) & (_has(a, "metal") | _has(b, "metal")), "metal_mediated")
         .when(hydrogen_bond, "hydrogen_bond")
-        .when((d <= 3.6) & either(lambda x, y: (norm(x[2]) == "C") & polar_pair(y) & bears_hydrogen(x[0], x[1])), "weak_hbond")
-        .when(ring(side("a")) & ring(side("b")) & pi_pi, "pi_pi")
-        .when(either(lambda x, y: ring(x) & cation(y)) & cation_pi, "cation_pi")
-        .when(either(lambda x, y: ring(x) & ~ring(y) & (norm(y[2]) == "C")) & ch_pi, "ch_pi")
+        .when((d <= 3.6) & _one_each(t, "bearing_carbon", "oxygen_nitrogen"), "weak_hbond")
+        .when(_has(a, "ring") & _has(b, "ring") & pi_pi, "pi_pi")
+        .when(_one_each(t, "ring", "cation") & cation_pi, "cation_pi")
+        .when(((_has(a, "ring") & ~_has(b, "ring") & _has(b, "carbon")) | (_has(b, "ring") & ~_has(a, "ring") & _has(a, "carbon"))) & ch_pi, "ch_pi")
         .when(d < reach, "clash")
-        .when(d <= reach + 0.5, F.when(polar, "polar_vdw").otherwise("apolar_vdw"))
+        .when(d <= reach + 0.5, F.when(_has(a, "polar") | _has(b, "polar"), "polar_vdw").otherwise("apolar_vdw"))
         .otherwise("proximal")
     )

@@ -17,8 +17,9 @@ def range_join(left: DataFrame, right: DataFrame, cutoff: float, keys: list[str]
 
     Columns of left are renamed a_<name>, of right b_<name>, but for the keys. A plain distance predicate would be a nested-loop
     join; here each right row is put into the 27 cells around its own, each left row into its own cell, and cells are
-    joined by hashing. Cells are as wide as the cutoff, so every pair meets exactly once. Keys and cell together spread one
-    large structure over many tasks; AQE splits a crowded cell. `how` may be left_semi or left_anti, which give left rows as they are.
+    joined by sorting. Cells are as wide as the cutoff, so every pair meets exactly once. Keys and cell together spread one
+    large structure over many tasks, however few its files are: the hint keeps a small right side from being broadcast to tasks
+    of the left one's files, since work grows with the pairs, not with the rows. AQE splits a crowded cell. `how` may be left_semi or left_anti, which give left rows as they are.
     Rows with a null coordinate pair with nothing (and stay in left_anti)."""
     semi = how in ("left_semi", "left_anti")
     a = left.select(*[F.col(k) for k in keys], *[F.col(c).alias(c if semi else f"a_{c}") for c in left.columns if c not in keys])
@@ -34,7 +35,7 @@ def range_join(left: DataFrame, right: DataFrame, cutoff: float, keys: list[str]
     on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(f"_c{i}") == F.col(f"_d{i}") for i in range(3)] + [d < cutoff if strict else d <= cutoff]
     if condition is not None:
         on.append(condition)
-    j = a.join(b, reduce(lambda p, q: p & q, on), how)
+    j = a.join(b.hint("merge"), reduce(lambda p, q: p & q, on), how)
     if semi:
         return j.drop("_c0", "_c1", "_c2")
     return j.withColumn("distance", d).drop(*[f"_{k}" for k in keys], *[f"_{x}{i}" for x in "cd" for i in range(3)])

@@ -79,7 +79,7 @@ def _k14(s, d):
 def _k14n(s, d):
     from .functions import chem
 
-    p = contact_pairs(s, d).withColumn("bond_types", F.array_compact(F.array(F.when(chem.is_hydrogen_bond(), "hbond"), F.when(chem.is_salt_bridge(), "salt_bridge"))))
+    p = contact_pairs(s, d).withColumn("bond_types", F.array_compact(F.array(F.when(chem.is_hydrogen_bond(known=True), "hbond"), F.when(chem.is_salt_bridge(known=True), "salt_bridge"))))
     n = export.network(p, ["molecule_1", "molecule_2"])
     return n.select(F.col("molecule_1").alias("m1"), F.col("molecule_2").alias("m2"), "kind", F.col("from").alias("source"), F.col("to").alias("target"), "n", F.round("shortest", 6).alias("shortest"))
 

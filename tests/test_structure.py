@@ -10,6 +10,8 @@ from nacre.operators import crystal as X
 from nacre.operators import molecules, spatial, surface
 from nacre.sources import pdb
 
+from .conftest import DATA
+
 LINE = "{rec:<6}{serial:>5} {name:<4}{alt}{res:>3} {chain}{seq:>4}{icode}   {x:8.3f}{y:8.3f}{z:8.3f}{occ:6.2f}{b:6.2f}          {el:>2}"
 
 
@@ -230,3 +232,19 @@ def test_two_chains_end_to_end(spark):
     a.release()
     with pytest.raises(ValueError):
         Analysis(atoms, mode="nothing")
+
+
+def test_pair_rules_cost_bits(spark):
+    """Rules of pairs look at traits found once an atom, are dealt out by cells, and say the same as from names."""
+    from nacre import queries
+
+    pairs = queries.contact_pairs(spark, DATA)
+    known = pairs.select(chem.contact_class(known=True).alias("c"), chem.is_hydrogen_bond(known=True).alias("h"), chem.is_salt_bridge(known=True).alias("s"), chem.is_disulfide(known=True).alias("d"))
+    plan = known._jdf.queryExecution()
+    above = plan.optimizedPlan().toString().split("Join")[0]
+    assert "traits" in above and "_name" not in above and "element" not in above
+    assert "SortMergeJoin" in plan.sparkPlan().toString() and "Broadcast" not in plan.sparkPlan().toString()
+    both = pairs.select(*[f(known=k).alias(f"{n}{k:d}") for n, f in (("c", chem.contact_class), ("h", chem.is_hydrogen_bond), ("s", chem.is_salt_bridge), ("d", chem.is_disulfide)) for k in (True, False)])
+    assert both.where(" OR ".join(f"{n}0 <> {n}1 OR {n}0 IS NULL OR {n}1 IS NULL" for n in "chsd")).count() == 0
+    odd = spark.createDataFrame([(None, "SG", "S", "CYS", None, "S", 2.5), ("CYS", "SG", None, "CYS", "SG", "S", 2.5), (" cys", "sg ", "s", "CYS", "SG", "S", 2.5), (None, None, None, None, None, None, 4.0)], "a_res_name string, a_atom_name string, a_element string, b_res_name string, b_atom_name string, b_element string, distance double")
+    assert [r.c for r in odd.select(chem.is_disulfide().alias("c")).collect()] == [False, False, True, False]
