@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chem, tables
 from ..session import ship
-from .spatial import range_join
 
 POINTS, PROBE = 480, 1.4
 
@@ -24,30 +23,77 @@ def unit_sphere(n: int = POINTS) -> np.ndarray:
     return np.column_stack([np.sin(phi) * np.cos(theta), np.sin(phi) * np.sin(theta), np.cos(phi)])
 
 
-def sphere_table(spark: SparkSession, n: int = POINTS) -> DataFrame:
-    i = F.col("id")
-    phi, theta = F.acos(1 - 2 * i / F.lit(n - 0.5)), F.lit(math.pi * (1 + 5**0.5)) * i
-    return spark.range(n).select(F.col("id").alias("point"), (F.sin(phi) * F.cos(theta)).alias("ux"), (F.sin(phi) * F.sin(theta)).alias("uy"), F.cos(phi).alias("uz"))
-
-
 def widest_reach(probe: float = PROBE) -> float:
     """Farthest that two atoms of any listed kind can shade each other."""
     return 2 * max(tables.SURFACE_RADII.values()) + 2 * probe
 
 
-def accessible_points(atoms: DataFrame, probe: float = PROBE, points: int = POINTS, keys: tuple[str, ...] = ("structure_id",)) -> DataFrame:
-    """keys, atom_id and live: points of each atom's sphere inside no other atom's (columns x, y, z, radius). Relational form.
+#: Atoms that one group of a kernel evaluates at most, and the width of its block of space in reaches.
+GROUP_ATOMS, BLOCK_REACHES = 2000, 4
+
+
+def _neighbourhoods(wanted: DataFrame, shading: DataFrame, reach: float, keys: list[str], kernel, out: str) -> DataFrame:
+    """kernel(wanted atoms, all atoms within reach of them and others) for groups of atoms; both are Arrow tables.
+
+    Space is cut into blocks. Atoms that shade go to each block that they reach into, so what is sent grows with the atoms, not with
+    their pairs. A crowded block's atoms are dealt over several groups, GROUP_ATOMS to each about, and each group gets the block's surroundings."""
+    ship(wanted.sparkSession)
+    width = BLOCK_REACHES * reach
+    block = [F.floor(F.col(c) / width).cast("int").alias(f"_b{c}") for c in "xyz"]
+    cells = [*keys, "_bx", "_by", "_bz"]
+    a = wanted.select("*", *block)
+    groups = a.groupBy(*[F.col(c).alias(f"_of_{c}") for c in cells]).agg(F.ceil(F.count(F.lit(1)) / GROUP_ATOMS).cast("int").alias("_groups"))
+    b = shading.select(*[F.col(c).alias(c) for c in shading.columns])  # columns of its own, where both sides are one table
+    for c in "xyz":
+        low, high = (F.floor((F.col(c) + sign * reach) / width).cast("int") for sign in (-1, 1))
+        b = b.withColumn(f"_b{c}", F.explode(F.sequence(low, high)))
+    drop = [f"_of_{c}" for c in cells]
+    # Atoms without a place shade nothing and stay out of b; of a they are a group with nothing around it.
+    a = a.join(groups, reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cells])).withColumn("_group", F.pmod(F.xxhash64("atom_id"), F.col("_groups")).cast("int")).drop(*drop, "_groups")
+    b = b.join(groups, reduce(lambda p, q: p & q, [F.col(c) == F.col(f"_of_{c}") for c in cells])).withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop(*drop, "_groups")
+    return a.groupBy(*cells, "_group").cogroup(b.groupBy(*cells, "_group")).applyInArrow(kernel, out)
+
+
+def _near(x: np.ndarray, radius: float, id: int, places: np.ndarray, radii: np.ndarray, ids: np.ndarray, probe: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the other atoms that can shade one, nearest first, and their places from it."""
+    c = places - x[:, None]
+    d2 = c[0] * c[0] + c[1] * c[1] + c[2] * c[2]
+    near = np.flatnonzero(d2 < (radius + radii + 2 * probe) ** 2)
+    near = near[ids[near] != id]
+    near = near[np.argsort(d2[near])]
+    return near, c[:, near].T
+
+
+def _dark(unit: np.ndarray, r: float, c: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which points of a sphere of radius r lie inside some sphere (places c, radii `reach`), nearest spheres first.
+
+    |r u - c|^2 < reach^2, with |u| = 1. Points in the dark are not asked again, so a buried atom looks at few of its neighbours."""
+    dark, live, at, step = np.zeros(len(unit), bool), np.arange(len(unit)), 0, 32
+    bound = (r * r + (c * c).sum(1) - reach**2) / (2 * r)
+    while at < len(c) and len(live):
+        inside = (unit[live] @ c[at : at + step].T > bound[at : at + step]).any(1)
+        dark[live[inside]] = True
+        live = live[~inside]
+        at, step = at + step, min(2 * step, 1024)
+    return dark
 
-    Atoms meet their neighbours on grid cells first; only those pairs meet the sphere's points, a table of fixed size."""
+
+def accessible_points(atoms: DataFrame, probe: float = PROBE, points: int = POINTS, keys: tuple[str, ...] = ("structure_id",)) -> DataFrame:
+    """keys, atom_id, radius and live: points of each atom's sphere inside no other atom's (columns x, y, z, radius)."""
     keys = list(keys)
-    near = range_join(atoms.select(*keys, "atom_id", "x", "y", "z", "radius"), atoms.select(*keys, "atom_id", "x", "y", "z", "radius"), widest_reach(probe), keys, condition=(F.col("a_atom_id") != F.col("b_atom_id")))
-    near = near.where(F.col("distance") <= F.col("a_radius") + F.col("b_radius") + 2 * probe)
-    sphere = F.broadcast(sphere_table(atoms.sparkSession, points))
-    r = F.col("a_radius") + probe
-    p = [F.col(f"a_{x}") + r * F.col(f"u{x}") - F.col(f"b_{x}") for x in "xyz"]
-    inside = p[0] * p[0] + p[1] * p[1] + p[2] * p[2] < (F.col("b_radius") + probe) * (F.col("b_radius") + probe)
-    shaded = near.join(sphere).where(inside).groupBy(*keys, F.col("a_atom_id").alias("atom_id")).agg(F.count_distinct("point").alias("shaded"))
-    return atoms.select(*keys, "atom_id", "radius").join(shaded, [*keys, "atom_id"], "left").select(*keys, "atom_id", "radius", (F.lit(points) - F.coalesce("shaded", F.lit(0))).alias("live"))
+    unit = unit_sphere(points)
+    d = atoms.select(*keys, "atom_id", "radius", "x", "y", "z")
+
+    def kernel(part: pa.Table, around: pa.Table) -> pa.Table:
+        places, radii, ids = np.stack([around.column(c).to_numpy() for c in "xyz"]), around.column("radius").to_numpy(), around.column("atom_id").to_numpy()
+        live = []
+        for id, radius, *x in zip(*(part.column(c).to_numpy() for c in ("atom_id", "radius", "x", "y", "z")), strict=True):
+            near, c = _near(np.array(x), radius, id, places, radii, ids, probe)
+            live.append(points - int(np.count_nonzero(_dark(unit, radius + probe, c, radii[near] + probe))))
+        return pa.table([*[part.column(c) for c in (*keys, "atom_id", "radius")], pa.array(live, pa.int64())], names=[*keys, "atom_id", "radius", "live"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+    return _neighbourhoods(d, d, widest_reach(probe), keys, kernel, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "atom_id", "radius")) + ", live long")
 
 
 def area(radius, live, points: int = POINTS, probe: float = PROBE):
@@ -59,55 +105,34 @@ def atom_surface(atoms: DataFrame, probe: float = PROBE, points: int = POINTS, e
     """structure_id, atom_id, molecule_id, radius, asa_combined, asa_alone and pairs for each heavy atom.
 
     asa_combined: shaded by all heavy atoms, water included. asa_alone: by its own molecule. pairs: for each other molecule
-    near, the area that it buries of asa_alone. One grid join brings each atom its neighbours, and one numpy kernel answers all
-    three from the same list, so neither a molecule nor a pair is evaluated anew. A neighbour list is bounded by
-    how many atoms fit within reach; structures of any size spread by cell. `evaluate`: condition on the atoms wanted."""
-    ship(atoms.sparkSession)
+    near, the area that it buries of asa_alone. One numpy kernel answers all three for the atoms of a block from the
+    atoms around it, so pairs of atoms are never rows; structures of any size spread by block. `evaluate`: condition on the atoms wanted."""
     d = atoms.where(chem.is_heavy("element")).withColumn("radius", chem.surface_radius("element", "atom_name", "res_name"))
-    d = d.select("structure_id", "atom_id", "molecule_id", "x", "y", "z", "radius", *([F.expr(evaluate).alias("_want")] if evaluate else []))
+    d = d.select("structure_id", "atom_id", "molecule_id", "radius", "x", "y", "z", *([F.expr(evaluate).alias("_want")] if evaluate else []))
     wanted = d.where("_want").drop("_want") if evaluate else d
-    d = d.drop("_want")
-    near = range_join(wanted, d, widest_reach(probe), ["structure_id"], condition=F.col("a_atom_id") != F.col("b_atom_id"))
-    near = near.where(F.col("distance") < F.col("a_radius") + F.col("b_radius") + 2 * probe)
-    lists = near.groupBy("structure_id", F.col("a_atom_id").alias("atom_id")).agg(F.collect_list(F.struct(F.coalesce("b_molecule_id", F.lit(-1)).cast("double").alias("m"), (F.col("b_x") - F.col("a_x")).alias("x"), (F.col("b_y") - F.col("a_y")).alias("y"), (F.col("b_z") - F.col("a_z")).alias("z"), F.col("b_radius").alias("r"))).alias("near"))
-    flat = F.flatten(F.transform(F.coalesce("near", F.array()), lambda s: F.array(s["m"], s["x"], s["y"], s["z"], s["r"])))
-    rows = wanted.join(lists, ["structure_id", "atom_id"], "left").select("structure_id", "atom_id", "molecule_id", "radius", flat.alias("near"))
     unit = unit_sphere(points)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            radius = b.column(3).to_numpy()
-            own = b.column(2).to_pylist()
-            offsets, flat = b.column(4).offsets.to_numpy(), b.column(4).values.to_numpy()
-            both, alone, pairs = [], [], []
-            for k in range(b.num_rows):
-                r = radius[k] + probe
-                full = 4 * math.pi * r * r
-                n = flat[offsets[k] : offsets[k + 1]].reshape(-1, 5)
-                if not len(n):
-                    both.append(full)
-                    alone.append(full)
-                    pairs.append([])
-                    continue
-                # |r u - c|^2 < (r_j + probe)^2, with |u| = 1
-                c = n[:, 1:4]
-                shaded = r * r - 2 * r * (unit @ c.T) + (c * c).sum(1) < (n[:, 4] + probe) ** 2
-                both.append(full * (points - np.count_nonzero(shaded.any(1))) / points)
-                mine = -1 if own[k] is None else own[k]
-                dark = shaded[:, n[:, 0] == mine].any(1) if own[k] is not None else np.zeros(points, bool)
-                live = points - np.count_nonzero(dark)
-                alone.append(full * live / points)
-                out = []
-                if own[k] is not None:
-                    for m in np.unique(n[:, 0]):
-                        if m >= 0 and m != mine:
-                            lost = live - (points - np.count_nonzero(dark | shaded[:, n[:, 0] == m].any(1)))
-                            out.append({"molecule": int(m), "buried": full * lost / points})
-                pairs.append(out)
-            kind = pa.list_(pa.struct([("molecule", pa.int32()), ("buried", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(both, pa.float64()), pa.array(alone, pa.float64()), pa.array(pairs, kind)], ["structure_id", "atom_id", "molecule_id", "radius", "asa_combined", "asa_alone", "pairs"])
-
-    return rows.mapInArrow(kernel, "structure_id string, atom_id int, molecule_id int, radius double, asa_combined double, asa_alone double, pairs array<struct<molecule:int,buried:double>>")
+    kind = pa.list_(pa.struct([("molecule", pa.int32()), ("buried", pa.float64())]))
+
+    def kernel(part: pa.Table, around: pa.Table) -> pa.Table:
+        places, radii, ids = np.stack([around.column(c).to_numpy() for c in "xyz"]), around.column("radius").to_numpy(), around.column("atom_id").to_numpy()
+        molecules = around.column("molecule_id").fill_null(-1).to_numpy()
+        both, alone, pairs = [], [], []
+        for id, own, radius, *x in zip(*(part.column(c).to_numpy() for c in ("atom_id",)), part.column("molecule_id").to_pylist(), *(part.column(c).to_numpy() for c in ("radius", "x", "y", "z")), strict=True):
+            near, c = _near(np.array(x), radius, id, places, radii, ids, probe)
+            r, reach, of, out = radius + probe, radii[near] + probe, molecules[near], []
+            full = 4 * math.pi * r * r
+            mine = of == own if own is not None else np.zeros(len(near), bool)
+            dark = _dark(unit, r, c[mine], reach[mine])
+            rest = unit[~dark]  # what the own molecule leaves; only there can others bury anything
+            both.append(full * (len(rest) - np.count_nonzero(_dark(rest, r, c[~mine], reach[~mine]))) / points)
+            alone.append(full * len(rest) / points)
+            for m in np.unique(of[~mine]).tolist() if own is not None else ():
+                if m >= 0:
+                    out.append({"molecule": m, "buried": full * int(np.count_nonzero(_dark(rest, r, c[of == m], reach[of == m]))) / points if len(rest) else 0.0})
+            pairs.append(out)
+        return pa.table([*[part.column(c) for c in ("structure_id", "atom_id", "molecule_id", "radius")], pa.array(both, pa.float64()), pa.array(alone, pa.float64()), pa.array(pairs, kind)], names=["structure_id", "atom_id", "molecule_id", "radius", "asa_combined", "asa_alone", "pairs"])
+
+    return _neighbourhoods(wanted, d.drop("_want"), widest_reach(probe), ["structure_id"], kernel, "structure_id string, atom_id int, molecule_id int, radius double, asa_combined double, asa_alone double, pairs array<struct<molecule:int,buried:double>>")
 
 
 def buried_surface(surface: DataFrame) -> DataFrame:

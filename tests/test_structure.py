@@ -248,3 +248,30 @@ def test_pair_rules_cost_bits(spark):
     assert both.where(" OR ".join(f"{n}0 <> {n}1 OR {n}0 IS NULL OR {n}1 IS NULL" for n in "chsd")).count() == 0
     odd = spark.createDataFrame([(None, "SG", "S", "CYS", None, "S", 2.5), ("CYS", "SG", None, "CYS", "SG", "S", 2.5), (" cys", "sg ", "s", "CYS", "SG", "S", 2.5), (None, None, None, None, None, None, 4.0)], "a_res_name string, a_atom_name string, a_element string, b_res_name string, b_atom_name string, b_element string, distance double")
     assert [r.c for r in odd.select(chem.is_disulfide().alias("c")).collect()] == [False, False, True, False]
+
+
+def test_surface_by_blocks(spark, monkeypatch):
+    """A crowd and a spread of atoms over several blocks and groups, against all pairs; pairs of atoms are never rows."""
+    monkeypatch.setattr(surface, "GROUP_ATOMS", 40)
+    rng = np.random.default_rng(3)
+    xyz = np.concatenate([rng.normal(0, 3, (150, 3)), rng.uniform(-60, 60, (120, 3))])
+    mol = [None if i % 9 == 0 else i % 4 for i in range(270)]
+    rows = [("s", i, mol[i], "CA", "ALA", "C", *map(float, xyz[i])) for i in range(270)] + [("s", 270, 1, "CA", "ALA", "C", None, 0.0, 0.0), ("t", 0, 0, "CA", "ALA", "C", 0.0, 0.0, 0.0)]
+    d = spark.createDataFrame(rows, "structure_id string, atom_id int, molecule_id int, atom_name string, res_name string, element string, x double, y double, z double")
+    frame = surface.atom_surface(d)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "collect_list" not in plan and "a_x" not in plan
+    got = {(r.structure_id, r.atom_id): r for r in frame.collect()}
+    live = {(r.structure_id, r.atom_id): r.live for r in surface.accessible_points(d.withColumn("radius", F.lit(1.87))).collect()}
+    r = 1.87 + 1.4
+    assert len(got) == len(live) == 272 and got["s", 270].asa_combined == got["t", 0].asa_alone == pytest.approx(4 * math.pi * r * r) and live["s", 270] == 480
+    unit, m = surface.unit_sphere(), np.array([-1 if x is None else x for x in mol])
+    for i in range(270):
+        dark = ((xyz[i] + r * unit)[:, None, :] - xyz[None]) ** 2
+        dark = dark.sum(2) < r * r
+        dark[:, i] = False
+        share = 4 * math.pi * r * r / 480
+        g, own = got["s", i], dark[:, m == m[i]].any(1) if mol[i] is not None else np.zeros(480, bool)
+        assert live["s", i] == 480 - dark.any(1).sum() and g.asa_combined == pytest.approx(share * live["s", i]) and g.asa_alone == pytest.approx(share * (480 - own.sum()))
+        near = {int(k) for k in m[np.sqrt(((xyz[i] - xyz) ** 2).sum(1)) < 2 * r] if k >= 0 and k != m[i]} if mol[i] is not None else set()
+        assert {p.molecule: p.buried for p in g.pairs} == {k: pytest.approx(share * (dark[:, m == k].any(1) & ~own).sum()) for k in near}
