@@ -249,6 +249,11 @@ def _has(of: Column, *names: str) -> Column:
     return of.bitwiseAND(F.lit(bits)) == bits
 
 
+def has_role(traits_: Column) -> Column:
+    """Whether an atom can take part in a hydrogen bond."""
+    return _has(traits_, "donor") | _has(traits_, "acceptor")
+
+
 def _one_each(t: tuple[Column, Column], x: str, y: str) -> Column:
     """Trait x on one side and y on the other."""
     return (_has(t[0], x) & _has(t[1], y)) | (_has(t[1], x) & _has(t[0], y))

@@ -12,6 +12,10 @@ def _cell(x: str, cutoff: float):
     return F.floor(F.col(x) / cutoff).cast("int")
 
 
+def distance(ax: list[str] = ("a_x", "a_y", "a_z"), bx: list[str] = ("b_x", "b_y", "b_z")):
+    return F.sqrt(reduce(lambda s, t: s + t, [(F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(ax, bx, strict=True)]))
+
+
 def range_join(left: DataFrame, right: DataFrame, cutoff: float, keys: list[str] = (), strict: bool = False, how: str = "inner", condition=None, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """Pairs of rows of `left` and `right` (equal in `keys`) at most `cutoff` apart, with a column distance.
 
@@ -30,8 +34,7 @@ def range_join(left: DataFrame, right: DataFrame, cutoff: float, keys: list[str]
     for i, (p, q) in enumerate(zip(ax, bx, strict=True)):
         a = a.withColumn(f"_c{i}", _cell(p, cutoff))
         b = b.withColumn("_o", F.explode(near)).withColumn(f"_d{i}", _cell(q, cutoff) + F.col("_o")).drop("_o")
-    d2 = reduce(lambda s, t: s + t, [(F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(ax, bx, strict=True)])
-    d = F.sqrt(d2)
+    d = distance(ax, bx)
     on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(f"_c{i}") == F.col(f"_d{i}") for i in range(3)] + [d < cutoff if strict else d <= cutoff]
     if condition is not None:
         on.append(condition)
