@@ -89,7 +89,16 @@ class Analysis:
 
     @cached_property
     def contacts(self) -> DataFrame:
-        return self._hold(C.with_bonds(self.assigned, self._asu(C.contacts(self.assigned, self.cutoff))))
+        return self._hold(C.with_bonds(self.assigned, self._asu(C.contacts(self.assigned, self.cutoff)), self.hydrogen_bonds))
+
+    @cached_property
+    def hydrogen_bonds(self) -> DataFrame:
+        return self._hold(C.hydrogen_bonds(self.assigned, self.cutoff, self._asu))
+
+    @cached_property
+    def bond_counts(self) -> DataFrame:
+        """PAIR, n_contacts, hb, sb, ss, other: counted as contacts are found, which are kept only if they are asked for."""
+        return self._hold(C.bond_counts(self.assigned, self.cutoff, self._asu, self.hydrogen_bonds))
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -109,8 +118,12 @@ class Analysis:
     def faces(self) -> DataFrame:
         """PAIR, molecule_id, atom_id of the interfaces' atoms: the buried ones, or where a side has none its atoms in contact."""
         buried = self.burial.select(*PAIR, "molecule_id", "atom_id")
-        touching = self.contacts.select(*PAIR, F.explode(F.array(F.struct(F.col("molecule_1").alias("m"), F.col("a_atom_id").alias("a")), F.struct(F.col("molecule_2").alias("m"), F.col("b_atom_id").alias("a")))).alias("s")).select(*PAIR, F.col("s.m").alias("molecule_id"), F.col("s.a").alias("atom_id")).distinct()
-        bare = touching.join(buried.select(*PAIR, "molecule_id").distinct(), [*PAIR, "molecule_id"], "left_anti")
+        sides = self.bond_counts.select(*PAIR, F.explode(F.array("molecule_1", "molecule_2")).alias("molecule_id"))
+        lacking = self._hold(sides.join(buried.select(*PAIR, "molecule_id").distinct(), [*PAIR, "molecule_id"], "left_anti"))
+        some = lacking.select("structure_id", F.explode(F.array("molecule_1", "molecule_2")).alias("molecule_id")).distinct()
+        near = C.contacts(self.assigned.join(some, ["structure_id", "molecule_id"], "left_semi"), self.cutoff).join(lacking.select(*PAIR).distinct(), PAIR, "left_semi")
+        touching = near.select(*PAIR, F.explode(F.array(F.struct(F.col("molecule_1").alias("m"), F.col("a_atom_id").alias("a")), F.struct(F.col("molecule_2").alias("m"), F.col("b_atom_id").alias("a")))).alias("s")).select(*PAIR, F.col("s.m").alias("molecule_id"), F.col("s.a").alias("atom_id")).distinct()
+        bare = touching.join(lacking, [*PAIR, "molecule_id"], "left_semi").select(*PAIR, "molecule_id", "atom_id")
         return buried.union(bare)
 
     @cached_property
@@ -131,9 +144,8 @@ class Analysis:
         e = F.col("sigma") * F.col("buried")
         apolar = chem.is_apolar_class("solvation_class")
         areas = b.groupBy(*PAIR).agg((F.sum("buried") / 2).alias("area"), F.sum("buried").alias("b1"), F.sum(F.col("buried") * F.col("buried")).alias("b2"), F.sum(e).alias("solv"), F.sum(F.when(apolar, e).otherwise(0.0)).alias("apolar"), F.sum(F.when(~apolar, e).otherwise(0.0)).alias("polar"))
-        flags = self.contacts.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_contacts"), F.count_if("hydrogen_bond").alias("hb"), F.count_if("salt_bridge").alias("sb"), F.count_if("disulfide").alias("ss"), F.count_if(F.size("bond_types") == 0).alias("other"))
         residues = self.faces.join(self._typed.select("structure_id", "atom_id", "auth_asym_id", "res_seq", "icode"), ["structure_id", "atom_id"]).groupBy(*PAIR).agg(F.count_distinct("molecule_id", "auth_asym_id", "res_seq", "icode").alias("number_interface_residues"))
-        d = areas.join(flags, PAIR, "full_outer").join(residues, PAIR, "left").fillna(0)
+        d = areas.join(self.bond_counts, PAIR, "full_outer").join(residues, PAIR, "left").fillna(0)
         d = d.where("area >= 0.01 OR n_contacts > 0")
         for k in (1, 2):
             m = self.surface_moments.select("structure_id", F.col("molecule_id").alias(f"molecule_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("w", "ws", "wss")])

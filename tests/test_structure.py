@@ -275,3 +275,38 @@ def test_surface_by_blocks(spark, monkeypatch):
         assert live["s", i] == 480 - dark.any(1).sum() and g.asa_combined == pytest.approx(share * live["s", i]) and g.asa_alone == pytest.approx(share * (480 - own.sum()))
         near = {int(k) for k in m[np.sqrt(((xyz[i] - xyz) ** 2).sum(1)) < 2 * r] if k >= 0 and k != m[i]} if mol[i] is not None else set()
         assert {p.molecule: p.buried for p in g.pairs} == {k: pytest.approx(share * (dark[:, m == k].any(1) & ~own).sum()) for k in near}
+
+
+def test_bonds_counted_without_contacts(spark):
+    """Bonds from the atoms that can take part, and counts without a row for each contact, are those of all contacts."""
+    from nacre import queries
+    from nacre.operators import contacts as C
+
+    a = queries.atoms(spark, DATA)
+    p = C.with_bonds(a, queries.contact_pairs(spark, DATA))
+    key = ["structure_id", "molecule_1", "molecule_2"]
+    was = p.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(c[:1]) for c in ("hydrogen_bond", "salt_bridge", "disulfide")], F.count_if(F.size("bond_types") == 0).alias("other"))
+    now = C.bond_counts(a, 5.0)
+    assert sorted(map(tuple, was.collect())) == sorted(map(tuple, now.collect())) and was.agg(F.sum("hydrogen_bond"[:1])).first()[0] > 0
+    for cutoff in (3.0, 5.0):
+        bonds = C.with_bonds(a, C.contacts(a, cutoff)).where("hydrogen_bond").select(*key, "a_atom_id", "b_atom_id")
+        assert sorted(map(tuple, bonds.collect())) == sorted(map(tuple, C.hydrogen_bonds(a, cutoff).collect()))
+
+
+def test_interfaces_keep_no_contacts(spark):
+    """The interfaces and their residues come without the table of all contacts, which is made only when it is asked for."""
+    from nacre import queries
+    from nacre.plans.analysis import Analysis
+
+    a = queries.atoms(spark, DATA).where("atom_id < 200").withColumns({"molecule_class": F.lit("Protein"), "molecule_label": F.col("auth_asym_id"), "chain_type": F.lit("polymer"), "ccd_id": F.lit(None).cast("string"), "label_comp_id": F.col("res_name")})
+    made = Analysis(a.drop("label"))
+    assert made.interfaces.count() > 0 and made.residues.count() > 0 and "contacts" not in vars(made)
+    sums = made.interfaces.agg(F.sum("number_hydrogen_bonds"), F.sum("number_salt_bridges"), F.sum("number_disulfide_bonds"), F.sum("number_other_bonds")).first()
+    assert tuple(sums) == tuple(made.contacts.agg(*[F.count_if(c) for c in ("hydrogen_bond", "salt_bridge", "disulfide")], F.count_if(F.size("bond_types") == 0)).first())
+    bare = Analysis(a.drop("label"), probe=0.0, points=1)  # surfaces that bury next to nothing: sides stand by their contacts
+    bare.__dict__["burial"] = made.burial.where("molecule_1 > 3 AND molecule_id = molecule_1")
+    touching = bare.contacts.selectExpr("molecule_1", "molecule_2", "stack(2, molecule_1, a_atom_id, molecule_2, b_atom_id) AS (molecule_id, atom_id)").distinct()
+    want = {tuple(r) for r in touching.collect() if not (r.molecule_1 > 3 and r.molecule_id == r.molecule_1)} | {(r.molecule_1, r.molecule_2, r.molecule_id, r.atom_id) for r in bare.burial.collect()}
+    got = {(r.molecule_1, r.molecule_2, r.molecule_id, r.atom_id) for r in bare.faces.collect()}
+    sides = {x[:3] for x in ((r.molecule_1, r.molecule_2, r.molecule_id) for r in bare.burial.collect())}
+    assert got == {x for x in want if x[:3] not in sides} | {x for x in got if x[:3] in sides} and len(got) > len(sides)
