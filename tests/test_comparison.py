@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nacre.operators import comparison as P
 
@@ -78,3 +79,19 @@ def test_operators_are_never_guessed(spark):
     known = spark.createDataFrame([("s", "A", one, [0, 12, 0], 7)], schema + ", operator int")
     placed = spark.createDataFrame([("s", "A", one, [24, -12, 48]), ("s", "A", one, [1, 12, 0]), ("s", "B", one, [0, 12, 0])], schema)
     assert [r.operator for r in P.operator_of(placed, known).orderBy("asu", "translation").collect()] == [None, 7, None]
+
+
+def test_medians(spark, monkeypatch):
+    """Exact medians of many distinct values, of ties, of few rows, with nulls, and none without rows; agreement keeps no set of all values."""
+    from nacre.operators import validate
+
+    monkeypatch.setattr(validate, "MEDIAN_VALUES", 50)
+    monkeypatch.setattr(validate, "MEDIAN_ACCURACY", 100)
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 49, 4000, 4001):
+        x = [[float(v) for v in rng.normal(size=n)], [float(v) for v in rng.integers(0, 3, n)], [None if i % 3 else float(i % 1000) for i in range(n)], [None] * n, [7.0 if i % 5 else float(i) for i in range(n)]]
+        d = spark.createDataFrame(list(zip(*x, strict=True)), ", ".join(f"c{i} double" for i in range(5)))
+        got = validate.medians(d, [F.col(c) for c in d.columns])
+        assert got == [pytest.approx(float(np.median([v for v in c if v is not None]))) if any(v is not None for v in c) else None for c in x]
+    plan = validate.agreement(d.select("c0", (F.col("c1") + 1).alias("c1")), "c0", "c1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "median(" not in plan and "percentile" not in plan
