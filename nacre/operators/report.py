@@ -56,14 +56,24 @@ def residue_index(atoms: DataFrame) -> DataFrame:
     return r.withColumn("index", F.row_number().over(W.partitionBy("structure_id").orderBy("first")) - 1).drop("first")
 
 
-def pae_scores(contacts: DataFrame, atoms: DataFrame, pae: DataFrame) -> DataFrame:
-    """Mean aligned error of each interface over its distinct residue pairs. pae: structure_id, i, j, pae."""
-    index = residue_index(atoms)
+def with_residue_index(atoms: DataFrame) -> DataFrame:
+    """`atoms` with the index of their residues."""
+    return atoms.join(residue_index(atoms), ["structure_id", "auth_asym_id", "res_seq", "icode"])
+
+
+def pae_scores(contacts: DataFrame, atoms: DataFrame, pae) -> DataFrame:
+    """Mean aligned error of each interface over its distinct residue pairs. pae: structure_id, i, j, pae, or a function that gives
+    the error as a Column of the Columns i and j, where no matrix has to be written out.
+
+    Contacts of atoms that have their residues' index (a_index, b_index) are taken as they are; for others it is joined to each."""
     d = contacts
-    for s in "ab":
-        d = d.join(index.select("structure_id", F.col("auth_asym_id").alias(f"{s}_auth_asym_id"), F.col("res_seq").alias(f"{s}_res_seq"), F.col("icode").alias(f"{s}_icode"), F.col("index").alias(f"{s}_index")), ["structure_id", f"{s}_auth_asym_id", f"{s}_res_seq", f"{s}_icode"])
+    if "a_index" not in d.columns:
+        index = residue_index(atoms)
+        for s in "ab":
+            d = d.join(index.select("structure_id", F.col("auth_asym_id").alias(f"{s}_auth_asym_id"), F.col("res_seq").alias(f"{s}_res_seq"), F.col("icode").alias(f"{s}_icode"), F.col("index").alias(f"{s}_index")), ["structure_id", f"{s}_auth_asym_id", f"{s}_res_seq", f"{s}_icode"])
     pairs = d.select(*PAIR, F.col("a_index").alias("i"), F.col("b_index").alias("j")).distinct()
-    return pairs.join(pae, ["structure_id", "i", "j"]).groupBy(*PAIR).agg(F.avg("pae").alias("pae"))
+    pairs = pairs.withColumn("pae", pae(F.col("i"), F.col("j"))) if callable(pae) else pairs.join(pae, ["structure_id", "i", "j"])
+    return pairs.groupBy(*PAIR).agg(F.avg("pae").alias("pae"))
 
 
 def filter_by_score(interfaces: DataFrame, scores: DataFrame, column: str, most: float | None = None, least: float | None = None) -> DataFrame:

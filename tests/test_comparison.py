@@ -95,3 +95,22 @@ def test_medians(spark, monkeypatch):
         assert got == [pytest.approx(float(np.median([v for v in c if v is not None]))) if any(v is not None for v in c) else None for c in x]
     plan = validate.agreement(d.select("c0", (F.col("c1") + 1).alias("c1")), "c0", "c1")._jdf.queryExecution().optimizedPlan().toString()
     assert "median(" not in plan and "percentile" not in plan
+
+
+def test_aligned_errors(spark):
+    """Errors by a formula, over contacts that bring their residues' index, are those of the matrix; no pair of residues is a row unless it touches."""
+    from nacre import queries
+    from nacre.operators import contacts, report
+
+    from .conftest import DATA
+
+    a = queries.heavy(spark, DATA)
+    h = report.with_residue_index(a)
+    ix = report.residue_index(a).select("structure_id", "index")
+    matrix = ix.withColumnRenamed("index", "i").join(ix.withColumnRenamed("index", "j"), "structure_id").withColumn("pae", ((F.col("i") * 7 + F.col("j") * 3) % 31).cast("double"))
+    was = report.pae_scores(contacts.contacts(a, 5.0), a, matrix)
+    now = report.pae_scores(contacts.contacts(h, 5.0, ("index",)), h, lambda i, j: ((i * 7 + j * 3) % 31).cast("double"))
+    assert sorted(map(tuple, was.collect())) == [pytest.approx(r) for r in sorted(map(tuple, now.collect()))]
+    plan = queries.QUERIES["J24_aligned_error"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert len(joins) == 3 and sum("floor" in x or "_c0" in x for x in joins) == 1  # each side's index, and the contacts
